@@ -3,7 +3,7 @@
 A document is expected to occur e times in the mix. It gets floor(e) certain whole copies; for the rest, pi = e - floor(e),
 documents of a source are ranked by their random odds over their inclusion odds, (u / (1 - u)) / (pi / (1 - pi)), and the
 lowest are taken until the words that are left to the source are used up: a sample of fixed size with unequal
-probabilities. u is a hash of the id, so a rerun gives the same mix.
+probabilities. One more document a source, that whose size is nearest to what then lacks, fills the gap. u is a hash of the id, so a rerun gives the same mix.
 """
 
 from __future__ import annotations
@@ -87,8 +87,8 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple = WEIGHTS, cap: int = MO
         .withColumn("certain", F.floor("expected").cast("long"))
         .withColumn("pi", pi)
         .withColumn("u", u)
-        .withColumn("odds", (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("pi")) / F.col("pi")))
-        .withColumn("rank", F.when(F.col("pi") > 0, F.col("odds") / (1 + F.col("odds"))))
+        # odds / (1 + odds): the same order, between 0 and 1
+        .withColumn("rank", F.when(F.col("pi") > 0, F.col("u") * (1 - F.col("pi")) / (F.col("u") * (1 - F.col("pi")) + (1 - F.col("u")) * F.col("pi"))))
         .withColumn("digit", F.least(F.floor(F.col("rank") * RADIX), F.lit(RADIX - 1)).cast("int"))
         .withColumn("digit2", F.least(F.floor((F.col("rank") * RADIX - F.col("digit")) * RADIX), F.lit(RADIX - 1)).cast("int"))
     )
@@ -110,21 +110,28 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple = WEIGHTS, cap: int = MO
     # what is left: of each source, documents that agree in 24 bits of their rank
     last = inner.drop("open_words").join(edge2, "source_key").where("digit2 = edge_digit2")
     upto = F.sum("size").over(Window.partitionBy("source_key").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    last = last.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 <= F.col("open_words"))
-    last = last.groupBy("source_key", "edge_digit2").agg(F.max(F.struct("rank", "doc_id", "size")).alias("top"))
-    limits = small(saved(edge.drop("open_words").join(edge2.drop("open_words"), "source_key", "left").join(last.drop("edge_digit2"), "source_key", "left"), "limits"))
-    below = (
+    last = last.withColumn("upto", upto).where(F.col("upto") <= F.col("open_words"))
+    last = last.groupBy("source_key").agg(F.max(F.struct("rank", "doc_id", "size")).alias("top"), F.max("upto").alias("last_words"))
+    limits = edge.withColumnRenamed("open_words", "open_words1").join(edge2.withColumnRenamed("open_words", "open_words2"), "source_key", "left")
+    limits = limits.join(last, "source_key", "left")
+    lacking = F.coalesce("open_words2", "open_words1") - F.coalesce(F.col("last_words"), F.lit(0))
+    limits = small(saved(limits.select("source_key", "edge_digit", "edge_digit2", "top", lacking.alias("lacking")), "limits"))
+    inside = (
         F.col("edge_digit").isNull()
         | (F.col("digit") < F.col("edge_digit"))
         | ((F.col("digit") == F.col("edge_digit")) & (F.col("digit2") < F.col("edge_digit2")))
         | ((F.col("digit") == F.col("edge_digit")) & (F.col("digit2") == F.col("edge_digit2")) & (F.struct("rank", "doc_id", "size") <= F.col("top")))
     )
-    extra = F.when(F.col("rank").isNotNull() & F.coalesce(below, F.lit(False)), 1).otherwise(0)
-    copies = (F.col("certain") + extra).cast("long")
-    return (
-        drawn.join(limits, "source_key", "left")
-        .withColumn("copies", copies)
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    chosen = drawn.join(limits, "source_key", "left").withColumn("extra", F.col("rank").isNotNull() & F.coalesce(inside, F.lit(False)))
+    # the document at the limit is mostly longer than what lacks: the first of those after it that come nearest fills the gap
+    gap = F.abs(F.col("size") - F.col("lacking"))
+    rest = chosen.where(F.col("rank").isNotNull() & ~F.col("extra") & (gap < F.col("lacking")))
+    filler = rest.groupBy("source_key").agg(F.min(F.struct(gap.alias("gap"), "rank", "doc_id", "size")).alias("filler"))
+    filled = chosen.join(small(saved(filler, "filler")), "source_key", "left")
+    filling = F.coalesce((F.col("rank") == F.col("filler.rank")) & F.col("doc_id").eqNullSafe(F.col("filler.doc_id")) & (F.col("size") == F.col("filler.size")), F.lit(False))
+    copies = (F.col("certain") + F.when(F.col("extra") | filling, 1).otherwise(0)).cast("long")
+    return filled.withColumn("copies", copies).select(
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
