@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, line_rules, minhash, mixing, quality, token_files
+from . import bpe, language, line_rules, minhash, mixing, pii, quality, token_files
 from .common import table
 
 QUERIES: dict = {}
@@ -18,6 +18,17 @@ def _query(function):
     return function
 
 
+@_query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(pii.joined_spans(F.col("base")), 256).alias("base_sha256"),
+        pii.joined_spans(F.col("all_spans")).alias("spans"),
+    )
+
+
 @_query
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
