@@ -1,0 +1,282 @@
+"""Near-duplicate vectors by a robust-pruned flat graph.
+
+Vectors are dealt to overlapping cluster shards, each to its nearest few centres. A shard's task builds a graph: each vector's
+nearest candidates, pruned so that no kept neighbour is much nearer to another kept one than to the vector. The lists of all
+shards are united by vector. Then each shard searches for the vectors at home in it: greedily from the shard's medoids until a
+beam is exhausted, and on through everything near enough to the range. Links are verified in double precision, recall is
+audited by brute force, and a shard that falls short is searched again with a wider beam.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import saved, small
+from .components import components
+
+COSINE = 0.9
+#: Vectors at home in a shard that is not split further, and centres that one split makes at most.
+SHARD, CENTRES = 2048, 64
+#: Rows a split's centres are found from; chosen by a hash.
+FIT_ROWS = 16_384
+#: Shards a vector is a member of.
+OVERLAP = 3
+CANDIDATES, DEGREE, ALPHA = 40, 20, 1.2
+BEAM, SLACK, MEDOIDS = 24, 0.15, 8
+#: Share of a shard's queries that are audited by brute force, and the recall below which the beam is doubled.
+AUDIT, RECALL = 0.05, 0.99
+_BLOCK = 256
+
+
+def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+    """Unit centres of k clusters of unit vectors, from evenly spaced starts; fewer if clusters empty."""
+    c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
+    for _ in range(rounds):
+        own = np.concatenate([(x[at : at + 4096] @ c.T).argmax(1) for at in range(0, len(x), 4096)])
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        norm = np.linalg.norm(sums, axis=1)
+        c = sums[norm > 1e-9] / norm[norm > 1e-9, None]
+    return c
+
+
+def neighbours(x: np.ndarray) -> np.ndarray:
+    """Robust-pruned neighbours of each row among the rows of x, -1 where there are fewer."""
+    n, width = len(x), min(CANDIDATES, len(x) - 1)
+    out = np.full((n, DEGREE), -1, "i4")
+    if width < 1:
+        return out
+    for at in range(0, n, _BLOCK):
+        block = np.arange(at, min(at + _BLOCK, n))
+        sims = x[block] @ x.T
+        sims[np.arange(len(block)), block] = -np.inf
+        near = np.argpartition(-sims, width - 1, axis=1)[:, :width]
+        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
+        away = 2 - 2 * np.take_along_axis(sims, near, 1)
+        between = 2 - 2 * np.einsum("bid,bjd->bij", x[near], x[near])
+        open_ = np.ones(near.shape, bool)
+        rows = np.arange(len(block))
+        for slot in range(DEGREE):
+            some = open_.any(1)
+            if not some.any():
+                break
+            pick = open_.argmax(1)
+            out[block[some], slot] = near[rows[some], pick[some]]
+            open_ &= ~(ALPHA * ALPHA * between[rows, pick] <= away)
+            open_[rows, pick] = False
+            open_[~some] = False
+    return out
+
+
+def medoids(x: np.ndarray, k: int = MEDOIDS) -> np.ndarray:
+    """Rows nearest to the centres of k clusters."""
+    return np.unique((centres(x[:: max(1, len(x) // 2048)], min(k, len(x))) @ x.T).argmax(1))
+
+
+def search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, queries: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For blocks of queries (rows of x): query and row of each pair found whose cosine reaches COSINE.
+
+    All queries of a block step together: each opens its best unopened row and looks at that row's neighbours. A query ends when
+    it has opened a beam of rows and its best unopened one is further off than the range and some slack.
+    """
+    for at in range(0, len(queries), _BLOCK):
+        own = queries[at : at + _BLOCK]
+        sims = np.full((len(own), len(x)), -np.inf)
+        sims[:, start] = x[own] @ x[start].T
+        waiting = sims.copy()
+        opened = np.zeros(len(own), int)
+        live = np.arange(len(own))
+        while len(live):
+            best = waiting[live].argmax(1)
+            value = waiting[live, best]
+            go = (value > -np.inf) & ((opened[live] < beam) | (value >= COSINE - SLACK))
+            live, best = live[go], best[go]
+            if not len(live):
+                break
+            waiting[live, best] = -np.inf
+            opened[live] += 1
+            near = graph[best]
+            row, slot = np.nonzero(near >= 0)
+            q, m = live[row], near[row, slot]
+            new = sims[q, m] == -np.inf
+            q, m = q[new], m[new]
+            value = np.einsum("ij,ij->i", x[own[q]], x[m])
+            sims[q, m] = value
+            waiting[q, m] = value
+        q, m = np.nonzero(sims >= COSINE)
+        differs = own[q] != m
+        yield own[q[differs]], m[differs]
+
+
+def searched_shard(ids: np.ndarray, x: np.ndarray, home: np.ndarray, copies: np.ndarray, lists: list) -> tuple[np.ndarray, np.ndarray, float]:
+    """Of one shard: links of each row at home (copies counted), a label that rows linked within the shard share, audited recall."""
+    n = len(ids)
+    order = np.argsort(ids, kind="stable")
+    graph = np.full((n, max([1, *(len(v) for v in lists)])), -1, "i4")
+    for i, v in enumerate(lists):
+        at = np.searchsorted(ids, np.asarray(v, "i8"), sorter=order)
+        at = order[np.minimum(at, n - 1)]
+        at = at[ids[at] == np.asarray(v, "i8")]
+        graph[i, : len(at)] = at
+    queries, start = np.flatnonzero(home), medoids(x)
+    audited = queries[:: max(1, round(1 / AUDIT))]
+    truth = 0
+    for at in range(0, len(audited), _BLOCK):
+        truth += int((x[audited[at : at + _BLOCK]] @ x.T >= COSINE).sum()) - len(audited[at : at + _BLOCK])
+    beam = BEAM
+    while True:
+        links, label, found = np.zeros(n, "i8"), np.arange(n), 0
+        is_audited = np.zeros(n, bool)
+        is_audited[audited] = True
+        a, b = [], []
+        for q, m in search(x, graph, start, queries, beam):
+            np.add.at(links, q, copies[m])
+            found += int(is_audited[q].sum())
+            # each pair's rows take the lower label; whole chains settle below
+            lowest = label.copy()
+            np.minimum.at(lowest, q, label[m])
+            np.minimum.at(lowest, m, label[q])
+            if len(q):
+                a.append(q)
+                b.append(m)
+            label = lowest
+        recall = min(1.0, found / truth) if truth else 1.0
+        if recall >= RECALL or beam >= n:
+            break
+        beam *= 4
+    if a:
+        a, b = np.concatenate(a), np.concatenate(b)
+        while True:
+            lowest = label.copy()
+            np.minimum.at(lowest, a, label[b])
+            np.minimum.at(lowest, b, label[a])
+            lowest = lowest[lowest]
+            if np.array_equal(lowest, label):
+                break
+            label = lowest
+    return links, label, recall
+
+
+_ROWS = "rep long, copies long, x array<double>, shard string, home boolean"
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), "f8")
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """rep, copies, two keys and unit vector x, one row a distinct vector, of those that are not null, zero, or of null or non-finite parts.
+
+    Vectors of another length than the most frequent one (of equals, the shorter) are left out: no angle lies between them.
+    """
+    rows = vectors.select(F.col("vec_id").cast("long"), _parts(F.col("embedding")).alias("v")).dropna()
+    good = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
+    rows = rows.where((F.size("v") > 0) & F.coalesce(good, F.lit(False)))
+    width = rows.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "width").first()
+    rows = rows.where(F.size("v") == (width["width"] if width else 0))
+    rows = rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # scaled by the largest part first, so that no square is too large or small
+    most = F.array_max(F.transform("v", lambda c: F.abs(c)))
+    scaled = rows.withColumn("most", most).withColumn("s", F.transform("v", lambda c: c / F.col("most")))
+    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda acc, c: acc + c * c))
+    return scaled.withColumn("norm", norm).select("rep", "copies", *_keys(F.col("v")), F.transform("s", lambda c: c / F.col("norm")).alias("x"))
+
+
+def _parts(embedding: Column) -> Column:
+    """In double precision; minus zero is zero."""
+    return F.transform(embedding.cast("array<double>"), lambda c: F.when(c == 0, F.lit(0.0)).otherwise(c))
+
+
+def _keys(v: Column) -> tuple[Column, Column]:
+    return F.xxhash64(v).alias("k1"), F.xxhash64(F.lit("second"), v).alias("k2")
+
+
+def _split(rows: DataFrame, counts: dict[str, int], level: int) -> DataFrame:
+    """Deal the home rows of shards that are too large to their nearest centres, the nearest as home."""
+    spread = rows.sparkSession.createDataFrame([(s, min(1.0, FIT_ROWS / n), min(CENTRES, -(-n // SHARD) * 2)) for s, n in counts.items()], "shard string, part double, k int")
+    large = F.broadcast(spread)
+    chosen = rows.join(large, "shard").where(F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(1 << 20)) < F.col("part") * (1 << 20))
+
+    def find(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("rep")
+        c = centres(_matrix(batch["x"]), min(int(batch["k"].iloc[0]), len(batch)))
+        return pd.DataFrame({"shard": [batch["shard"].iloc[0]], "centres": [c.ravel().tolist()]})
+
+    found = saved(chosen.groupBy("shard").applyInPandas(find, "shard string, centres array<double>"), "centres")
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard, part in batch.groupby("shard", sort=False):
+                x = _matrix(part["x"])
+                c = np.asarray(part["centres"].iloc[0], "f8").reshape(-1, x.shape[1])
+                near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
+                for k in range(near.shape[1]):
+                    keep = np.ones(len(part), bool) if k == 0 else part["home"].to_numpy()
+                    out = part.loc[keep, ["rep", "copies", "x"]].copy()
+                    out["shard"] = [f"{shard}.{i}" for i in near[keep, k]]
+                    out["home"] = part.loc[keep, "home"].to_numpy() & (k == 0)
+                    yield out
+
+    return rows.join(small(found, 4096), "shard").mapInPandas(deal, _ROWS)
+
+
+def shards(vectors: DataFrame) -> DataFrame:
+    """Rows of distinct vectors by shard: each at home in one, and a guest in the next nearest few."""
+    rows = saved(vectors.select("rep", "copies", "x", F.lit("0").alias("shard"), F.lit(True).alias("home")), "rows0")
+    level, before = 1, {}
+    while True:
+        sizes = rows.where("home").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD)
+        counts = {r["shard"]: r["n"] for r in sizes.collect()}
+        if not counts or level > 12 or counts == before:
+            return rows
+        large = F.broadcast(rows.sparkSession.createDataFrame([(s,) for s in counts], "shard string"))
+        rows = saved(rows.join(large, "shard", "left_anti").select("rep", "copies", "x", "shard", "home").unionByName(_split(rows.join(large, "shard"), counts, level)), f"rows{level}")
+        level, before = level + 1, counts
+
+
+def link(vectors: DataFrame) -> DataFrame:
+    """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding).
+
+    Vectors are linked if their cosine in double precision is 0.9 or more. n_links counts the other rows linked directly, copies
+    included; component_id is the smallest id that links reach. Null, zero and non-finite vectors, and those of another length
+    than most, link with nothing. Equal vectors are one node. A null id links with nothing and has a null component. Only links
+    that the graph search finds count; what leaves a task is one count and one label a row, never a shard's pairs.
+    """
+    distinct = saved(usable(vectors), "distinct")
+    placed = shards(distinct)
+
+    def build(batch: pd.DataFrame) -> pd.DataFrame:
+        ids = batch["rep"].to_numpy()
+        graph = neighbours(_matrix(batch["x"]))
+        return pd.DataFrame({"rep": ids, "near": [ids[row[row >= 0]] for row in graph]})
+
+    built = placed.select("rep", "x", "shard").groupBy("shard").applyInPandas(build, "rep long, near array<long>")
+    lists = saved(built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "lists")
+
+    def find(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("rep")
+        ids, home = batch["rep"].to_numpy(), batch["home"].to_numpy()
+        links, label, recall = searched_shard(ids, _matrix(batch["x"]), home, batch["copies"].to_numpy(), batch["near"].tolist())
+        return pd.DataFrame({"rep": ids, "home": home, "links": links, "label": ids[label], "recall": recall})
+
+    found = saved(placed.join(lists, "rep").groupBy("shard").applyInPandas(find, "rep long, home boolean, links long, label long, recall double"), "found")
+    joined = components(found.where("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b")))
+    counts = found.where("home").select("rep", "links", "recall")
+    nodes = distinct.select("rep", "copies", "k1", "k2").join(counts, "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
+    nodes = nodes.groupBy("k1", "k2").agg(*(F.min(c).alias(c) for c in ("copies", "links", "recall", "component", "rep")))
+    rows = vectors.select(F.col("vec_id").cast("long"), *_keys(_parts(F.col("embedding"))))
+    joined = rows.join(nodes, ["k1", "k2"], "left")
+    known = F.col("vec_id").isNotNull()
+    component = F.when(known, F.coalesce("component", "rep", "vec_id"))
+    return joined.select(
+        "vec_id",
+        F.when(known, F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"),
+        F.col("recall").alias("audited_recall"),
+    )
