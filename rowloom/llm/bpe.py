@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by published merge ranks.
 
-A piece's pairs stand in a segment tree over byte positions. Its root is the leftmost pair of the lowest rank; a merge
-empties one leaf and rewrites at most two, those of its live neighbours, each in logarithmic time. So one piece of a
-million bytes costs n log n and not n squared.
+A piece's pairs stand in a segment tree over byte positions, 64 children to a node. Its top gives the leftmost pair of the lowest
+rank; a merge empties one leaf and rewrites at most two, those of its live neighbours, each in logarithmic time. So one piece
+of a million bytes costs n log n and not n squared.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from .common import documents
 
 _NONE = 1 << 62
+#: Children of a node of the tree are 1 << _FAN neighbours, so that the least of them is one call.
+_FAN = 6
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -25,48 +27,47 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    n = len(piece)
-    if n < 2:
-        return [ranks[piece]] if n else []
-    width = 1 << (n - 2).bit_length() if n > 2 else 1
-    tree = [_NONE] * (2 * width)
-    after = list(range(1, n + 2))  # start of the live token that follows the one at i
-    before = list(range(-1, n + 1))
-    get = ranks.get
+    n, get = len(piece), ranks.get
+    leaves = [_NONE] * (n - 1)
     for i in range(n - 1):
         rank = get(piece[i : i + 2])
         if rank is not None:
-            tree[width + i] = rank << 32 | i
-    for i in range(width - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
-
-    def put(i: int, value: int) -> None:
-        i += width
-        tree[i] = value
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            least = a if a < b else b
-            if tree[i] == least:
+            leaves[i] = rank << 32 | i
+    tree = [leaves]
+    while len(tree[-1]) > 1 << _FAN:
+        below = tree[-1]
+        tree.append([min(below[at : at + (1 << _FAN)]) for at in range(0, len(below), 1 << _FAN)])
+    top, upper = tree[-1], tree[1:]
+    after = list(range(1, n + 2))  # start of the live token that follows the one at i
+    before = list(range(-1, n + 1))
+
+    def lift(i: int) -> None:
+        below = leaves
+        for level in upper:
+            i >>= _FAN
+            least = min(below[i << _FAN : (i + 1) << _FAN])
+            if level[i] == least:
                 return
-            tree[i] = least
-            i >>= 1
+            level[i] = least
+            below = level
 
-    while (top := tree[1]) != _NONE:
-        i = top & 0xFFFFFFFF
+    while top and (least := min(top)) != _NONE:
+        i = least & 0xFFFFFFFF
         j = after[i]
         k = after[j]
         after[i] = k
         before[k] = i
         if j < n - 1:
-            put(j, _NONE)
+            leaves[j] = _NONE
+            lift(j)
         rank = get(piece[i : after[k]]) if k < n else None
-        put(i, _NONE if rank is None else rank << 32 | i)
+        leaves[i] = _NONE if rank is None else rank << 32 | i
+        lift(i)
         if i:
             h = before[i]
             rank = get(piece[h:k])
-            put(h, _NONE if rank is None else rank << 32 | h)
+            leaves[h] = _NONE if rank is None else rank << 32 | h
+            lift(h)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : after[i]]])
@@ -89,68 +90,87 @@ def vocabulary(path: str) -> tuple[dict[bytes, int], list[bytes]]:
     return ranks, tokens
 
 
+class Recent:
+    """The values of keys seen lately: between `most` and twice as many; those not asked for since the last turn go."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+
+    def get(self, key: str):
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.young[key] = value
+        return value
+
+
 class Chunks:
-    """Splits texts before a space that a non-space follows, and gives what each distinct chunk encodes to.
+    """Encodes a text by its chunks and a chunk by its pieces, each looked up if it has been seen lately.
 
-    The pattern never lets a piece cross such a place, so a text's ids are its chunks' ids in a row. Chunks seen before are
-    looked up; at most `most` of them are held.
+    A text is cut before each space that a non-space follows. The pattern never lets a piece cross such a place, so a text's ids
+    are those of its chunks in a row. encode_pieces turns distinct pieces into their ids' bytes.
     """
 
-    def __init__(self, encode, most: int = 150_000):
-        self.encode, self.most, self.held = encode, most, {}
+    def __init__(self, pattern: str, encode_pieces, chunks: int = 100_000, pieces: int = 250_000):
+        import regex
 
-    def __call__(self, text: str) -> list[bytes]:
+        self.find, self.encode_pieces = regex.compile(pattern).findall, encode_pieces
+        self.chunks, self.pieces = Recent(chunks), Recent(pieces)
+
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        self.pieces.turn()
+        get, find = self.pieces.get, self.find
+        parted = [find(chunk) for chunk in chunks]
+        ids = {piece: get(piece) for found in parted for piece in found}
+        missing = [piece for piece, value in ids.items() if value is None]
+        if missing:
+            for piece, value in zip(missing, self.encode_pieces(missing), strict=True):
+                ids[piece] = value
+                if len(piece) < 64:
+                    self.pieces.young[piece] = value
+        return [b"".join([ids[piece] for piece in found]) for found in parted]
+
+    def __call__(self, text: str) -> bytes:
         parts = text.split(" ")
         for i in range(len(parts) - 1, 0, -1):
             part = parts[i]
-            if not part or part[0].isspace() or part[0] in "\x1c\x1d\x1e\x1f\x85":
+            if not part or part[0].isspace():
                 # this space belongs to a run of white space; the chunk before it takes it in
                 parts[i - 1 : i + 1] = [f"{parts[i - 1]} {part}"]
-        held = self.held
-        out = [self.encode([parts[0]])[0]]
-        rest = parts[1:]
-        if len(held) > self.most:
-            held.clear()
-        missing = [part for part in dict.fromkeys(rest) if part not in held]
-        if missing:
-            held.update(zip(missing, self.encode([f" {part}" for part in missing]), strict=True))
-        out += map(held.__getitem__, rest)
-        for part in missing:
-            if len(part) > 64:
-                del held[part]
-        return out
-
-
-def _encoder(path: str, pattern: str):
-    import regex
-
-    find, (ranks, _) = regex.compile(pattern).findall, vocabulary(path)
-    pieces: dict[str, bytes] = {}
-
-    def encode(chunks: list[str]) -> list[bytes]:
-        out = []
-        if len(pieces) > 150_000:
-            pieces.clear()
-        for chunk in chunks:
-            row = []
-            for piece in find(chunk):
-                ids = pieces.get(piece)
-                if ids is None:
-                    ids = array("I", merge(piece.encode("utf-8", "surrogatepass"), ranks)).tobytes()
-                    if len(piece) < 64:
-                        pieces[piece] = ids
-                row.append(ids)
-            out.append(b"".join(row))
-        return out
-
-    return encode
-
-
-def encode_texts(texts: Iterator[str | None], path: str, pattern: str, chunks: Chunks | None = None) -> Iterator[bytes]:
+        self.chunks.turn()
+        first, rest = parts[0], parts[1:]
+        out = list(map(self.chunks.young.get, rest))
+        if None in out:
+            get = self.chunks.get
+            missing = dict.fromkeys(part for part, value in zip(rest, out, strict=True) if value is None and get(part) is None)
+            new = dict(zip(missing, self.encode([f" {part}" for part in missing]), strict=True))
+            self.chunks.young.update((part, value) for part, value in new.items() if len(part) < 64)
+            young = self.chunks.young
+            out = [young[part] if part in young else new[part] for part in rest]
+        return self.encode([first])[0] + b"".join(out)
+
+
+def _pieces(path: str):
+    ranks, _ = vocabulary(path)
+    return lambda pieces: [array("I", merge(piece.encode("utf-8", "surrogatepass"), ranks)).tobytes() for piece in pieces]
+
+
+@lru_cache(maxsize=1)
+def _chunks(path: str, pattern: str) -> Chunks:
+    """One a worker process, so that later tasks find what earlier ones have seen."""
+    return Chunks(pattern, _pieces(path))
+
+
+def encode_texts(texts: Iterator[str | None], path: str, pattern: str) -> Iterator[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
-    chunks = chunks or Chunks(_encoder(path, pattern))
+    chunks = _chunks(path, pattern)
     for text in texts:
-        yield b"".join(chunks(text)) if text else b""
+        yield chunks(text) if text else b""
 
 
 def decode_ids(ids: bytes, tokens: list[bytes]) -> bytes:
@@ -165,12 +185,11 @@ def encode(docs: DataFrame, path: str, pattern: str, decode: bool = False) -> Da
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunks = Chunks(_encoder(path, pattern))
         _, tokens = vocabulary(path)
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                ids = list(encode_texts(part["text"], path, pattern, chunks))
+                ids = list(encode_texts(part["text"], path, pattern))
                 out = {"doc_id": part["doc_id"].array, "n_tokens": [len(x) // 4 for x in ids], "ids": ids}
                 if decode:
                     out["decoded"] = [decode_ids(x, tokens) for x in ids]

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -110,25 +111,28 @@ class Reader:
 
 
 @lru_cache(maxsize=1)
-def _library(path: str) -> Chunks:
+def _library(path: str, pattern: str):
+    """The library's tokenizer, and a lookup of pieces that it has encoded."""
+    import os
+
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
     tokenizer = Tokenizer.from_file(path)
 
-    def encode(chunks: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def encode(pieces: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    return Chunks(encode)
+    return encode, Chunks(pattern, encode)
 
 
-def _ids(text: str | None, path: str) -> bytes:
+def _ids(text: str | None, path: str, pattern: str) -> bytes:
+    """The library's ids of a text. It is asked for each distinct piece once in a while; its own pre-tokenizer cuts at the same places."""
     if not text:
         return b""
-    chunks = _library(path)
-    if "<|" in text:  # may hold a special token's name, which the library looks for across spaces
-        return chunks.encode([text])[0]
-    return b"".join(chunks(text))
+    whole, chunks = _library(path, pattern)
+    # a text may hold a special token's name, which the library looks for across pieces
+    return whole([text])[0] if "<|" in text else chunks(text)
 
 
 def _put(folder: str, name: str, raw: bytes) -> None:
@@ -146,7 +150,7 @@ def _put(folder: str, name: str, raw: bytes) -> None:
     store.move(part, f"{root}/{name}")
 
 
-def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 0, file_tokens: int = FILE_TOKENS) -> tuple[str, DataFrame]:
+def write(docs: DataFrame, path: str, pattern: str, folder: str | None = None, end_id: int = 0, file_tokens: int = FILE_TOKENS) -> tuple[str, DataFrame]:
     """Encode docs and write their ids, each document's followed by end_id, in ascending order of doc_id (nulls first).
 
     Returns the folder and a table of its files (file, part, seq, n_docs, n_tokens). Null and empty texts hold the end id alone;
@@ -176,7 +180,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int = 0
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].array, batch["text"], strict=True):
                 doc_ids.append(_NULL if pd.isna(doc_id) else int(doc_id))
-                rows.append(_ids(text, path) + end)
+                rows.append(_ids(text, path, pattern) + end)
                 held += len(rows[-1]) // 4
                 if held >= file_tokens:
                     flush()
