@@ -25,9 +25,9 @@ SHARD, CENTRES = 2048, 64
 #: Rows a split's centres are found from; chosen by a hash.
 FIT_ROWS = 16_384
 #: Shards a vector is a member of.
-OVERLAP = 3
+OVERLAP = 4
 CANDIDATES, DEGREE, ALPHA = 40, 20, 1.2
-BEAM, SLACK, MEDOIDS = 24, 0.15, 8
+BEAM, SLACK, MEDOIDS = 16, 0.15, 8
 #: Share of a shard's queries that are audited by brute force, and the recall below which the beam is doubled.
 AUDIT, RECALL = 0.05, 0.99
 _BLOCK = 256
@@ -81,13 +81,15 @@ def medoids(x: np.ndarray, k: int = MEDOIDS) -> np.ndarray:
 def search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, queries: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For blocks of queries (rows of x): query and row of each pair found whose cosine reaches COSINE.
 
-    All queries of a block step together: each opens its best unopened row and looks at that row's neighbours. A query ends when
+    A query starts from the medoids and, as it is a row of the graph itself, from its own place: a group of near copies may be an
+    island of the graph. All queries of a block step together: each opens its best unopened row and looks at that row's neighbours. A query ends when
     it has opened a beam of rows and its best unopened one is further off than the range and some slack.
     """
     for at in range(0, len(queries), _BLOCK):
         own = queries[at : at + _BLOCK]
         sims = np.full((len(own), len(x)), -np.inf)
         sims[:, start] = x[own] @ x[start].T
+        sims[np.arange(len(own)), own] = 1.0
         waiting = sims.copy()
         opened = np.zeros(len(own), int)
         live = np.arange(len(own))
