@@ -1 +1 @@
-"""Spark-first building blocks: plans."""
+"""Registered queries by subject."""

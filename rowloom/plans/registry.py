@@ -24,4 +24,8 @@ def query(sql: str | None = None):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return QUERIES["offer_fields"](spark, sf_dir)
+
+
+# each module registers its queries as it is imported
+from . import relational_queries  # noqa: E402, F401
