@@ -1,0 +1,297 @@
+"""Operators against brute force and on awkward rows: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers as public
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from rowloom.llm import bpe, language, line_rules, minhash, mixing, pii, quality, repeats, suffixes, token_files, vectors
+from rowloom.llm.common import held_out
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, kind string, odds double"
+RANKS, JSON = public.path("byte_bpe_50k.tiktoken"), public.path("byte_bpe_50k.json")
+_rng = random.Random(3)
+PROSE = [" ".join(_rng.choice("the of and red fox sea tree hill wine bread stone light".split()) + str(_rng.randrange(40)) for _ in range(120)) for _ in range(12)]
+
+
+def changed(text, at):
+    words = text.split()
+    words[at] = "other"
+    return " ".join(words)
+
+
+TEXTS = [
+    (1, PROSE[0]), (2, PROSE[0]), (3, changed(PROSE[0], 60)), (4, None), (5, ""), (6, "  \n\t "), (7, "one two"), (8, "One  Two"), (9, PROSE[1]), (9, PROSE[1]), (None, PROSE[2]),
+    (11, "x" * 30000), (12, "mail a.b@c.org, ip 1.2.3.4, card 4111 1111 1111 1111, call +1 (555) 010-9999 now é😀"), (13, PROSE[3] + "\n" + PROSE[4]), (14, PROSE[5] + "\n" + PROSE[4]), (15, "ab " * 200),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if (i or 0) % 2 else None, None if i == 7 else f"s{(i or 0) % 3}", 0, 1, "k", 0.5) for i, t in TEXTS]
+    return spark.createDataFrame(rows, SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(rows):
+    out = defaultdict(list)
+    for r in rows:
+        out[r.doc_id].append(r)
+    return out
+
+
+def raw(text):
+    return (text or "").encode()
+
+
+def test_bpe(docs, none):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    truth = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coded = bpe.encode(docs, RANKS, public.PATTERN)
+    found = sorted(((r.doc_id or 0), bytes(r.ids)) for r in coded.collect())
+    assert found == sorted((i or 0, np.array(truth.encode_ordinary(t or ""), "<u4").tobytes()) for i, t in TEXTS)
+    assert sorted((r.doc_id or 0, bytes(r.decoded)) for r in bpe.decode(coded, RANKS).collect()) == sorted((i or 0, raw(t)) for i, t in TEXTS)
+    assert bpe.encode(none, RANKS, public.PATTERN).count() == 0
+    rng = random.Random(1)
+    for _ in range(2000):
+        text = "".join(rng.choice(" \t\n\r\x0b\x1c\x85\xa0　ab'sé1²½_!?中-lvt") for _ in range(rng.randrange(1, 15)))
+        assert np.frombuffer(next(bpe.encode_texts([text], RANKS, public.PATTERN)), "<u4").tolist() == truth.encode_ordinary(text)
+
+
+def test_token_files(spark, docs, none):
+    truth = Tokenizer.from_file(JSON)
+    folder, files = token_files.write(docs, JSON, public.PATTERN, file_tokens=300)
+    rows = token_files.read(spark, folder, files).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == sorted((i for i, _ in TEXTS), key=lambda i: -1 if i is None else i)
+    at = 0
+    for r in rows:
+        options = [truth.encode(t or "", add_special_tokens=False).ids + [0] for i, t in TEXTS if i == r.doc_id]
+        assert r.start == at and any(zlib.crc32(np.array(o, "<u4").tobytes()) == zlib.crc32(bytes(r.ids)) for o in options)
+        at += r.n_tokens
+    ids = np.array([0, 255, 256, 65535, 65536, 2**32 - 1, 7] * 300, "<u4")
+    reader = token_files.Reader(token_files.pack(np.array([5]), np.array([0, len(ids)]), ids))
+    assert reader.tokens(0, len(ids)).tolist() == ids.tolist() and reader.tokens(701, 1403).tolist() == ids[701:1403].tolist()
+    assert [reader.token(i) for i in range(0, len(ids), 37)] == ids[::37].tolist()
+    folder, files = token_files.write(none, JSON, public.PATTERN)
+    assert token_files.read(spark, folder, files).count() == 0
+
+
+def brute_links(texts):
+    sets = []
+    for t in texts:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", raw(t).lower())
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return sets, [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+
+
+def smallest(ids, links):
+    label = {i: i for i in ids}
+    for _ in ids:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_minhash_rows(docs, none):
+    rows = by_id(minhash.link(docs).collect())
+    known = [(i, t) for i, t in TEXTS if i is not None]
+    sets, links = brute_links([t for _, t in known])
+    label = smallest({i for i, _ in known}, [(known[i][0], known[j][0]) for i, j in links])
+    for (i, _), s in zip(known, sets):
+        assert all((r.component_id, r.kept) == (label[i], label[i] == i) for r in rows[i]) and any(r.n_shingles == len(s) for r in rows[i])
+    assert rows[None][0].component_id is None and rows[None][0].kept and len(rows[9]) == 2
+    assert minhash.link(none).count() == 0
+
+
+def test_minhash_near_copies(spark):
+    """A group of copies at growing distance: every link of the brute force, whatever the hub."""
+    rng, texts = random.Random(7), []
+    for g in range(6):
+        words = PROSE[g].split()
+        for k in range(12):
+            copy = list(words)
+            for _ in range(k % 6):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(999)}"
+            texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, links = brute_links(texts)
+    label = smallest(range(len(texts)), links)
+    assert {r.doc_id: r.component_id for r in minhash.link(df).collect()} == label
+
+
+def brute_pii(text):
+    luhn = lambda d: sum(int(c) * (1 + i % 2) - 9 * (int(c) * (1 + i % 2) > 9) for i, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda m: re.sub(r"[^0-9]", "", m.group())
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m)) <= 15]
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in out)
+
+
+def test_pii(spark, docs, none):
+    rng = random.Random(2)
+    texts = [t for _, t in TEXTS] + ["".join(rng.choice("a.b@-_ +1234567890().,é😀c") for _ in range(rng.randrange(60))) for _ in range(300)] + ["1.2.3.4.5.6.7.8 a@b.c_d@e.f", "a@b.c" + ".c" * 3000, "1" * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.s for r in pii.find(df).select("doc_id", pii.joined_spans(F.col("base")).alias("s")).collect()}
+    assert found == {i: brute_pii(t or "") for i, t in enumerate(texts)}
+    assert pii.find(none).count() == 0 and pii.find(docs).count() == len(TEXTS)
+
+
+def test_pii_bootstraps_contexts(spark):
+    rows = [(i, f"please write. my email: user{i}@host{i}.org thanks") for i in range(5)] + [(50, "so my email: jo (at) host (dot) org bye"), (51, "jo (at) host (dot) org 🙂 a@b.cd x")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kind string")
+    clean = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert clean[50] == "so my email: [EMAIL] bye" and clean[51] == "jo (at) host (dot) org 🙂 [EMAIL] x" and clean[3] == "please write. my email: [EMAIL] thanks"
+    assert pii.redacted(df).columns == df.columns
+
+
+def test_line_rules(docs, none):
+    rows = by_id(line_rules.verdicts(docs).collect())
+    for i, t in TEXTS:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+        covered = {p for k in range(len(words) - 4) if grams[tuple(words[k : k + 5])] > 1 for p in range(k, k + 5)}
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        truth = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered))
+        assert truth in [(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in rows[i]]
+        assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.kept and r.base_failed) for r in rows[i])
+    assert line_rules.verdicts(none).count() == 0
+
+
+def test_frequent_lines_are_removed(spark):
+    banner = "this very same banner line stands on top of all of the pages of the host and is long"
+    rows = [(i, f"{banner}\n{PROSE[i % 12]} tail {i}", "h") for i in range(30)] + [(90 + i, f"{banner}\nshort", "h") for i in range(3)] + [(99, f"{banner}\nshort", "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id: r.kept for r in line_rules.verdicts(df).collect()}
+    assert all(kept[i] for i in range(30)) and not any(kept[90 + i] for i in range(3)) and kept[99]
+    clean = {r.doc_id: r.text for r in line_rules.cleaned(df).collect()}
+    assert clean[3] == f"{PROSE[3]} tail 3" and clean[99] == f"{banner}\nshort" and 90 not in clean
+
+
+def test_mixing(spark, docs, none):
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(1, 200), ["a", "b", "c", None][min(rng.randrange(8), 3)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(df).collect()
+    assert found and sorted(map(tuple, found)) == sorted(map(tuple, mixing.mix(df.repartition(7)).collect()))
+    sizes = Counter()
+    for r in found:
+        sizes[r.source] += r.size
+    caps, weights, left, target = {s: 3 * n for s, n in sizes.items()}, dict(zip(["a", "b", "c", None], (1, 2, 3, 1))), sum(sizes.values()), {}
+    while True:  # share, stop at caps, share the rest again
+        open_ = [s for s in sizes if s not in target]
+        level = left / sum(weights[s] for s in open_)
+        over = [s for s in open_ if level * weights[s] > caps[s]]
+        if not over:
+            target |= {s: level * weights[s] for s in open_}
+            break
+        for s in over:
+            target[s] = caps[s]
+            left -= caps[s]
+    taken = Counter()
+    for r in found:
+        taken[r.source] += r.taken
+        assert r.taken <= 3 * r.size and r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6 * target[r.source]
+    assert all(abs(taken[s] - target[s]) <= max(5, 0.001 * target[s]) for s in target)
+    assert mixing.mix(docs).count() == len(TEXTS) and mixing.mix(none).count() == 0
+    assert mixing.mixed_documents(docs).columns == docs.columns
+
+
+def test_suffix_arrays():
+    rng = random.Random(5)
+    for t in range(250):
+        text = bytes(rng.randrange(rng.choice([1, 2, 3, 9, 250])) for _ in range(rng.randrange(1, 90)))
+        text = (text[:9] * 15)[:120] if t % 3 == 0 else text
+        a = np.frombuffer(text, "u1")
+        sums = suffixes.prefix_sums(a)
+        sa = suffixes.suffix_array(a, sums)
+        order = sorted(range(len(text)), key=lambda i: text[i:])
+        assert sa.tolist() == order
+        shared = [0] * len(text)
+        for x, y in zip(order, order[1:]):
+            while x + shared[y] < len(text) and y + shared[y] < len(text) and text[x + shared[y]] == text[y + shared[y]]:
+                shared[y] += 1
+        assert suffixes.common_prefixes(a, sa, sums, 1000).tolist() == shared
+
+
+def test_repeats(spark, docs, none):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh é") for _ in range(1500))
+    extra = [(100 + i, "".join(rng.choice("klmnopq ") for _ in range(700)) + passage[i * 90 : i * 90 + 380 + i * 60] + "".join(rng.choice("rstuv ") for _ in range(500))) for i in range(10)]
+    extra += [(120, passage[:800] + "Z" + passage[:800]), (121, "ab" * 900)]
+    rows = [(i, t) for i, t in TEXTS] + extra
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = Counter(raw(t)[k : k + 400] for _, t in rows for k in range(len(raw(t)) - 399))
+    found = defaultdict(set)
+    for r in repeats.without_repeats(df).collect():
+        found[r.doc_id].add((r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()))
+    for i, t in rows:
+        b = raw(t)
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 399):
+            if counts[b[k : k + 400]] > 1:
+                gone[k : k + 400] = True
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) > 0).sum())
+        assert found[i] == {(len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, "u1")[~gone].tobytes()).hexdigest())}
+    assert repeats.without_repeats(none).count() == 0
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 16))
+    x[300:420] = x[300] + rng.normal(size=(120, 16)) * 0.12
+    x[500:520] = x[500:501]
+    rows = [(i, v.astype("f4").tolist(), "c") for i, v in enumerate(x)] + [(900, None, "c"), (901, [0.0] * 16, "c"), (902, [float("nan")] * 16, "c"), (903, [None] * 16, "c"), (904, [float("inf")] + [1.0] * 15, "c"), (905, [1.0], "c"), (None, x[0].tolist(), "c")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, component string")
+    found = {r.vec_id: r for r in vectors.link(df).collect()}
+    u = x.astype("f4").astype("f8")
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    label = smallest(range(700), list(zip(*np.nonzero(near))))
+    total = sum(found[i].n_links for i in range(700))
+    assert 0.98 * near.sum() <= total <= near.sum() and all(found[i].n_links <= near[i].sum() for i in range(700))
+    assert {i: found[i].component_id for i in range(700)} == label
+    assert all((found[i].n_links, found[i].component_id, found[i].kept) == (0, i, True) for i in (*range(900, 906),))
+    assert (found[None].n_links, found[None].component_id, found[None].kept) == (0, None, True)
+    assert vectors.link(df.limit(0)).count() == 0
+
+
+def test_language(docs, none):
+    fixed = docs.sparkSession.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = language.identify(fixed).join(fixed.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert held and sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held) and all(0 <= r.score <= 1 for r in rows)
+    found = by_id(language.identify(docs).collect())
+    assert all(found[i][0].lang_pred == "und" and found[i][0].score == 0 for i in (4, 5, 6)) and found[7][0].lang_pred == "en"
+    assert language.identify(none).count() == 0
+
+
+def test_quality(docs, none):
+    spark = docs.sparkSession
+    fixed, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.score(fixed, quality.fit(fixed, labels)).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.quality for r in rows) >= 0.95 * len(rows)
+    few = spark.createDataFrame([(1, 1), (3, 0), (4, None), (None, 1)], "doc_id long, quality int")
+    scored = quality.score(docs, quality.fit(docs, few)).collect()
+    assert len(scored) == len(TEXTS) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in scored)
+    assert quality.score(none, quality.fit(none, few.limit(0))).count() == 0 and quality.accepted(docs, quality.fit(docs, few)).columns == docs.columns
+
+
+def test_held_out(spark):
+    rows = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
