@@ -31,6 +31,8 @@ BEAM, SLACK, MEDOIDS = 16, 0.15, 8
 #: Share of a shard's queries that are audited by brute force, and the recall below which the beam is doubled.
 AUDIT, RECALL = 0.05, 0.99
 _BLOCK = 256
+#: Rows that a query opens at a step while its beam is not full.
+_STEP = 8
 
 
 def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -82,39 +84,57 @@ def search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, queries: np.ndar
     """For blocks of queries (rows of x): query and row of each pair found whose cosine reaches COSINE.
 
     A query starts from the medoids and, as it is a row of the graph itself, from its own place: a group of near copies may be an
-    island of the graph. All queries of a block step together: each opens its best unopened row and looks at that row's neighbours. A query ends when
-    it has opened a beam of rows and its best unopened one is further off than the range and some slack.
+    island of the graph. All queries of a block step together. Each opens its best few unopened rows until it has opened a beam of
+    them, and every row that is within the range and some slack, and looks at their neighbours; it ends when nothing is left to open.
     """
+    n = len(x)
     for at in range(0, len(queries), _BLOCK):
         own = queries[at : at + _BLOCK]
-        sims = np.full((len(own), len(x)), -np.inf)
+        sims = np.full((len(own), n), -np.inf)
         sims[:, start] = x[own] @ x[start].T
         sims[np.arange(len(own)), own] = 1.0
-        waiting = sims.copy()
-        opened = np.zeros(len(own), int)
-        live = np.arange(len(own))
-        while len(live):
-            best = waiting[live].argmax(1)
-            value = waiting[live, best]
-            go = (value > -np.inf) & ((opened[live] < beam) | (value >= COSINE - SLACK))
-            live, best = live[go], best[go]
-            if not len(live):
+        opened = np.zeros(sims.shape, bool)
+        while True:
+            waiting = np.where(opened, -np.inf, sims)
+            go = waiting >= COSINE - SLACK
+            short = np.flatnonzero(opened.sum(1) < beam)
+            if len(short):
+                some = waiting[short]
+                best = np.argpartition(-some, min(_STEP, n) - 1, axis=1)[:, :_STEP]
+                row = np.repeat(np.arange(len(short)), best.shape[1])
+                real = some[row, best.ravel()] > -np.inf
+                go[short[row[real]], best.ravel()[real]] = True
+            q, m = np.nonzero(go)
+            if not len(q):
                 break
-            waiting[live, best] = -np.inf
-            opened[live] += 1
-            near = graph[best]
-            row, slot = np.nonzero(near >= 0)
-            q, m = live[row], near[row, slot]
-            new = sims[q, m] == -np.inf
-            q, m = q[new], m[new]
-            value = np.einsum("ij,ij->i", x[own[q]], x[m])
-            sims[q, m] = value
-            waiting[q, m] = value
+            opened |= go
+            seen = np.zeros(sims.shape, bool)
+            for part in range(0, len(q), 1 << 15):
+                near = graph[m[part : part + (1 << 15)]]
+                row, slot = np.nonzero(near >= 0)
+                seen[q[part : part + (1 << 15)][row], near[row, slot]] = True
+            q, m = np.nonzero(seen & (sims == -np.inf))
+            for part in range(0, len(q), 1 << 16):
+                a, b = q[part : part + (1 << 16)], m[part : part + (1 << 16)]
+                sims[a, b] = np.einsum("ij,ij->i", x[own[a]], x[b])
         q, m = np.nonzero(sims >= COSINE)
         differs = own[q] != m
         yield own[q[differs]], m[differs]
 
 
+def both_ways(x: np.ndarray, graph: np.ndarray) -> np.ndarray:
+    """The graph with each edge turned round too, the nearest DEGREE of them a row, so that what points somewhere can be reached."""
+    row, slot = np.nonzero(graph >= 0)
+    a, b = graph[row, slot], row
+    order = np.lexsort((b, -np.einsum("ij,ij->i", x[a], x[b]), a))
+    a, b = a[order], b[order]
+    place = np.arange(len(a)) - np.searchsorted(a, a)
+    keep = place < DEGREE
+    back = np.full((len(x), DEGREE), -1, "i4")
+    back[a[keep], place[keep]] = b[keep]
+    return np.concatenate([graph, back], axis=1)
+
+
 def searched_shard(ids: np.ndarray, x: np.ndarray, home: np.ndarray, copies: np.ndarray, lists: list) -> tuple[np.ndarray, np.ndarray, float]:
     """Of one shard: links of each row at home (copies counted), a label that rows linked within the shard share, audited recall."""
     n = len(ids)
@@ -125,6 +145,7 @@ def searched_shard(ids: np.ndarray, x: np.ndarray, home: np.ndarray, copies: np.
         at = order[np.minimum(at, n - 1)]
         at = at[ids[at] == np.asarray(v, "i8")]
         graph[i, : len(at)] = at
+    graph = both_ways(x, graph)
     queries, start = np.flatnonzero(home), medoids(x)
     audited = queries[:: max(1, round(1 / AUDIT))]
     truth = 0
@@ -148,7 +169,7 @@ def searched_shard(ids: np.ndarray, x: np.ndarray, home: np.ndarray, copies: np.
                 b.append(m)
             label = lowest
         recall = min(1.0, found / truth) if truth else 1.0
-        if recall >= RECALL or beam >= n:
+        if recall >= RECALL or beam >= BEAM * 16:
             break
         beam *= 4
     if a:
