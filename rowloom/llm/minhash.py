@@ -3,8 +3,9 @@
 A document's shingles are hashed once. The top bits of a hash choose one of 256 bins, each of which keeps its least hash; an
 empty bin borrows from the filled bin that comes first in the bin's own random order of all bins. Five bins make a band; equal
 bands put documents in a bucket. In each bucket one hub, the document that shares most buckets, is compared with all others:
-n - 1 pairs, not n * (n - 1) / 2. Where a bucket still holds several components after that, members of its smaller ones become
-hubs in turn until no pair that could join two components is untested. Links are confirmed on the full sets.
+n - 1 pairs, not n * (n - 1) / 2. Links are confirmed on the full sets. A bucket that still holds several components is split by
+further bins, several ways; in each part a member of its smallest component is the hub of a second star, against the members of
+other components. That is repeated until a round confirms no link.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ PERCENT = 75
 BINS, BANDS, ROWS = 256, 40, 5
 #: Members compared with one hub by one task; a hub with more is spread over several.
 STAR = 256
-#: Hubs a bucket takes in the second round; eight times as many in each later one.
-HUBS = 8
+#: Ways in which a bucket of several components is split, and the further bins that split it.
+WAYS, FURTHER = 4, 3
 
 _U = np.uint64
 
@@ -84,8 +85,8 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """Keys of the bands of a non-empty sorted set of hashes."""
+def bins(found: np.ndarray) -> np.ndarray:
+    """The densified bins of a non-empty sorted set of hashes."""
     first = np.searchsorted(found, np.arange(BINS, dtype="u8") << _U(56))
     filled = np.zeros(BINS, bool)
     filled[found >> _U(56)] = True
@@ -94,13 +95,18 @@ def bands(found: np.ndarray) -> np.ndarray:
     if len(empty):
         full = np.flatnonzero(filled)
         values[empty] = values[full[_ORDER[np.ix_(empty, full)].argmin(1)]]
+    return values
+
+
+def bands(values: np.ndarray) -> np.ndarray:
+    """Keys of the bands of bins."""
     grouped = values[: BANDS * ROWS].reshape(BANDS, ROWS)
     keys = (grouped * _ODD[8 : 8 + ROWS]).sum(1, dtype="u8") + np.arange(1, BANDS + 1, dtype="u8") * _U(0x9E3779B97F4A7C15)
     return mixed(keys).view("i8")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two keys of the set, and the band keys (null for an empty set) of every row."""
+    """doc_id, n_shingles, two keys of the set, the band keys and a byte of each bin (both null for an empty set) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -109,12 +115,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for text in part["text"]:
                     found = shingles(text)
                     keys = (int(found.sum(dtype="u8").astype("i8")), int(mixed(found).sum(dtype="u8").astype("i8")))
-                    rows.append((len(found), *keys, bands(found) if len(found) else None))
-                out = pd.DataFrame(rows, columns=["n_shingles", "k1", "k2", "bands"])
+                    values = bins(found) if len(found) else None
+                    rows.append((len(found), *keys, *((None, None) if values is None else (bands(values), values.astype("u1").tobytes()))))
+                out = pd.DataFrame(rows, columns=["n_shingles", "k1", "k2", "bands", "sketch"])
                 out.insert(0, "doc_id", part["doc_id"].array)
                 yield out
 
-    return documents(docs).mapInPandas(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return documents(docs).mapInPandas(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -150,13 +157,27 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("hub", "share", "role", "doc_id", "text").mapInPandas(run, "hub long, member long")
 
 
+def _second_stars(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (hub, member) of rows (bucket, doc_id, n_shingles, component) of buckets that hold several components."""
+    way = F.explode(F.array(*(F.lit(w) for w in range(WAYS))))
+    at = F.pmod(F.xxhash64("bucket", "way"), F.lit(BINS - FURTHER)).cast("int") + 1
+    split = rows.join(sketches.dropDuplicates(["doc_id"]), "doc_id").withColumn("way", way).withColumn("part", F.xxhash64("bucket", "way", F.substring("sketch", at, F.lit(FURTHER))))
+    split = split.select("part", "doc_id", "n_shingles", "component")
+    sizes = split.groupBy("part", "component").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "n_shingles")).alias("one"))
+    hubs = sizes.groupBy("part").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("size", "component", "one")).alias("hub")).where("c > 1")
+    hubs = hubs.select("part", F.col("hub.component").alias("hub_component"), F.col("hub.one.doc_id").alias("hub"), F.col("hub.one.n_shingles").alias("hub_n"))
+    alike = 100 * F.least("n_shingles", "hub_n") >= PERCENT * F.greatest("n_shingles", "hub_n")
+    return split.join(hubs, "part").where((F.col("component") != F.col("hub_component")) & alike).select("hub", F.col("doc_id").alias("member")).distinct()
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
 
     Documents are linked if their sets of five-word shingles agree by three quarters; component_id is the smallest id that links
     reach. Sets that are equal are one node, whatever the number of copies. Texts that are null or without words have no shingle
     and no link. Rows with one id are one node with the links of all of them. A null id links with nothing: its component is null
-    and it is kept. A pair at exactly the threshold shares no band, and so may be missed, with a probability of 2e-5.
+    and it is kept. A pair at exactly the threshold shares no band, and so may be missed, with a probability of 2e-5; a link
+    between two members of a bucket, neither of them linked to its hub, is left to the second stars.
     """
     signed = saved(signatures(docs), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
@@ -180,36 +201,22 @@ def link(docs: DataFrame) -> DataFrame:
     own = usable.join(several, "doc_id").join(classes, ["k1", "k2", "n_shingles"]).select(F.col("doc_id").alias("hub"), F.col("rep").alias("member")).where("hub <> member")
     links = links.unionByName(own)
     found = components(links.select(F.col("hub").alias("a"), F.col("member").alias("b")))
-    hubs_of, round_no = HUBS, 0
+    sketches = reps.select("doc_id", "sketch")
     while True:
         label = F.coalesce(F.col("component"), F.col("doc_id")).alias("component")
         labelled = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n_shingles", label)
-        mixed_buckets = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        labelled = saved(labelled.join(mixed_buckets, "bucket"), "labelled")
-        if labelled.limit(1).count() == 0:
-            break
-        # members of the smaller components of a bucket become hubs, as many as this round takes
-        sizes = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-        order = Window.partitionBy("bucket").orderBy("size", "component")
-        upto = sizes.withColumn("upto", F.sum("size").over(order)).withColumn("largest", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("size").desc(), F.col("component").desc())))
-        small = upto.where((F.col("largest") > 1) & ((F.col("upto") <= hubs_of) | (F.col("upto") == F.col("size"))))
-        new_hubs = labelled.join(small.select("bucket", "component"), ["bucket", "component"]).select("bucket", F.col("doc_id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("component").alias("hub_component"))
-        between = labelled.join(new_hubs, "bucket").where(alike & (F.col("component") != F.col("hub_component")))
-        pairs = between.select(F.greatest("hub", "doc_id").alias("hub"), F.least("hub", "doc_id").alias("member")).distinct()
-        same = tested.select(F.greatest("hub", "member").alias("hub"), F.least("hub", "member").alias("member"))
-        fresh = saved(pairs.join(same, ["hub", "member"], "left_anti"), "fresh")
+        open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+        fresh = saved(_second_stars(labelled.join(open_, "bucket"), sketches).join(tested, ["hub", "member"], "left_anti"), "fresh")
         if fresh.limit(1).count() == 0:
-            if sizes.join(small, ["bucket", "component"], "left_anti").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() == 0:
-                break
-        else:
-            confirmed = verified(fresh, docs)
-            links = saved(links.unionByName(confirmed), "links")
-            tested = saved(tested.unionByName(fresh), "tested")
-            found = components(links.select(F.col("hub").alias("a"), F.col("member").alias("b")))
-        hubs_of, round_no = hubs_of * 8, round_no + 1
+            break
+        confirmed = saved(verified(fresh, docs), "links")
+        if confirmed.limit(1).count() == 0:
+            break
+        links, tested = links.unionByName(confirmed), tested.unionByName(fresh)
+        found = components(links.select(F.col("hub").alias("a"), F.col("member").alias("b")))
 
     copied = classes.where("copies > 1").select("k1", "k2", "n_shingles", "rep")
-    whole = signed.drop("bands").join(copied, ["k1", "k2", "n_shingles"], "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")))
+    whole = signed.drop("bands", "sketch").join(copied, ["k1", "k2", "n_shingles"], "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")))
     labelled = whole.join(found.withColumnRenamed("id", "node"), "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
