@@ -144,7 +144,7 @@ def removals(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.xxhash64("text"))
     found = _occurrences(texts.where(F.octet_length("text") >= LENGTH))
     twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    met = saved(found.join(small(saved(twice, "keys")), "key"), "met")
+    met = saved(found.join(saved(twice, "keys"), "key"), "met")
     distinct = saved(
         met.groupBy("key", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_key", "low", "high")).alias("one")), "contexts"
     )
