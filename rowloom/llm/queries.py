@@ -6,11 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, line_rules, minhash, mixing, pii, quality, repeats, token_files, vectors
+from . import bpe, language, line_rules, minhash, mixing, oracles, pii, quality, repeats, token_files, vectors
 from .common import table
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_vectors": oracles.OP1, "op5_minhash": oracles.OP5, "op7_line_rules": oracles.OP7}
 
 
 def _query(function):
@@ -20,7 +20,7 @@ def _query(function):
 
 @_query
 def op1_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.link(table(spark, sf_dir, "embeddings"))
+    return vectors.link(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
 @_query
