@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, saved
+from .common import documents, saved, small
 from .components import components
 
 SHINGLE = 5
@@ -224,5 +224,5 @@ def link(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Rows of docs, columns unchanged, of which one id of each component is left. Repeated rows of that id stay; null ids stay."""
-    kept = link(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(kept.alias("gone"), docs["doc_id"].cast("long") == F.col("gone.doc_id"), "left_anti")
+    gone = small(saved(link(docs).where("not kept").select(F.col("doc_id").alias("near_copy_id__")).distinct(), "gone"))
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("near_copy_id__"), "left_anti")

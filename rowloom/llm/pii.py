@@ -210,6 +210,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     found = find(docs).where(F.size("all_spans") > 0).dropDuplicates(["doc_id", "text_key"])
     placed = F.array_sort(F.transform("all_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     spans = found.select(F.col("doc_id").alias("pii_id__"), F.col("text_key").alias("pii_key__"), placed.alias("pii_spans__"))
+    spans = small(saved(spans, "spans"))  # rows with spans alone, without texts
     condition = docs["doc_id"].cast("long").eqNullSafe(F.col("pii_id__")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("pii_key__"))
     joined = docs.join(spans, condition, "left")
     text, all_spans = F.col("text"), F.col("pii_spans__")
