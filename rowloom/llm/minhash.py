@@ -28,7 +28,7 @@ BINS, BANDS, ROWS = 256, 40, 5
 #: Members compared with one hub by one task; a hub with more is spread over several.
 STAR = 256
 #: Ways in which a bucket of several components is split, and the further bins that split it.
-WAYS, FURTHER = 4, 3
+WAYS, FURTHER = 2, 2
 
 _U = np.uint64
 
@@ -135,7 +135,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     members = pairs.join(degree, "hub").select("hub", F.col("member").alias("doc_id"), F.pmod(F.xxhash64("member"), F.col("shares")).cast("int").alias("share"))
     wanted = hubs.withColumn("role", F.lit(0)).unionByName(members.withColumn("role", F.lit(1)))
     texts = documents(docs).dropna(subset=["doc_id"])
-    rows = wanted.join(texts, "doc_id").repartition("hub", "share").sortWithinPartitions("hub", "share", "role")
+    # few rows without texts: sent to the texts where their count allows, so that only wanted texts are shuffled
+    rows = texts.join(small(saved(wanted, "wanted")), "doc_id").repartition("hub", "share").sortWithinPartitions("hub", "share", "role")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, own = None, []
