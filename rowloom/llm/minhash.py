@@ -5,7 +5,8 @@ empty bin borrows from the filled bin that comes first in the bin's own random o
 bands put documents in a bucket. In each bucket one hub, the document that shares most buckets, is compared with all others:
 n - 1 pairs, not n * (n - 1) / 2. Links are confirmed on the full sets. A bucket that still holds several components is split by
 further bins, several ways; in each part a member of its smallest component is the hub of a second star, against the members of
-other components. That is repeated until a round confirms no link.
+other components. That is repeated until a round confirms no link, which leaves few components. Then every pair of different
+components that a bucket still holds is tested, but for those that sizes or bins prove to be no link.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ BINS, BANDS, ROWS = 256, 40, 5
 STAR = 256
 #: Ways in which a bucket of several components is split, and the further bins that split it.
 WAYS, FURTHER = 2, 2
+#: Members of a bucket that a task compares with as many others at once.
+TILE = 512
 
 _U = np.uint64
 
@@ -85,11 +88,17 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(mixed(total))
 
 
+def filled_bins(found: np.ndarray) -> np.ndarray:
+    """Which bins have a hash of their own."""
+    filled = np.zeros(BINS, bool)
+    filled[found >> _U(56)] = True
+    return filled
+
+
 def bins(found: np.ndarray) -> np.ndarray:
     """The densified bins of a non-empty sorted set of hashes."""
     first = np.searchsorted(found, np.arange(BINS, dtype="u8") << _U(56))
-    filled = np.zeros(BINS, bool)
-    filled[found >> _U(56)] = True
+    filled = filled_bins(found)
     values = found[np.minimum(first, len(found) - 1)]
     empty = np.flatnonzero(~filled)
     if len(empty):
@@ -106,7 +115,7 @@ def bands(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two keys of the set, the band keys and a byte of each bin (both null for an empty set) of every row."""
+    """doc_id, n_shingles, two keys of the set, the band keys, a byte of each bin and a bit of each that is filled (null for an empty set) of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -116,12 +125,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                     found = shingles(text)
                     keys = (int(found.sum(dtype="u8").astype("i8")), int(mixed(found).sum(dtype="u8").astype("i8")))
                     values = bins(found) if len(found) else None
-                    rows.append((len(found), *keys, *((None, None) if values is None else (bands(values), values.astype("u1").tobytes()))))
-                out = pd.DataFrame(rows, columns=["n_shingles", "k1", "k2", "bands", "sketch"])
+                    rows.append((len(found), *keys, *((None, None, None) if values is None else (bands(values), values.astype("u1").tobytes(), np.packbits(filled_bins(found)).tobytes()))))
+                out = pd.DataFrame(rows, columns=["n_shingles", "k1", "k2", "bands", "sketch", "filled"])
                 out.insert(0, "doc_id", part["doc_id"].array)
                 yield out
 
-    return documents(docs).mapInPandas(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary")
+    return documents(docs).mapInPandas(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary, filled binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -171,14 +180,83 @@ def _second_stars(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     return split.join(hubs, "part").where((F.col("component") != F.col("hub_component")) & alike).select("hub", F.col("doc_id").alias("member")).distinct()
 
 
+def differing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Bins (bytes, filled) that prove a shingle to be in one set alone, of one set and each of others.
+
+    If the least hashes of a bin differ, the lower of them is in one set only; so is any of a bin that the other leaves empty.
+    """
+    return ((a[1] ^ b[1]) | (a[1] & b[1] & (a[0] != b[0]))).sum(1)
+
+
+def _untested(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (hub, member) of different components that share a bucket, but for those that sizes or bins rule out.
+
+    rows (bucket, doc_id, n_shingles, component, bands, sketch, filled) are of buckets of several components. The largest
+    component's members are never paired with each other. Both they and the rest are dealt to tiles, and pairs of tiles to tasks.
+    """
+    sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("all"))
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    sizes = sizes.select("bucket", F.col("most.component").alias("major"), tiles(F.col("most.size")).alias("n_major"), tiles(F.col("all") - F.col("most.size")).alias("n_minor"))
+    # tiles of the largest component have numbers below zero
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    is_major = F.col("component") == F.col("major")
+    dealt = rows.join(sizes, "bucket").withColumn("tile", F.when(is_major, -1 - place(F.col("n_major"))).otherwise(place(F.col("n_minor"))))
+    others = F.sequence(F.when(is_major, 0).otherwise(-F.col("n_major")), F.col("n_minor") - 1)
+    dealt = dealt.select("bucket", "tile", "doc_id", "n_shingles", "component", "bands", "sketch", "filled", F.explode(others).alias("other"))
+    dealt = dealt.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other")).drop("other")
+    dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "tile")
+
+    def pairs(group: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids, n, component = (group[c].to_numpy() for c in ("doc_id", "n_shingles", "component"))
+        keys = np.stack(group["bands"].to_list())
+        sketch = np.frombuffer(b"".join(group["sketch"]), "u1").reshape(-1, BINS)
+        filled = np.unpackbits(np.frombuffer(b"".join(group["filled"]), "u1")).reshape(-1, BINS).astype(bool)
+        bucket, tile = group["bucket"].iloc[0], group["tile"].to_numpy()
+        first = len(group) if tile[0] == tile[-1] else int(np.searchsorted(tile, tile[-1]))
+        for i in range(first):
+            j = np.arange(i + 1 if first == len(group) else first, len(group))
+            j = j[(component[j] != component[i]) & (100 * np.minimum(n[j], n[i]) >= PERCENT * np.maximum(n[j], n[i]))]
+            j = j[(100 + PERCENT) * differing((sketch[i], filled[i]), (sketch[j], filled[j])) <= (100 - PERCENT) * (n[i] + n[j])]
+            # a pair of several buckets belongs to the first of them
+            j = j[keys[j, (keys[j] == keys[i]).argmax(1)] == bucket]
+            if len(j):
+                yield np.full(len(j), ids[i]), ids[j]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            # a group of the largest component's tile and another starts with the former: its members are many, the hubs are others
+            for a, b in pairs(group):
+                yield pd.DataFrame({"hub": b, "member": a} if group["low"].iloc[0] < 0 else {"hub": a, "member": b})
+
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            at = batch[["bucket", "low", "high"]].to_numpy()
+            starts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1), len(batch)]
+            if held and (held[0][["bucket", "low", "high"]].to_numpy()[0] != at[0]).any():
+                yield from found(pd.concat(held))
+                held = []
+            for start, end in zip(starts, starts[1:], strict=False):
+                held.append(batch.iloc[start:end])
+                if end < len(batch):
+                    yield from found(pd.concat(held))
+                    held = []
+        if held:
+            yield from found(pd.concat(held))
+
+    return dealt.mapInPandas(run, "hub long, member long").distinct()
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
 
     Documents are linked if their sets of five-word shingles agree by three quarters; component_id is the smallest id that links
     reach. Sets that are equal are one node, whatever the number of copies. Texts that are null or without words have no shingle
     and no link. Rows with one id are one node with the links of all of them. A null id links with nothing: its component is null
-    and it is kept. A pair at exactly the threshold shares no band, and so may be missed, with a probability of 2e-5; a link
-    between two members of a bucket, neither of them linked to its hub, is left to the second stars.
+    and it is kept. A pair at exactly the threshold shares no band, and so may be missed, with a probability of 2e-5; a pair
+    that shares one is linked by other documents, tested, or proven to be no link.
     """
     signed = saved(signatures(docs), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
@@ -203,21 +281,34 @@ def link(docs: DataFrame) -> DataFrame:
     links = links.unionByName(own)
     found = components(links.select(F.col("hub").alias("a"), F.col("member").alias("b")))
     sketches = reps.select("doc_id", "sketch")
-    while True:
+
+    def open_members() -> DataFrame:
+        """Members of buckets that hold several components."""
         label = F.coalesce(F.col("component"), F.col("doc_id")).alias("component")
-        labelled = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n_shingles", label)
-        open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-        fresh = saved(_second_stars(labelled.join(open_, "bucket"), sketches).join(tested, ["hub", "member"], "left_anti"), "fresh")
+        every = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n_shingles", label)
+        open_ = every.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+        return every.join(open_, "bucket")
+
+    while True:
+        fresh = saved(_second_stars(open_members(), sketches).join(tested, ["hub", "member"], "left_anti"), "fresh")
         if fresh.limit(1).count() == 0:
             break
         confirmed = saved(verified(fresh, docs), "links")
+        tested = tested.unionByName(fresh)
         if confirmed.limit(1).count() == 0:
             break
-        links, tested = links.unionByName(confirmed), tested.unionByName(fresh)
+        links = links.unionByName(confirmed)
+        found = components(links.select(F.col("hub").alias("a"), F.col("member").alias("b")))
+    # what the stars have left, without a further round: whatever these pairs link, none is left untested
+    left = open_members().distinct().join(reps.select("doc_id", "n_shingles", "bands", "sketch", "filled"), ["doc_id", "n_shingles"]).where(F.array_contains("bands", F.col("bucket")))
+    both = tested.unionByName(tested.select(F.col("member").alias("hub"), F.col("hub").alias("member")))
+    rest = saved(_untested(left).join(both, ["hub", "member"], "left_anti"), "rest")
+    if rest.limit(1).count():
+        links = links.unionByName(saved(verified(rest, docs), "links"))
         found = components(links.select(F.col("hub").alias("a"), F.col("member").alias("b")))
 
     copied = classes.where("copies > 1").select("k1", "k2", "n_shingles", "rep")
-    whole = signed.drop("bands", "sketch").join(copied, ["k1", "k2", "n_shingles"], "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")))
+    whole = signed.drop("bands", "sketch", "filled").join(copied, ["k1", "k2", "n_shingles"], "left").withColumn("node", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")))
     labelled = whole.join(found.withColumnRenamed("id", "node"), "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

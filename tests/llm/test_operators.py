@@ -132,6 +132,25 @@ def test_minhash_near_copies(spark):
     assert {r.doc_id: r.component_id for r in minhash.link(df).collect()} == label
 
 
+def test_minhash_pairs_beside_hubs(spark):
+    """One text in many versions that are no links of each other, a few of which have a near copy: no hub links to anybody."""
+    rng, base = random.Random(11), [f"w{i}" for i in range(400)]
+
+    def edited(words, n):
+        words = list(words)
+        for at in rng.sample(range(0, 400, 5), n):
+            words[at] = f"new{rng.randrange(10**6)}"
+        return words
+
+    texts = [edited(base, 8) for _ in range(150)]
+    texts += [edited(x, 3) for x in texts[:40]]
+    df = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(texts)], "doc_id long, text string")
+    _, links = brute_links([" ".join(words) for words in texts])
+    label = smallest(range(len(texts)), links)
+    assert 20 < sum(label[i] != i for i in label) < 100
+    assert {r.doc_id: r.component_id for r in minhash.link(df).collect()} == label
+
+
 def brute_pii(text):
     luhn = lambda d: sum(int(c) * (1 + i % 2) - 9 * (int(c) * (1 + i % 2) > 9) for i, c in enumerate(reversed(d))) % 10 == 0
     digits = lambda m: re.sub(r"[^0-9]", "", m.group())
