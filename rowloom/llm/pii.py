@@ -122,11 +122,12 @@ def scan(docs: DataFrame) -> DataFrame:
     base = F.concat(*(F.transform(kind, as_kind(kind)) for kind in KINDS))
     rows = rows.withColumn("base", base)
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    spelt = F.col("text").rlike(r"[\[({]\x20?(?:at|AT)\x20?[\])}]|\x20dot\x20")
+    # each a necessary condition of the form that it guards
+    spelt = F.contains("text", F.lit(" at ")) | F.col("text").rlike(r"[\[({]\x20?(?:at|AT)\x20?[\])}]")
     numeric = F.col("text").rlike(r"[0-9]")
     loose = {
         "email": F.when(spelt, matches(F.col("text"), LOOSE["email"])).otherwise(none),
-        "ip": F.when(numeric & F.contains("text", F.lit(":")), matches(F.col("text"), LOOSE["ip"])).otherwise(none),
+        "ip": F.when(F.contains("text", F.lit(":")), matches(F.col("text"), LOOSE["ip"])).otherwise(none),
         "number": F.when(numeric, matches(F.col("text"), LOOSE["number"])).otherwise(none),
     }
     rows = rows.select("*", *(found.alias(f"loose_{kind}") for kind, found in loose.items()))

@@ -178,6 +178,16 @@ def test_pii_bootstraps_contexts(spark):
     assert pii.redacted(df).columns == df.columns
 
 
+def test_pii_tries_every_loose_form(spark):
+    """What stands elsewhere in a text decides nothing: each text's loose mentions are those of the plain forms."""
+    texts = [f"write to jo{at}example{dot}com now" for at in (" at ", "(at)", " [AT] ", "{ at }", "at") for dot in (".", " dot ", "[dot]", " (DOT) ", " , ")]
+    texts += ["adapter fe:ab:cd:ef is up", "aB:Cd:Ef:aa:bb", "ab:cd", "10:20:30:40", "no: such thing", "we meet at noon"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: sorted(m.value for m in r.loose if m.kind in ("email", "ip")) for r in pii.scan(df).collect()}
+    assert found == {i: sorted(m.group() for k in ("email", "ip") for m in re.finditer(pii.LOOSE[k], t)) for i, t in enumerate(texts)}
+    assert found[0] == ["jo at example.com"] and found[25] == ["fe:ab:cd:ef"]
+
+
 def test_line_rules(docs, none):
     rows = by_id(line_rules.verdicts(docs).collect())
     for i, t in TEXTS:
