@@ -23,6 +23,8 @@ FIT_DOCUMENTS = 1000
 #: Words seen less often than this in the training rows count as unseen; their n-grams still count.
 LEAST_WORD = 2
 LONGEST_GRAM = 4
+#: Longer runs of letters are read in pieces of so many, each a word; without spaces a text is a single run.
+PIECE = 64
 #: Words after which more evidence no longer makes a prediction surer.
 SURE_WORDS = 12
 UNDETERMINED = "und"
@@ -40,7 +42,7 @@ class Model:
         return self.backed_off(word) if known is None else known
 
     def backed_off(self, word: str) -> np.ndarray:
-        marked, n, total, places = f"^{word[:64]}$", min(len(word), 64) + 2, np.zeros(len(self.langs)), 0
+        marked, n, total, places = f"^{word}$", len(word) + 2, np.zeros(len(self.langs)), 0
         for i in range(1, n):
             for size in range(min(LONGEST_GRAM, i + 1), 0, -1):
                 found = self.grams.get(marked[i + 1 - size : i + 1])
@@ -71,10 +73,10 @@ class Model:
 
 
 def _words(text: str) -> list[str]:
-    """Maximal runs of letters, in lower case."""
+    """Maximal runs of letters, in lower case and in pieces."""
     import re
 
-    return re.findall(r"[^\W\d_]+", text.lower())
+    return re.findall(rf"[^\W\d_]{{1,{PIECE}}}", text.lower())
 
 
 def _logs(counts: pd.DataFrame, key: str, langs: list[str]) -> dict[str, np.ndarray]:
@@ -105,9 +107,9 @@ def fit(docs: DataFrame, documents_per_language: int = FIT_DOCUMENTS) -> Model:
     bucket = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
     limits = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, math.ceil((1 << 30) * min(1.0, documents_per_language / n)))))
     chosen = rows.where(bucket < F.element_at(limits, F.col("lang")))
-    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
+    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"(\p{{L}}{{1,{PIECE}}})"), F.lit(1))).alias("word"))
     words = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).cache()
-    marked = F.concat(F.lit("^"), F.substring("word", 1, 64), F.lit("$"))
+    marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     ends = F.sequence(F.lit(2), F.length("marked"))
     sizes = F.array(*(F.lit(i) for i in range(1, LONGEST_GRAM + 1)))
     grams = (

@@ -310,6 +310,16 @@ def test_language(docs, none):
     assert language.identify(none).count() == 0
 
 
+def test_language_reads_long_runs(spark):
+    """Texts without spaces are read to their end, in fit and predict."""
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, "ab" * 32 + ("cd" if i % 2 else "ef") * 300, "odd" if i % 2 else "even") for i in ids]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd, even = model.predict("ab" * 32 + "cd" * 5000, {}), model.predict("ab" * 32 + "ef" * 5000, {})
+    assert (odd[0], even[0]) == ("odd", "even") and min(odd[1], even[1]) > 0.99
+    assert model.predict("ab" * 32 + "dcd" * 5000, {})[0] == "odd"
+
+
 def test_quality(docs, none):
     spark = docs.sparkSession
     fixed, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
