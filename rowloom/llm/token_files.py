@@ -14,16 +14,18 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Chunks
+from .bpe import Chunks, lists, slices
 from .common import documents, saved, shared_dir, small
 
 _NULL = -(1 << 63)
@@ -120,19 +122,43 @@ def _library(path: str, pattern: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
     tokenizer = Tokenizer.from_file(path)
 
-    def encode(pieces: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    return encode, Chunks(pattern, encode)
-
-
-def _ids(text: str | None, path: str, pattern: str) -> bytes:
-    """The library's ids of a text. It is asked for each distinct piece once in a while; its own pre-tokenizer cuts at the same places."""
-    if not text:
-        return b""
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    size = tokenizer.get_vocab_size()
+    space = tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+    leads = np.array([(tokenizer.id_to_token(i) or "").startswith(space) for i in range(size)])
+
+    def encode_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words behind a space are put in rows of many, as the library takes long over each call: a token with a space begins a word."""
+        is_word = np.array([piece[0] == " " and piece[1:].isalpha() for piece in pieces], bool)
+        words = [piece for piece, yes in zip(pieces, is_word, strict=True) if yes]
+        rows = ["".join(words[at : at + 1000]) for at in range(0, len(words), 1000)]
+        ids = np.fromiter(chain.from_iterable(encode(rows)), "u4")
+        begins = np.flatnonzero(leads[ids])
+        if len(begins) != len(words):
+            raise ValueError("a word's tokens hold another space")
+        others = encode([piece for piece, yes in zip(pieces, is_word, strict=True) if not yes])
+        found = [lists(ids, np.diff(begins, append=len(ids))), lists(np.fromiter(chain.from_iterable(others), "u4"), np.array([len(x) for x in others], "i8"))]
+        # back into the order of pieces
+        place = np.where(is_word, np.cumsum(is_word) - 1, len(words) + np.cumsum(~is_word) - 1)
+        whole = pa.concat_arrays(found).take(pa.array(place))
+        return whole.flatten().to_numpy(), pc.list_value_length(whole).to_numpy()
+
+    return encode, Chunks(pattern, encode_pieces)
+
+
+def _ids(texts: pa.Array, path: str, pattern: str) -> list[np.ndarray]:
+    """The library's ids of texts. It is asked for each distinct piece once in a while; its own pre-tokenizer cuts at the same places."""
     whole, chunks = _library(path, pattern)
     # a text may hold a special token's name, which the library looks for across pieces
-    return whole([text])[0] if "<|" in text else chunks(text)
+    named = pc.fill_null(pc.match_substring(texts, "<|"), False)
+    ids, starts = chunks(pc.if_else(named, "", texts))
+    out = [ids[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    some = np.flatnonzero(named.to_numpy(zero_copy_only=False))
+    for i, found in zip(some, whole(texts.take(pa.array(some)).to_pylist()), strict=True):
+        out[i] = np.array(found, "<u4")
+    return out
 
 
 def _put(folder: str, name: str, raw: bytes) -> None:
@@ -159,9 +185,9 @@ def write(docs: DataFrame, path: str, pattern: str, folder: str | None = None, e
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens"
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seq, made = TaskContext.get().partitionId(), 0, []
@@ -169,28 +195,31 @@ def write(docs: DataFrame, path: str, pattern: str, folder: str | None = None, e
 
         def flush() -> None:
             nonlocal seq, held
-            offsets = np.cumsum([0] + [len(x) // 4 for x in rows])
+            offsets = np.cumsum([0] + [len(x) + 1 for x in rows])
             name = f"{part:07d}-{seq:07d}.dac"
-            _put(folder, name, pack(np.array(doc_ids, "i8"), offsets, np.frombuffer(b"".join(rows), "<u4")))
+            _put(folder, name, pack(np.array(doc_ids, "i8"), offsets, np.concatenate([x for row in rows for x in (row, end)])))
             made.append((name, part, seq, len(rows), int(offsets[-1])))
             seq, held = seq + 1, 0
             doc_ids.clear()
             rows.clear()
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"], strict=True):
-                doc_ids.append(_NULL if pd.isna(doc_id) else int(doc_id))
-                rows.append(_ids(text, path, pattern) + end)
-                held += len(rows[-1]) // 4
-                if held >= file_tokens:
-                    flush()
+            for start, stop in slices(batch["text"]):
+                few = batch.slice(start, stop - start)
+                for doc_id, ids in zip(few["doc_id"].to_pylist(), _ids(few["text"], path, pattern), strict=True):
+                    doc_ids.append(_NULL if doc_id is None else doc_id)
+                    rows.append(ids)
+                    held += len(ids) + 1
+                    if held >= file_tokens:
+                        flush()
         if rows:
             flush()
-        yield pd.DataFrame(made, columns=["file", "part", "seq", "n_docs", "n_tokens"])
+        if made:
+            yield pa.RecordBatch.from_pylist([dict(zip(("file", "part", "seq", "n_docs", "n_tokens"), row, strict=True)) for row in made])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = documents(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    files = ordered.mapInPandas(run, "file string, part long, seq long, n_docs long, n_tokens long")
+    files = ordered.mapInArrow(run, "file string, part long, seq long, n_docs long, n_tokens long")
     return folder, saved(files, "token_files")
 
 
