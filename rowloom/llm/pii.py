@@ -1,18 +1,21 @@
 r"""Personal data by fixed forms, and by bootstrapped contextual extraction. DataFrame functions alone.
 
-Base spans are those of four fixed forms. They are the seeds: the words before a seed induce lexical patterns. A looser form
-proposes further mentions; patterns and the values that they introduce make a graph, in which the scores of values rate patterns
-and the scores of patterns rate values, for a few rounds. Values that only high-confidence patterns introduce become spans too.
+Base spans are those of four fixed forms. They are seeds, and so are keys and hexadecimal tokens: the words before a seed induce
+lexical patterns. A looser form proposes further mentions; patterns and the values that they introduce make a graph, in which the
+scores of values rate patterns and the scores of patterns rate values, for a few rounds. Values that only high-confidence patterns
+introduce become spans too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, small
 
+#: Kinds of base spans, and the kind that only the method adds.
 KINDS = ("email", "ip", "card", "phone")
+ADDED = "secret"
 # Possessive, and held from starting within a run, so that no text costs more than its length; the matches are those of the
 # plain forms: a run of an address's first part can only match as a whole, from its start or from the end of the last match.
 FORMS = {
@@ -25,50 +28,16 @@ FORMS = {
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[\[({]\x20?(?:at|AT)\x20?[\])}]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\x20?[\[({]\x20?(?:dot|DOT)\x20?[\])}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    ADDED: r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{12,}+",
     "number": r"(?<![0-9A-Za-z+._-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}(?![0-9A-Za-z])",
 }
-#: Characters before a mention in which its context is looked for.
-REACH = 48
+#: Secrets that are seeds: access key ids, which no prose holds and so are spans themselves, and hexadecimal tokens.
+KEY, HEX = r"^A[KS]IA[0-9A-Z]{16}$", r"^(?=.*[a-f])(?=.*[0-9])[0-9a-f]{16,64}$"
+#: Words of a context.
+WORDS = 3
+_BLOCK = 64
 #: A pattern is trusted from this score, and from so many different seeds that it introduces.
 CONFIDENCE, SUPPORT, ROUNDS = 0.8, 3, 3
-_BLOCK = 64
-
-
-def _before(lengths: Column) -> Column:
-    """Sum of the lengths before each: of whole blocks, then of the rest of its own block, so that long arrays stay cheap."""
-    add = lambda acc, x: acc + x
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size(lengths) / _BLOCK).cast("int")), lambda b: F.aggregate(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), add)
-    )
-
-    def with_blocks(sums: Column) -> Column:
-        upto = F.transform(sums, lambda _s, b: F.aggregate(F.slice(sums, F.lit(1), b), F.lit(0), add))
-        return F.transform(F.array(upto), lambda heads: F.transform(lengths, lambda _x, i: F.get(heads, F.floor(i / _BLOCK).cast("int")) + F.aggregate(F.slice(lengths, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK), F.lit(0), add)))
-
-    return F.flatten(F.flatten(F.transform(F.array(blocks), with_blocks)))
-
-
-def matches(text: Column, form: str) -> Column:
-    """Leftmost non-overlapping matches: start and end in code points, and value.
-
-    Splitting at the form gives the gaps between matches; lengths of gaps and matches give the places.
-    """
-    values = F.regexp_extract_all(text, F.lit(f"({form})"), F.lit(1))
-
-    def placed(found: Column) -> Column:
-        gaps = F.transform(F.split(text, form, -1), lambda g: F.length(g))
-        sizes = F.transform(found, lambda v: F.length(v))
-        return F.transform(
-            F.array(F.zip_with(gaps, sizes, lambda g, s: F.coalesce(g, F.lit(0)) + F.coalesce(s, F.lit(0)))),
-            lambda steps: F.zip_with(
-                F.zip_with(F.slice(_before(steps), F.lit(1), F.size(found)), F.slice(gaps, F.lit(1), F.size(found)), lambda b, g: b + g),
-                found,
-                lambda start, v: F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value")),
-            ),
-        )
-
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(F.size(values) > 0, F.flatten(F.flatten(F.transform(F.array(values), placed)))).otherwise(none)
 
 
 def _digits(value: Column) -> Column:
@@ -86,73 +55,101 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _may(kind: str, text: Column) -> Column:
-    """Cheap: whether the text holds a character that the form needs."""
-    if kind == "email":
-        return F.contains(text, F.lit("@"))
-    if kind == "phone":
-        return F.contains(text, F.lit("+"))
-    return text.rlike(r"[0-9]")
+def _may(form: str, text: Column) -> Column:
+    """Cheap and necessary for the form: whether the text holds what it needs."""
+    return {
+        "base:email": F.contains(text, F.lit("@")),
+        "base:phone": F.contains(text, F.lit("+")),
+        "loose:email": F.contains(text, F.lit(" at ")) | text.rlike(r"[\[({]\x20?(?:at|AT)\x20?[\])}]"),
+        "loose:ip": F.contains(text, F.lit(":")),
+    }.get(form, text.rlike("[0-9]"))
 
 
-def _spans(kind: str, text: Column) -> Column:
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    found = F.when(_may(kind, text), matches(text, FORMS[kind])).otherwise(none)
-    return F.filter(found, lambda s: _valid(kind, s["value"]))
+def _found(form: str, pattern: str, text: Column) -> Column:
+    """Leftmost non-overlapping matches in order: form, pos, length of the gap before it, its last words, value.
 
+    Splitting at the form gives the gaps between matches, whose lengths and those of the values give the places.
+    """
+    values = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    tail = lambda g: F.substring_index(F.regexp_replace(g, r"\s+", " "), " ", -1 - WORDS)
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).alias("gap"), F.lower(tail(g)).alias("tail")))
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, base (kind, start, end, value, before) and loose (the same) of every row.
+    def placed(found: Column) -> Column:
+        return F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.struct(F.lit(form).alias("form"), g["gap"].alias("gap"), g["tail"].alias("tail"), v.alias("value")))
 
-    base is in the order of KINDS and of places. loose holds mentions that touch no base span. before is the text in front.
+    none = F.array().cast("array<struct<form:string,gap:int,tail:string,value:string>>")
+    return F.when(_may(form, text), placed(values)).otherwise(none)
+
+
+def mentions(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, base, kind, start, end, value and tail (the words before, in lower case) of every mention; a row each.
+
+    base ones are those of the four fixed forms; others are proposed by the looser forms and touch no base one. Rows of docs that
+    repeat an id and a text count once. Sums of lengths and the latest end of a base span run over each text's own mentions, so
+    a text of any number of them costs no more than sorting them.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-    rows = rows.select("*", *(_spans(kind, F.col("text")).alias(kind) for kind in KINDS))
-
-    def mention(kind: Column, s: Column) -> Column:
-        start = s["start"]
-        before = F.substring(F.col("text"), F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
-        return F.struct(kind.alias("kind"), start.alias("start"), s["end"].alias("end"), s["value"].alias("value"), before.alias("before"))
-
-    def as_kind(kind: str):
-        shape = lambda s: F.when(F.length(_digits(s["value"])) >= 13, "card").otherwise("phone")
-        return lambda s: mention(shape(s) if kind == "number" else F.lit(kind), s)
-
-    base = F.concat(*(F.transform(kind, as_kind(kind)) for kind in KINDS))
-    rows = rows.withColumn("base", base)
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    # each a necessary condition of the form that it guards
-    spelt = F.contains("text", F.lit(" at ")) | F.col("text").rlike(r"[\[({]\x20?(?:at|AT)\x20?[\])}]")
-    numeric = F.col("text").rlike(r"[0-9]")
-    loose = {
-        "email": F.when(spelt, matches(F.col("text"), LOOSE["email"])).otherwise(none),
-        "ip": F.when(F.contains("text", F.lit(":")), matches(F.col("text"), LOOSE["ip"])).otherwise(none),
-        "number": F.when(numeric, matches(F.col("text"), LOOSE["number"])).otherwise(none),
-    }
-    rows = rows.select("*", *(found.alias(f"loose_{kind}") for kind, found in loose.items()))
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    parts = [F.transform(F.filter(f"loose_{kind}", free), as_kind(kind)) for kind in LOOSE]
-    return rows.select("doc_id", F.xxhash64("text").alias("text_key"), "base", F.concat(*parts).alias("loose"))
-
-
-def _patterns(before: Column) -> Column:
-    """The last word before a mention, and the last two, in lower case, marks at their ends kept (a label's colon tells most)."""
-    words = F.regexp_extract_all(F.lower(before), F.lit(r"([^\s]+)"), F.lit(1))
-    # the first of the words may be cut off by REACH
-    whole = F.when(F.length(before) < REACH, words).otherwise(F.slice(words, 2, REACH))
-    plain = F.filter(whole, lambda w: ~w.rlike("[0-9@]"))
-    n = F.size(plain)
-    ready = F.when((F.size(whole) == 0) | (F.get(whole, F.size(whole) - 1) != F.coalesce(F.get(plain, n - 1), F.lit(""))), 0).otherwise(n)
-    one, two = F.get(plain, n - 1), F.concat_ws(" ", F.get(plain, n - 2), F.get(plain, n - 1))
-    return F.when(ready >= 2, F.array(one, two)).when(ready == 1, F.array(one)).otherwise(F.array().cast("array<string>"))
-
-
-def graph(scanned: DataFrame) -> DataFrame:
-    """Edges: pattern, kind, value, seed (whether the value is a base span's), mentions summed. Small beside the texts."""
-    part = lambda name, seed: F.transform(name, lambda m: F.struct(m["kind"].alias("kind"), m["value"].alias("value"), m["before"].alias("before"), F.lit(seed).alias("seed")))
-    rows = scanned.select(F.explode(F.concat(part("base", True), part("loose", False))).alias("m"))
-    edges = rows.select("m.kind", F.xxhash64("m.value").alias("value"), "m.seed", F.explode(_patterns(F.col("m.before"))).alias("pattern"))
+    forms = {f"base:{k}": v for k, v in FORMS.items()} | {f"loose:{k}": v for k, v in LOOSE.items()}
+    found = F.flatten(F.array(*(F.transform(_found(k, v, F.col("text")), lambda m, i: F.struct(i.alias("pos"), m["form"].alias("form"), m["gap"].alias("gap"), m["tail"].alias("tail"), m["value"].alias("value"))) for k, v in forms.items())))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode(found).alias("m")).select("doc_id", "text_key", "m.*")
+    rows = rows.dropDuplicates(["doc_id", "text_key", "form", "pos"])
+    upto = Window.partitionBy("doc_id", "text_key", "form").orderBy("pos")
+    size = F.length("value")
+    rows = rows.withColumn("end", F.sum(F.col("gap") + size).over(upto).cast("int")).withColumn("start", F.col("end") - size)
+    base, kind = F.col("form").startswith("base:"), F.substring_index("form", ":", -1)
+    valid = F.lit(False)
+    for k in KINDS:
+        valid = F.when(F.col("form") == f"base:{k}", _valid(k, F.col("value"))).otherwise(valid)
+    rows = rows.select("doc_id", "text_key", base.alias("base"), kind.alias("kind"), "start", "end", "value", "tail", valid.alias("valid")).where("valid or not base")
+    # a base span that starts before a mention ends, and ends after it starts, touches it
+    order = F.when(F.col("base"), F.col("start")).otherwise(F.col("end"))
+    earlier = Window.partitionBy("doc_id", "text_key").orderBy(order, "base").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.coalesce(F.max(F.when(F.col("base"), F.col("end"))).over(earlier), F.lit(0))
+    shape = F.when(F.col("kind") != "number", F.col("kind")).when(F.length(_digits(F.col("value"))) >= 13, "card").otherwise("phone")
+    rows = rows.withColumn("covered", covered).where(F.col("base") | (F.col("covered") <= F.col("start")))
+    return rows.select("doc_id", "text_key", "base", shape.alias("kind"), "start", "end", "value", "tail")
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, base and loose (arrays of start, end, kind, value) of every row."""
+    part = lambda which: F.sort_array(F.collect_list(F.when(which, F.struct("start", "end", "kind", "value"))))
+    found = mentions(docs).groupBy("doc_id", "text_key").agg(part(F.col("base")).alias("base"), part(~F.col("base")).alias("loose"))
+    return _with_texts(docs, found, ["base", "loose"])
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _with_texts(docs: DataFrame, found: DataFrame, arrays: list[str]) -> DataFrame:
+    """doc_id, text_key and the arrays of found, empty where it has none, of every row of docs."""
+    rows = docs.select(F.col("doc_id").cast("long"), _text_key().alias("text_key"))
+    on = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.text_key") == F.col("m.text_key"))
+    joined = rows.alias("d").join(found.alias("m"), on, "left")
+    return joined.select("d.doc_id", "d.text_key", *(F.coalesce(f"m.{c}", F.array().cast(found.schema[c].dataType)).alias(c) for c in arrays))
+
+
+def _patterns(tail: Column) -> Column:
+    """The last word before a mention, the last two and the last three, marks at their ends kept (a label's colon tells most).
+
+    None where a word holds a digit or an at sign: that is no context but a mention itself.
+    """
+    words = F.filter(F.split(tail, " "), lambda w: w != "")
+    last = F.slice(words, F.greatest(F.size(words) - WORDS + 1, F.lit(1)), F.lit(WORDS))
+    n = F.size(last)
+    phrases = F.transform(F.sequence(F.lit(1), F.lit(WORDS)), lambda k: F.when(k <= n, F.array_join(F.slice(last, F.greatest(n - k + 1, F.lit(1)), k), " ")))
+    return F.filter(phrases, lambda p: p.isNotNull() & ~p.rlike("[0-9@]"))
+
+
+def _seed(kind: Column, value: Column, base: Column) -> Column:
+    return base | ((kind == ADDED) & (value.rlike(KEY) | value.rlike(HEX)))
+
+
+def graph(found: DataFrame) -> DataFrame:
+    """Edges: pattern, kind, value, seed (whether the value is of a seed's form), mentions summed. Small beside the texts."""
+    seed = _seed(F.col("kind"), F.col("value"), F.col("base"))
+    edges = found.select("kind", F.xxhash64("value").alias("value"), seed.alias("seed"), F.explode(_patterns(F.col("tail"))).alias("pattern"))
     return edges.groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed"))
 
 
@@ -177,25 +174,31 @@ def bootstrap(edges: DataFrame) -> DataFrame:
     return patterns.where(F.col("confidence") >= CONFIDENCE)
 
 
+def spans(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, base and all_spans of every text that has a span."""
+    found = saved(mentions(docs), "mentions")
+    trusted = small(saved(bootstrap(saved(graph(found), "graph")), "trusted"))
+    loose = found.where("not base")
+    hits = loose.withColumn("pattern", F.explode(_patterns(F.col("tail")))).join(trusted, ["pattern", "kind"], "left_semi")
+    sure = loose.where((F.col("kind") == ADDED) & F.col("value").rlike(KEY))
+    columns = ["doc_id", "text_key", "base", "kind", "start", "end"]
+    order = F.array_position(F.array(*(F.lit(k) for k in (*KINDS, ADDED))), F.col("kind")).cast("int")
+    each = found.where("base").select(columns).unionByName(hits.select(columns)).unionByName(sure.select(columns)).withColumn("order", order)
+    span = F.struct("order", "start", "end", "kind")
+    sets = each.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.when(F.col("base"), span))).alias("base"), F.array_sort(F.collect_set(span)).alias("all_spans"))
+    return saved(sets, "spans")
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base and all_spans (arrays of kind, start, end) for every row of docs (doc_id, text).
 
     Places count code points, the end exclusive. Null text is as if empty. Rows are alike if id and text are, and have the same
-    spans. Order: by kind as in KINDS, then start. Nothing in, nothing out.
+    spans. Order: by kind as in KINDS, the added kind last, then start. Spans that the method adds touch no base span. Texts are
+    read whole, however long. Nothing in, nothing out.
     """
-    scanned = saved(scan(docs), "scanned")
-    trusted = small(saved(bootstrap(saved(graph(scanned), "graph")), "trusted"))
-    loose = scanned.where(F.size("loose") > 0).select("doc_id", "text_key", F.explode("loose").alias("m")).select("doc_id", "text_key", "m.*")
-    hits = loose.withColumn("pattern", F.explode(_patterns(F.col("before")))).join(trusted, ["pattern", "kind"])
-    more = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
-    joined = scanned.alias("s").join(more.alias("m"), F.col("s.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("s.text_key") == F.col("m.text_key")), "left")
-    base = F.transform("s.base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
-    added = F.coalesce(F.col("m.more"), F.array().cast("array<struct<kind:string,start:int,end:int>>"))
-
-    def own(kind: str) -> Column:
-        return F.array_sort(F.filter(F.concat(base, added), lambda s: s["kind"] == kind))
-
-    return joined.select("s.doc_id", "s.text_key", base.alias("base"), F.concat(*(own(kind) for kind in KINDS)).alias("all_spans"))
+    plain = lambda found: F.transform(found, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    whole = _with_texts(docs, small(spans(docs)), ["base", "all_spans"])
+    return whole.select("doc_id", "text_key", plain("base").alias("base"), plain("all_spans").alias("all_spans"))
 
 
 def joined_spans(spans: Column) -> Column:
@@ -207,20 +210,30 @@ def count_of(spans: Column, kind: str) -> Column:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The rows of docs, columns unchanged, each span in text replaced by its kind in brackets; where spans overlap, by the first's."""
-    found = find(docs).where(F.size("all_spans") > 0).dropDuplicates(["doc_id", "text_key"])
-    placed = F.array_sort(F.transform("all_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    spans = found.select(F.col("doc_id").alias("pii_id__"), F.col("text_key").alias("pii_key__"), placed.alias("pii_spans__"))
-    spans = small(saved(spans, "spans"))  # rows with spans alone, without texts
-    condition = docs["doc_id"].cast("long").eqNullSafe(F.col("pii_id__")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("pii_key__"))
-    joined = docs.join(spans, condition, "left")
-    text, all_spans = F.col("text"), F.col("pii_spans__")
-    covered = lambda i: F.coalesce(F.array_max(F.transform(F.slice(all_spans, F.lit(1), i), lambda s: s["end"])), F.lit(0))
-
-    def piece(s: Column, i: Column) -> Column:
-        clear = F.substring(text, covered(i) + 1, s["start"] - covered(i))
-        return F.when(s["start"] >= covered(i), F.concat(clear, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+    """The rows of docs, columns unchanged, each span in text replaced by its kind in brackets; where spans overlap, by the first's.
 
-    rest = F.substring(text, covered(F.size(all_spans)) + 1, F.length(text))
-    clean = F.when(all_spans.isNull(), text).otherwise(F.concat(F.array_join(F.transform(all_spans, piece), ""), rest))
+    Texts without spans, null ones among them, stay as they are; rows that repeat an id and a text change alike. Spans are cut out
+    by blocks of a few, so that a long text with many is not read from its start for each.
+    """
+    each = spans(docs).select("doc_id", "text_key", F.explode("all_spans").alias("s")).select("doc_id", "text_key", "s.*")
+    earlier = Window.partitionBy("doc_id", "text_key").orderBy("start", "end", "order").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("from", F.coalesce(F.max("end").over(earlier), F.lit(0)))
+    cut = F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("from"), F.struct("start", "end", "from", "kind")))).alias("pii_spans__")
+    cuts = each.groupBy("doc_id", "text_key").agg(cut, F.max("end").alias("pii_end__")).withColumnsRenamed({"doc_id": "pii_id__", "text_key": "pii_key__"})
+    cuts = small(saved(cuts, "cuts"))  # rows with spans alone, without texts
+    condition = docs["doc_id"].cast("long").eqNullSafe(F.col("pii_id__")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("pii_key__"))
+    joined = docs.join(cuts, condition, "left")
+    text, found = F.col("text"), F.col("pii_spans__")
+
+    def block(i: Column) -> Column:
+        """The text from the end of the block before to the end of this one's last span, spans replaced."""
+        own = F.slice(found, i * _BLOCK + 1, F.lit(_BLOCK))
+        begin = F.element_at(own, 1)["from"]
+        part = F.substring(text, begin + 1, F.element_at(own, -1)["start"] - begin)
+        piece = lambda t, s: F.concat(F.substring(t, s["from"] - begin + 1, s["start"] - s["from"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.transform(F.array(part), lambda t: F.array_join(F.transform(own, lambda s: piece(t, s)), ""))[0]
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _BLOCK).cast("int")), block)
+    rest = F.substring(text, F.col("pii_end__") + 1, F.length(text))
+    clean = F.when(found.isNull(), text).otherwise(F.concat(F.array_join(blocks, ""), rest))
     return joined.select(*(clean.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
