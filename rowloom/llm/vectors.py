@@ -1,10 +1,11 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-Vectors are dealt to overlapping cluster shards, each to its nearest few centres. A shard's task builds a graph: each vector's
-nearest candidates, pruned so that no kept neighbour is much nearer to another kept one than to the vector. The lists of all
-shards are united by vector. Then each shard searches for the vectors at home in it: greedily from the shard's medoids until a
-beam is exhausted, and on through everything near enough to the range. Links are verified in double precision, recall is
-audited by brute force, and a shard that falls short is searched again with a wider beam.
+Vectors are dealt to overlapping cluster shards: each is at home with its nearest centre and a guest of every centre that is
+nearly as near. A shard's guests are dealt to blocks, so that a task holds a bounded number of rows. Each task builds a graph:
+each vector's nearest candidates, pruned so that no kept neighbour is much nearer to another kept one than to the vector. The
+lists of a vector's nearest tasks are united. Then each task searches for the vectors at home in it: greedily from medoids until
+a beam is exhausted, and on through everything near enough to the range. Links are verified in double precision. Recall is
+audited for a bounded set of queries against all vectors; if it falls short, all is dealt again with more guests.
 """
 
 from __future__ import annotations
@@ -20,19 +21,26 @@ from .common import saved, small
 from .components import components
 
 COSINE = 0.9
-#: Vectors at home in a shard that is not split further, and centres that one split makes at most.
-SHARD, CENTRES = 2048, 64
+#: Vectors at home in a shard that is not split further, guests that a task holds beside them, centres that one split makes at most.
+SHARD, BLOCK, CENTRES = 2048, 4096, 64
 #: Rows a split's centres are found from; chosen by a hash.
 FIT_ROWS = 16_384
-#: Shards a vector is a member of.
-OVERLAP = 4
+#: A vector is a guest of centres whose cosine with it lacks at most so much of the nearest one's, and a guest's guest of those
+#: that lack at most a third of that ...
+MARGIN = 0.25
+#: ... and of every centre as near as this, twice the range's angle: what lies within the range of such a centre may be linked.
+CLOSE = 2 * COSINE * COSINE - 1
 CANDIDATES, DEGREE, ALPHA = 40, 20, 1.2
-BEAM, SLACK, MEDOIDS = 16, 0.15, 8
-#: Share of a shard's queries that are audited by brute force, and the recall below which the beam is doubled.
-AUDIT, RECALL = 0.05, 0.99
+BEAM, SLACK, MEDOIDS = 24, 0.15, 8
+#: Tasks of a vector, the nearest ones, whose lists are united.
+UNITED = 4
+#: Queries that are audited against all vectors, the recall below which all is dealt again, and how often.
+AUDITED, RECALL, ATTEMPTS = 1024, 0.99, 3
 _BLOCK = 256
 #: Rows that a query opens at a step while its beam is not full.
 _STEP = 8
+#: A query with more than this share of a task's rows near the range is settled against all of them: that costs less than opening each.
+_WIDE = 1 / 64
 
 
 def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -49,6 +57,7 @@ def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 def neighbours(x: np.ndarray) -> np.ndarray:
     """Robust-pruned neighbours of each row among the rows of x, -1 where there are fewer."""
+    x = x.astype("f4")
     n, width = len(x), min(CANDIDATES, len(x) - 1)
     out = np.full((n, DEGREE), -1, "i4")
     if width < 1:
@@ -60,7 +69,7 @@ def neighbours(x: np.ndarray) -> np.ndarray:
         near = np.argpartition(-sims, width - 1, axis=1)[:, :width]
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
         away = 2 - 2 * np.take_along_axis(sims, near, 1)
-        between = 2 - 2 * np.einsum("bid,bjd->bij", x[near], x[near])
+        between = 2 - 2 * (x[near] @ x[near].transpose(0, 2, 1))
         open_ = np.ones(near.shape, bool)
         rows = np.arange(len(block))
         for slot in range(DEGREE):
@@ -80,21 +89,25 @@ def medoids(x: np.ndarray, k: int = MEDOIDS) -> np.ndarray:
     return np.unique((centres(x[:: max(1, len(x) // 2048)], min(k, len(x))) @ x.T).argmax(1))
 
 
-def search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, queries: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, queries: np.ndarray, beam: int = BEAM) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For blocks of queries (rows of x): query and row of each pair found whose cosine reaches COSINE.
 
     A query starts from the medoids and, as it is a row of the graph itself, from its own place: a group of near copies may be an
     island of the graph. All queries of a block step together. Each opens its best few unopened rows until it has opened a beam of
-    them, and every row that is within the range and some slack, and looks at their neighbours; it ends when nothing is left to open.
+    them, and every row that is within the range and some slack, and looks at their neighbours; it ends when nothing is left to
+    open, or when so much of the graph lies in range that all of it is looked at.
     """
-    n = len(x)
+    n, rough = len(x), x.astype("f4")
     for at in range(0, len(queries), _BLOCK):
         own = queries[at : at + _BLOCK]
-        sims = np.full((len(own), n), -np.inf)
-        sims[:, start] = x[own] @ x[start].T
+        sims = np.full((len(own), n), -np.inf, "f4")
+        sims[:, start] = rough[own] @ rough[start].T
         sims[np.arange(len(own)), own] = 1.0
-        opened = np.zeros(sims.shape, bool)
+        opened, whole = np.zeros(sims.shape, bool), np.zeros(len(own), bool)
         while True:
+            wide = ~whole & ((sims >= COSINE - SLACK).sum(1) > max(64, n * _WIDE))
+            whole |= wide
+            opened[wide] = True
             waiting = np.where(opened, -np.inf, sims)
             go = waiting >= COSINE - SLACK
             short = np.flatnonzero(opened.sum(1) < beam)
@@ -108,18 +121,25 @@ def search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, queries: np.ndar
             if not len(q):
                 break
             opened |= go
-            seen = np.zeros(sims.shape, bool)
-            for part in range(0, len(q), 1 << 15):
-                near = graph[m[part : part + (1 << 15)]]
-                row, slot = np.nonzero(near >= 0)
-                seen[q[part : part + (1 << 15)][row], near[row, slot]] = True
-            q, m = np.nonzero(seen & (sims == -np.inf))
+            near = graph[m]
+            row, slot = np.nonzero(near >= 0)
+            flat = np.unique(q[row] * n + near[row, slot])
+            q, m = flat // n, flat % n
+            new = sims[q, m] == -np.inf
+            q, m = q[new], m[new]
             for part in range(0, len(q), 1 << 16):
                 a, b = q[part : part + (1 << 16)], m[part : part + (1 << 16)]
-                sims[a, b] = np.einsum("ij,ij->i", x[own[a]], x[b])
-        q, m = np.nonzero(sims >= COSINE)
-        differs = own[q] != m
-        yield own[q[differs]], m[differs]
+                sims[a, b] = np.einsum("ij,ij->i", rough[own[a]], rough[b])
+        sims[whole] = -np.inf
+        q, m = np.nonzero(sims >= COSINE - 1e-4)
+        linked = np.zeros(sims.shape, bool)
+        for part in range(0, len(q), 1 << 16):
+            a, b = q[part : part + (1 << 16)], m[part : part + (1 << 16)]
+            linked[a, b] = np.einsum("ij,ij->i", x[own[a]], x[b]) >= COSINE
+        linked[whole] = x[own[whole]] @ x.T >= COSINE
+        linked[np.arange(len(own)), own] = False
+        q, m = np.nonzero(linked)
+        yield own[q], m
 
 
 def both_ways(x: np.ndarray, graph: np.ndarray) -> np.ndarray:
@@ -135,57 +155,41 @@ def both_ways(x: np.ndarray, graph: np.ndarray) -> np.ndarray:
     return np.concatenate([graph, back], axis=1)
 
 
-def searched_shard(ids: np.ndarray, x: np.ndarray, home: np.ndarray, copies: np.ndarray, lists: list) -> tuple[np.ndarray, np.ndarray, float]:
-    """Of one shard: links of each row at home (copies counted), a label that rows linked within the shard share, audited recall."""
-    n = len(ids)
-    order = np.argsort(ids, kind="stable")
-    graph = np.full((n, max([1, *(len(v) for v in lists)])), -1, "i4")
+def united(ids: np.ndarray, lists: list) -> np.ndarray:
+    """Rows of ids (which ascend) that each list names, -1 where there are fewer."""
+    graph = np.full((len(ids), max([1, *(len(v) for v in lists)])), -1, "i4")
     for i, v in enumerate(lists):
-        at = np.searchsorted(ids, np.asarray(v, "i8"), sorter=order)
-        at = order[np.minimum(at, n - 1)]
-        at = at[ids[at] == np.asarray(v, "i8")]
+        v = np.unique(np.asarray(v, "i8"))
+        at = np.minimum(np.searchsorted(ids, v), len(ids) - 1)
+        at = at[ids[at] == v]
         graph[i, : len(at)] = at
-    graph = both_ways(x, graph)
-    queries, start = np.flatnonzero(home), medoids(x)
-    audited = queries[:: max(1, round(1 / AUDIT))]
-    truth = 0
-    for at in range(0, len(audited), _BLOCK):
-        truth += int((x[audited[at : at + _BLOCK]] @ x.T >= COSINE).sum()) - len(audited[at : at + _BLOCK])
-    beam = BEAM
+    return graph
+
+
+def lowered(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each a row of its own group) after the groups of each a and b are joined; the least row of a group is its label."""
     while True:
-        links, label, found = np.zeros(n, "i8"), np.arange(n), 0
-        is_audited = np.zeros(n, bool)
-        is_audited[audited] = True
-        a, b = [], []
-        for q, m in search(x, graph, start, queries, beam):
-            np.add.at(links, q, copies[m])
-            found += int(is_audited[q].sum())
-            # each pair's rows take the lower label; whole chains settle below
-            lowest = label.copy()
-            np.minimum.at(lowest, q, label[m])
-            np.minimum.at(lowest, m, label[q])
-            if len(q):
-                a.append(q)
-                b.append(m)
-            label = lowest
-        recall = min(1.0, found / truth) if truth else 1.0
-        if recall >= RECALL or beam >= BEAM * 16:
-            break
-        beam *= 4
-    if a:
-        a, b = np.concatenate(a), np.concatenate(b)
-        while True:
-            lowest = label.copy()
-            np.minimum.at(lowest, a, label[b])
-            np.minimum.at(lowest, b, label[a])
-            lowest = lowest[lowest]
-            if np.array_equal(lowest, label):
-                break
-            label = lowest
-    return links, label, recall
+        lowest = label.copy()
+        np.minimum.at(lowest, a, label[b])
+        np.minimum.at(lowest, b, label[a])
+        hook = np.arange(len(label))
+        np.minimum.at(hook, label, lowest)
+        lowest = hook[lowest]
+        if np.array_equal(lowest, label):
+            return label
+        label = lowest
+
 
+def searched(x: np.ndarray, home: np.ndarray, counted: np.ndarray, copies: np.ndarray, graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a task's rows: links of those at home with counted ones, copies included, and a label that linked rows share."""
+    links, label = np.zeros(len(x), "i8"), np.arange(len(x))
+    for q, m in search(x, both_ways(x, graph), medoids(x), np.flatnonzero(home)):
+        links += np.bincount(q, np.where(counted[m], copies[m], 0), len(x)).astype("i8")
+        label = lowered(label, q, m)
+    return links, label
 
-_ROWS = "rep long, copies long, x array<double>, shard string, home boolean"
+
+_ROWS = "rep long, copies long, x array<double>, shard string, home boolean, rank int"
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -193,21 +197,23 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """rep, copies, two keys and unit vector x, one row a distinct vector, of those that are not null, zero, or of null or non-finite parts.
+    """id, rep, copies, two keys and unit vector x, one row a distinct vector, of those that are not null, zero, or of null or non-finite parts.
 
-    Vectors of another length than the most frequent one (of equals, the shorter) are left out: no angle lies between them.
+    id is the least id of its rows; rep is too, unless another vector has the same one: then it is a hash of the vector.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), _parts(F.col("embedding")).alias("v")).dropna()
     good = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     rows = rows.where((F.size("v") > 0) & F.coalesce(good, F.lit(False)))
-    width = rows.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "width").first()
-    rows = rows.where(F.size("v") == (width["width"] if width else 0))
-    rows = rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    rows = rows.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     # scaled by the largest part first, so that no square is too large or small
     most = F.array_max(F.transform("v", lambda c: F.abs(c)))
     scaled = rows.withColumn("most", most).withColumn("s", F.transform("v", lambda c: c / F.col("most")))
     norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda acc, c: acc + c * c))
-    return scaled.withColumn("norm", norm).select("rep", "copies", *_keys(F.col("v")), F.transform("s", lambda c: c / F.col("norm")).alias("x"))
+    unit = F.transform("s", lambda c: c / F.col("norm")).alias("x")
+    found = saved(scaled.withColumn("norm", norm).select("id", "copies", *_keys(F.col("v")), unit), "usable")
+    several = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("shared", F.lit(True))
+    marked = found.join(small(saved(several.drop("n"), "several")), "id", "left")
+    return marked.select("id", F.when(F.col("shared"), F.col("k1")).otherwise(F.col("id")).alias("rep"), "copies", "k1", "k2", "x")
 
 
 def _parts(embedding: Column) -> Column:
@@ -219,87 +225,155 @@ def _keys(v: Column) -> tuple[Column, Column]:
     return F.xxhash64(v).alias("k1"), F.xxhash64(F.lit("second"), v).alias("k2")
 
 
-def _split(rows: DataFrame, counts: dict[str, int], level: int) -> DataFrame:
-    """Deal the home rows of shards that are too large to their nearest centres, the nearest as home."""
-    spread = rows.sparkSession.createDataFrame([(s, min(1.0, FIT_ROWS / n), min(CENTRES, -(-n // SHARD) * 2)) for s, n in counts.items()], "shard string, part double, k int")
-    large = F.broadcast(spread)
-    chosen = rows.join(large, "shard").where(F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(1 << 20)) < F.col("part") * (1 << 20))
+def places(x: np.ndarray, c: np.ndarray, home: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which centres each row goes to, and the order of the centres by nearness for each."""
+    sims = x @ c.T
+    lacks = sims.max(1)[:, None] - sims
+    goes = (lacks <= np.where(home, margin, margin / 3)[:, None]) | (sims >= CLOSE)
+    order = np.argsort(np.argsort(lacks, axis=1, kind="stable"), axis=1)
+    return goes, order
+
+
+def _split(rows: DataFrame, large: DataFrame, level: int, margin: float) -> DataFrame:
+    """Deal the rows of shards that are too large to their nearest centres, the nearest as home.
+
+    Where centres can't part a sample's rows, as they are almost one point, a hash deals them, and each is a guest of all the others.
+    """
+    spread = large.withColumn("part", F.least(F.lit(1.0), F.lit(float(FIT_ROWS)) / F.col("n")))
+    spread = spread.withColumn("k", F.least(F.lit(CENTRES), F.ceil(F.col("n") * 1.5 / SHARD)).cast("int")).drop("n")
+    chosen = rows.where("home").join(spread, "shard").where(F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(1 << 20)) < F.col("part") * (1 << 20))
 
     def find(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("rep")
-        c = centres(_matrix(batch["x"]), min(int(batch["k"].iloc[0]), len(batch)))
-        return pd.DataFrame({"shard": [batch["shard"].iloc[0]], "centres": [c.ravel().tolist()]})
+        x, k = _matrix(batch["x"]), int(batch["k"].iloc[0])
+        c = centres(x, min(k, len(batch)))
+        most = np.bincount((x @ c.T).argmax(1)).max() / len(x) if len(c) > 1 else 1.0
+        return pd.DataFrame({"shard": [batch["shard"].iloc[0]], "centres": [c.ravel().tolist()], "parts": [k if most > 0.8 else 0]})
 
-    found = saved(chosen.groupBy("shard").applyInPandas(find, "shard string, centres array<double>"), "centres")
+    # a sample may have no row of a small shard by chance; such a shard is dealt by a hash
+    found = saved(chosen.groupBy("shard").applyInPandas(find, "shard string, centres array<double>, parts int"), "centres")
+    found = large.join(found, "shard", "left").select("shard", "centres", F.coalesce("parts", F.ceil(F.col("n") * 1.5 / SHARD).cast("int")).alias("parts"))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard, part in batch.groupby("shard", sort=False):
-                x = _matrix(part["x"])
-                c = np.asarray(part["centres"].iloc[0], "f8").reshape(-1, x.shape[1])
-                near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
-                for k in range(near.shape[1]):
-                    keep = np.ones(len(part), bool) if k == 0 else part["home"].to_numpy()
+                x, home, parts = _matrix(part["x"]), part["home"].to_numpy(), int(part["parts"].iloc[0])
+                if parts:
+                    own = (part["rep"].to_numpy().astype("u8") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype("i8") % parts
+                    order = (np.arange(parts)[None, :] - own[:, None]) % parts
+                    goes = np.ones(order.shape, bool)
+                else:
+                    goes, order = places(x, np.asarray(part["centres"].iloc[0], "f8").reshape(-1, x.shape[1]), home, margin)
+                for k in range(goes.shape[1]):
+                    keep = goes[:, k]
                     out = part.loc[keep, ["rep", "copies", "x"]].copy()
-                    out["shard"] = [f"{shard}.{i}" for i in near[keep, k]]
-                    out["home"] = part.loc[keep, "home"].to_numpy() & (k == 0)
+                    out["shard"] = f"{shard}.{k}"
+                    out["home"] = home[keep] & (order[keep, k] == 0)
+                    out["rank"] = np.maximum(part["rank"].to_numpy()[keep], order[keep, k])
                     yield out
 
-    return rows.join(small(found, 4096), "shard").mapInPandas(deal, _ROWS)
+    return rows.join(small(found, 256), "shard").mapInPandas(deal, _ROWS)
 
 
-def shards(vectors: DataFrame) -> DataFrame:
-    """Rows of distinct vectors by shard: each at home in one, and a guest in the next nearest few."""
-    rows = saved(vectors.select("rep", "copies", "x", F.lit("0").alias("shard"), F.lit(True).alias("home")), "rows0")
-    level, before = 1, {}
+def shards(vectors: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """Rows of distinct vectors by shard: each at home in one, and a guest of others; rank: how many centres are nearer to it."""
+    root = F.concat(F.lit("w"), F.size("x").cast("string"))  # no angle lies between vectors of different lengths
+    rows = saved(vectors.select("rep", "copies", "x", root.alias("shard"), F.lit(True).alias("home"), F.lit(0).alias("rank")), "rows0")
+    level = 1
     while True:
-        sizes = rows.where("home").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD)
-        counts = {r["shard"]: r["n"] for r in sizes.collect()}
-        if not counts or level > 12 or counts == before:
+        large = saved(rows.where("home").groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD), "large")
+        if large.limit(1).count() == 0:
             return rows
-        large = F.broadcast(rows.sparkSession.createDataFrame([(s,) for s in counts], "shard string"))
-        rows = saved(rows.join(large, "shard", "left_anti").select("rep", "copies", "x", "shard", "home").unionByName(_split(rows.join(large, "shard"), counts, level)), f"rows{level}")
-        level, before = level + 1, counts
+        large = small(large)
+        left = rows.join(large, "shard", "left_anti").select("rep", "copies", "x", "shard", "home", "rank")
+        rows = saved(left.unionByName(_split(rows.join(large.select("shard"), "shard", "left_semi"), large, level, margin)), f"rows{level}")
+        level += 1
 
 
-def link(vectors: DataFrame) -> DataFrame:
-    """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding).
+def tasks(rows: DataFrame) -> DataFrame:
+    """Rows with a block: a shard's guests are dealt to blocks of bounded size by a hash, and its home rows go to each."""
+    blocks = rows.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.count(F.when(~F.col("home"), 1)) / BLOCK)).cast("int").alias("blocks"))
+    dealt = rows.join(small(saved(blocks, "blocks")), "shard")
+    own = F.pmod(F.xxhash64("rep", "shard"), F.col("blocks")).cast("int")
+    return dealt.withColumn("block", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own)))).drop("blocks")
 
-    Vectors are linked if their cosine in double precision is 0.9 or more. n_links counts the other rows linked directly, copies
-    included; component_id is the smallest id that links reach. Null, zero and non-finite vectors, and those of another length
-    than most, link with nothing. Equal vectors are one node. A null id links with nothing and has a null component. Only links
-    that the graph search finds count; what leaves a task is one count and one label a row, never a shard's pairs.
-    """
-    distinct = saved(usable(vectors), "distinct")
-    placed = shards(distinct)
+
+def audited(distinct: DataFrame, links: DataFrame) -> float:
+    """Share of the links of AUDITED queries, chosen by a hash, that links (rep, links) has of those that all vectors give."""
+    chosen = distinct.orderBy(F.xxhash64("rep", F.lit("audit")), "rep").limit(AUDITED).select("rep", "x").toPandas()
+    by_width = [(w, part["rep"].to_numpy("i8"), _matrix(part["x"])) for w, part in chosen.groupby(chosen["x"].map(len))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for width, part in batch.groupby(batch["x"].map(len)):
+                for own, ids, queries in by_width:
+                    if own == width:
+                        x, copies = _matrix(part["x"]), part["copies"].to_numpy("i8")
+                        near = (queries @ x.T >= COSINE) & (ids[:, None] != part["rep"].to_numpy("i8"))
+                        yield pd.DataFrame({"rep": ids, "truth": near @ copies})
+
+    truth = distinct.select("rep", "copies", "x").mapInPandas(run, "rep long, truth long").groupBy("rep").agg(F.sum("truth").alias("truth"))
+    row = truth.join(links, "rep", "left").agg(F.sum("truth").alias("truth"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))).alias("found")).first()
+    return row["found"] / row["truth"] if row["truth"] else 1.0
+
+
+def _linked(distinct: DataFrame, margin: float) -> tuple[DataFrame, DataFrame]:
+    """rep and links of each distinct vector; pairs (a, b) that join the linked ones."""
 
     def build(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values("rep")
         ids = batch["rep"].to_numpy()
-        graph = neighbours(_matrix(batch["x"]))
-        return pd.DataFrame({"rep": ids, "near": [ids[row[row >= 0]] for row in graph]})
+        batch["near"] = [ids[row[row >= 0]] for row in neighbours(_matrix(batch["x"]))]
+        return batch
 
-    built = placed.select("rep", "x", "shard").groupBy("shard").applyInPandas(build, "rep long, near array<long>")
-    lists = saved(built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "lists")
+    columns = f"{_ROWS}, block int, near array<long>"
+    built = saved(tasks(shards(distinct, margin)).groupBy("shard", "block").applyInPandas(build, columns), "built")
+    lists = built.where((F.col("rank") < UNITED) & (~F.col("home") | (F.col("block") == 0))).groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("more"))
 
     def find(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values("rep")
         ids, home = batch["rep"].to_numpy(), batch["home"].to_numpy()
-        links, label, recall = searched_shard(ids, _matrix(batch["x"]), home, batch["copies"].to_numpy(), batch["near"].tolist())
-        return pd.DataFrame({"rep": ids, "home": home, "links": links, "label": ids[label], "recall": recall})
-
-    found = saved(placed.join(lists, "rep").groupBy("shard").applyInPandas(find, "rep long, home boolean, links long, label long, recall double"), "found")
-    joined = components(found.where("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b")))
-    counts = found.where("home").select("rep", "links", "recall")
-    nodes = distinct.select("rep", "copies", "k1", "k2").join(counts, "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    nodes = nodes.groupBy("k1", "k2").agg(*(F.min(c).alias(c) for c in ("copies", "links", "recall", "component", "rep")))
+        lists = [own if more is None else np.concatenate([own, more]) for own, more in zip(batch["near"], batch["more"], strict=True)]
+        # home rows are in each block of their shard; their links with each other count in the first
+        counted = ~home | (batch["block"].iloc[0] == 0)
+        links, label = searched(_matrix(batch["x"]), home, counted, batch["copies"].to_numpy(), united(ids, lists))
+        some = home | (ids[label] != ids)
+        return pd.DataFrame({"rep": ids, "home": home, "links": links, "label": ids[label]})[some]
+
+    found = saved(built.join(lists, "rep", "left").groupBy("shard", "block").applyInPandas(find, "rep long, home boolean, links long, label long"), "found")
+    links = saved(found.where("home").groupBy("rep").agg(F.sum("links").alias("links")), "links")
+    return links, found.where("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b"))
+
+
+def link(vectors: DataFrame) -> DataFrame:
+    """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding); beside them the audited recall.
+
+    Vectors are linked if their cosine in double precision is 0.9 or more. n_links counts the other rows linked directly, copies
+    included; component_id is the smallest id that links reach. Null, zero and non-finite vectors link with nothing; vectors of
+    different lengths neither. Equal vectors are one node, which the least of their ids stands for. A null id links with nothing
+    and has a null component. Rows that repeat an id count as rows of their own, each with its vector's links, and are
+    of one component. Equal cosines need no order: every pair at the threshold is linked. No rows in, no rows out. Only links that the graph search finds count; what leaves a task is one count and one label a row, never
+    a shard's pairs.
+    """
+    distinct = saved(usable(vectors), "distinct")
+    for attempt in range(ATTEMPTS):
+        counts, edges = _linked(distinct, MARGIN + 0.1 * attempt)
+        recall = audited(distinct, counts)
+        if recall >= RECALL:
+            break
+    same_id = distinct.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
+    labels = components(edges.unionByName(same_id)).withColumnRenamed("id", "rep")
+    nodes = distinct.select("id", "rep", "copies", "k1", "k2").join(counts, "rep").join(labels, "rep", "left")
+    least = nodes.where("component is not null").groupBy("component").agg(F.min("id").alias("first"))
+    nodes = nodes.join(least, "component", "left").select("k1", "k2", "copies", "links", F.coalesce("first", "id").alias("component"))
     rows = vectors.select(F.col("vec_id").cast("long"), *_keys(_parts(F.col("embedding"))))
     joined = rows.join(nodes, ["k1", "k2"], "left")
     known = F.col("vec_id").isNotNull()
-    component = F.when(known, F.coalesce("component", "rep", "vec_id"))
+    component = F.when(known, F.coalesce("component", "vec_id"))
     return joined.select(
         "vec_id",
         F.when(known, F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0))).otherwise(0).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"),
-        F.col("recall").alias("audited_recall"),
+        F.lit(float(recall)).alias("audited_recall"),
     )
