@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a table that may be broadcast. Every broadcast below checks its count against this.
 BROADCAST_ROWS = 200_000
+#: Numbers in all arrays of a table that may be broadcast: 8 MB.
+BROADCAST_ITEMS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir; a temporary one only if that is unset."""
+    """The folder that the driver and all executors share, from spark.checkpoint.dir; a temporary one only if that is unset and Spark is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/rowloom-{uuid.uuid4().hex}"
@@ -37,8 +41,13 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows that it has at most so many rows; otherwise df, for a shuffled join."""
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, items: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if a count shows that it has at most so many rows; otherwise df, for a shuffled join.
+
+    items, for rows of no fixed size: the number of items in a row, of which there may be BROADCAST_ITEMS in all.
+    """
+    if items is not None and (df.agg(F.sum(items.cast("long"))).first()[0] or 0) > BROADCAST_ITEMS:
+        return df
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

@@ -350,6 +350,25 @@ def test_repeats(spark, docs, none):
     assert repeats.without_repeats(none).count() == 0
 
 
+def test_repeats_of_hot_keys(spark, monkeypatch):
+    """Keys of very many contexts are halved until few share one; nothing is lost by that."""
+    rng = random.Random(16)
+    core = "".join(rng.choice("abcdefgh") for _ in range(360))
+    ends = ["".join(rng.choice("klmnop ") for _ in range(200)) for _ in range(6)]
+    # the same passage in surroundings of which some agree for a while
+    rows = [(i, ends[rng.randrange(6)][rng.randrange(150) :] + core + ends[rng.randrange(6)][: rng.randrange(20, 200)]) for i in range(60)]
+    rows += [(100 + i, "".join(rng.choice("rstuvwxy") for _ in range(300)) + core + "".join(rng.choice("rstuvwxy") for _ in range(300))) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = Counter(t[k : k + 400] for _, t in rows for k in range(len(t) - 399))
+    truth = {}
+    for i, t in rows:
+        gone = {p for k in range(len(t) - 399) if counts[t[k : k + 400]] > 1 for p in range(k, k + 400)}
+        truth[i] = "".join(c for p, c in enumerate(t) if p not in gone)
+    monkeypatch.setattr(repeats, "HOT", 2000)
+    assert {r.doc_id: r.text for r in repeats.without_repeats(df).collect()} == truth
+    assert any(truth[i] != t for i, t in rows) and any(truth[i] == t for i, t in rows)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(700, 16))
