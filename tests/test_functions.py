@@ -32,6 +32,37 @@ def test_minimum_experience(spark):
     assert found == ["0_YEARS", "3_5_YEARS", "1_2_YEARS", "UNKNOWN", "UNKNOWN"]
 
 
+def test_experience_cues(spark):
+    """Tenures count by what their clause says of them; those of companies and of studies don't."""
+    rows = [
+        ("3 years of Python experience required", "3_5_YEARS"), ("minimum 2 years of AWS experience", "1_2_YEARS"), ("5+ years working with Java", "5_7_YEARS"), ("at least 4 years of SAP experience", "3_5_YEARS"),
+        ("3 years preferred", "3_5_YEARS"), ("ideally 5 years of experience", "5_7_YEARS"), ("2+ years is a plus", "1_2_YEARS"), ("experience required", "1_2_YEARS"), ("no experience required", "0_YEARS"),
+        ("The company has 20 years of experience", "UNKNOWN"), ("5 years of university education", "UNKNOWN"), ("We need 18 months of experience.", "1_2_YEARS"), ("two to four yrs of experience", "1_2_YEARS"),
+    ]
+    found = values(spark, rows, "x string, e string", fields.experience(F.col("x")), "e")
+    assert [r[0].bracket for r in found] == [r[1] for r in found] and [r[0].assumed for r in found].count(True) == 1
+    assert [(r[0].months, r[0].comparator) for r in found[:3]] == [(36.0, "EQ"), (24.0, "GTE"), (60.0, "GTE")] and found[12][0].comparator == "RANGE"
+
+
+def test_requirement_clauses(spark):
+    text = "Requirements:\n- a Bachelor's degree\nNice to have: Master in computing. But no degree is needed; our founders met at school"
+    found = values(spark, [(text,)], "x string", fields.requirement_clauses(F.col("x")), fields.clause_at(fields.requirement_clauses(F.col("x")), F.lit(25)))[0]
+    parts = [(c.words.strip(), c.modality, c.is_heading) for c in found[0]]
+    assert parts[:2] == [("requirements", None, True), ("a bachelor s degree", "REQUIRED", False)] and parts[2] == ("nice to have", None, True)
+    assert ("master in computing", "PREFERRED", False) in parts and ("no degree is needed", "NEGATED", False) in parts and parts[-1][1] == "BACKGROUND"
+    assert found[1].words == " a bachelor s degree " and all(F_ in text[c.start : c.end].lower() for c in found[0] for F_ in [c.words.split()[0]])
+
+
+def test_education_requirements(spark):
+    rows = [
+        ("", "Bachelor's degree required. Master preferred.", "BACHELOR", "STATED", "MASTER_OR_HIGHER", False), ("", "Bachelor or Master degree", "BACHELOR", "STATED", None, False),
+        ("", "Bachelor and Master degree", "MASTER_OR_HIGHER", "STATED", None, False), ("", "No degree required", "UNKNOWN", "EXPLICIT_NO_REQUIREMENT", None, False), (None, None, "UNKNOWN", "NOT_STATED", None, False),
+        ("", "Bac+5 or equivalent experience", "MASTER_OR_HIGHER", "STATED", None, True), ("", "Our founders hold a PhD; a licence is essential", "BACHELOR", "STATED", None, False), ("Dev", "", "UNKNOWN", "NOT_STATED", None, False),
+    ]
+    found = values(spark, rows, "t string, d string, v string, s string, p string, l boolean", fields.education(F.col("t"), F.col("d")), "v", "s", "p", "l")
+    assert [(r[0].value, r[0].status, r[0].preferred, r[0].experience_in_lieu) for r in found] == [r[1:] for r in found]
+
+
 def test_work_modes(spark):
     rows = [
         ("", "", "Teleworking : Hybrid", "HYBRID"), ("", "", "Teleworking : No", "ONSITE"), ("", "", "Teleworking : Yes", "REMOTE"),
@@ -97,6 +128,12 @@ def test_cleaning():
     assert all(kept in text for kept in ("3+ years", "C++", "2023-09-01", "15%&", "end\n\nbye"))
 
 
+def test_cleaning_of_contacts():
+    lines = ["Call (01) 45 67 89 00 now", "since 2019 - 2023 here", "a\u200bb\x07c", "see www.x.org, or write <jo@mail.org>!", "Spam line", "1.234.567 items", "+1-555-010-9999; 12 months"]
+    assert html.clean("\r\n".join(lines), frozenset({"spam line"})).split("\n") == ["Call now", "since 2019 - 2023 here", "ab c", "see or write", "1.234.567 items", "12 months"]
+    assert html.clean(None) is None and html.clean("a\n\n\n b ") == "a\n\nb"
+
+
 def test_offer_page():
     page = """<html><script type="application/ld+json">{"@type":"JobPosting","title":"Dev &amp; Ops","hiringOrganization":{"name":"Acme"}}</script>
     <ul><li title="Contract type">CDI</li><li title="Teleworking">Teleworking : Hybrid</li></ul><div class="contentbloc"><div class="blc info">skip this one that is quite long indeed yes</div>

@@ -19,8 +19,10 @@ def test_titles(spark):
     found = df.select(titles.retrieval_title(F.col("t")), titles.rule_title(F.col("t")), titles.title_tokens(F.col("t"))).collect()
     assert found[0][0] == "Back-End Developer" and found[0][1] == "senior backend developer | paris" and found[0][2] == ["back", "end", "developer", "paris"]
     assert found[1][0] == "Data Engineer" and (found[2][0], found[2][1], found[2][2]) == ("", "", [])
-    kinds = spark.createDataFrame([("Java Developer",), ("Paris",), ("Senior",), ("C++",), ("xyz",)], "s string").select(titles.segment_kind(F.col("s"), ["java", "c++"]))
-    assert [r[0] for r in kinds.collect()] == ["occupation", "location", "seniority", "technology", "unknown"]
+    kinds = spark.createDataFrame([("Java Developer",), ("Paris",), ("Senior",), ("C++",), ("xyz",), ("Fintech",), ("Cloud",)], "s string").select(titles.segment_kind(F.col("s"), ["java", "c++"]))
+    assert [r[0] for r in kinds.collect()] == ["occupation", "location", "seniority", "technology", "unknown", "domain", "specialisation"]
+    cut = spark.createDataFrame([("Dev / Ops & dev, C++ - Paris + Tunis",)], "s string").select(titles.segments(F.col("s"))).first()[0]
+    assert cut == ["Dev", "Ops", "C++", "Paris", "Tunis"]
 
 
 def test_recommendations(spark):
