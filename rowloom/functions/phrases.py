@@ -70,6 +70,11 @@ def behind(clause: Column, labels: list[str]) -> Column:
     return F.nullif(rest, F.lit(""))
 
 
+def bound(value: Column, make) -> Column:
+    """make(value) with the value computed once, however often make() uses it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def first(values: Column) -> Column:
     """The first of an array that is not null."""
     return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))

@@ -17,13 +17,14 @@ from ..functions.text import meaningful_words
 # Modes a description can come in.
 MODES = ("plain_text", "description_html", "full_page_html")
 ACCEPTED = ("HIGH_CONFIDENCE_ENGLISH", "ENGLISH_CONFIRMED_BY_TWO_CHUNKS")
-# Tokens that do not count as prose in a confirmation chunk.
-NOT_PROSE = (
+# Tokens that do not count as prose in a confirmation chunk: technologies, and the words of a page's frame.
+TECHNOLOGY_WORDS = (
     "python java javascript typescript aws azure gcp docker kubernetes react angular vue sql linux git node django flask spring php ruby golang rust scala kotlin swift "
     "html css mongodb postgres mysql redis kafka spark hadoop terraform ansible jenkins graphql nosql oracle postgresql csharp cpp dotnet js ts k8s pytorch tensorflow "
-    "pandas numpy sap odoo cookie cookies privacy newsletter unsubscribe sitemap navigation menu footer header facebook linkedin twitter instagram youtube copyright"
+    "pandas numpy sap odoo"
 ).split()
-_NOT_PROSE = frozenset(NOT_PROSE)
+FRAME_WORDS = "cookie cookies privacy newsletter unsubscribe sitemap navigation menu footer header facebook linkedin twitter instagram youtube copyright".split()
+_NOT_PROSE = frozenset(TECHNOLOGY_WORDS + FRAME_WORDS)
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,7 @@ def prose_windows(text: str | None, config: Config = Config()) -> list[str] | No
 def chunks(text: Column, config: Config = Config()) -> Column:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: prose_windows(t, config))
+        return texts.map(lambda t: prose_windows(t, config), na_action="ignore")
 
     return cut(text)
 
@@ -87,33 +88,35 @@ def chunks(text: Column, config: Config = Config()) -> Column:
 def run(offers: DataFrame, predict: Callable[[Column], Column] | None, config: Config = Config()) -> DataFrame:
     """offers (source, identity, mode, description, cleaned, ...) with decision, reason, language, score, predictions_count.
 
-    predict gives struct(language, score) of a text. Rows that a cheap test refuses are never predicted; only rows of unsure
-    English are predicted again, by chunk. Each stage is a filter of its own, since a conditional would not spare its rows a
-    Python function.
+    predict gives struct(language, score) of a text. One pass over the rows: rows that a cheap test refuses are predicted from a
+    null text, and so are the chunks of all but rows of unsure English; a null costs a predictor next to nothing.
     """
-    checked = offers.withColumn("reason", refusal(*(F.col(c) for c in ("description", "cleaned", "source", "identity", "mode")), config))
-    none = [F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("score")]
+    checked = offers.withColumn("refused", refusal(*(F.col(c) for c in ("description", "cleaned", "source", "identity", "mode")), config))
     keep = [F.col(c) for c in offers.columns]
-    refused = checked.where(F.col("reason").isNotNull()).select(*keep, "reason", *none, F.lit(0).alias("predictions_count"))
-    open_ = checked.where(F.col("reason").isNull()).drop("reason")
+    none, open_ = F.lit(None).cast("string"), F.col("refused").isNull()
     if predict is None:
-        rest = open_.select(*keep, F.lit("LANGUAGE_MODEL_UNAVAILABLE").alias("reason"), *none, F.lit(0).alias("predictions_count"))
-        return _decided(refused.unionByName(rest))
+        reason = F.coalesce("refused", F.lit("LANGUAGE_MODEL_UNAVAILABLE"))
+        return _decided(checked.select(*keep, reason.alias("reason"), none.alias("language"), none.cast("double").alias("score"), F.lit(0).alias("predictions_count")))
     line = F.trim(F.regexp_replace("cleaned", r"\s+", " "))
-    predicted = open_.withColumn("p", predict(line)).select(*keep, F.col("p.language").alias("language"), F.col("p.score").alias("score"))
-    reason = F.when(F.col("language").isNull(), "LANGUAGE_PREDICT_FAILED").when(F.col("language") != "en", "NON_ENGLISH_DESCRIPTION").when(F.col("score") >= config.sure, "HIGH_CONFIDENCE_ENGLISH")
-    predicted = predicted.withColumn("reason", reason)
-    sure = predicted.where(F.col("reason").isNotNull()).withColumn("predictions_count", F.lit(1))
-    unsure = predicted.where(F.col("reason").isNull()).drop("reason").withColumn("parts", chunks(F.col("cleaned"), config))
-    lacking = unsure.where(F.col("parts").isNull()).select(*keep, F.lit("INSUFFICIENT_TEXT_FOR_CHUNK_CONFIRMATION").alias("reason"), "language", "score", F.lit(1).alias("predictions_count"))
-    again = unsure.where(F.col("parts").isNotNull()).withColumn("a", predict(F.get("parts", F.lit(0)))).withColumn("b", predict(F.get("parts", F.lit(1))))
-    verdict = (
-        F.when((F.col("a.language") != "en") | (F.col("b.language") != "en"), "CHUNK_LANGUAGE_MISMATCH")
+    # the row's own state says which predictions count, whatever a predictor makes of a null
+    rows = checked.withColumn("p", predict(F.when(open_, line)))
+    rows = rows.withColumn("language", F.when(open_, F.col("p.language"))).withColumn("score", F.when(open_, F.col("p.score"))).drop("p")
+    unsure = open_ & F.coalesce((F.col("language") == "en") & ~(F.col("score") >= config.sure), F.lit(False))
+    rows = rows.withColumn("parts", chunks(F.when(unsure, F.col("cleaned")), config)).withColumn("cut", unsure & F.col("parts").isNotNull())
+    chunk = lambda i: predict(F.when(F.col("cut"), F.get("parts", F.lit(i))))
+    rows = rows.withColumn("a", chunk(0)).withColumn("b", chunk(1))
+    reason = (
+        F.when(~open_, F.col("refused"))
+        .when(F.col("language").isNull(), "LANGUAGE_PREDICT_FAILED")
+        .when(F.col("language") != "en", "NON_ENGLISH_DESCRIPTION")
+        .when(F.col("score") >= config.sure, "HIGH_CONFIDENCE_ENGLISH")
+        .when(~F.col("cut"), "INSUFFICIENT_TEXT_FOR_CHUNK_CONFIRMATION")
+        .when((F.col("a.language") != "en") | (F.col("b.language") != "en"), "CHUNK_LANGUAGE_MISMATCH")
         .when(F.least("a.score", "b.score") < config.chunk_sure, "LOW_CHUNK_ENGLISH_CONFIDENCE")
         .otherwise("ENGLISH_CONFIRMED_BY_TWO_CHUNKS")
     )
-    again = again.select(*keep, verdict.alias("reason"), "language", "score", F.lit(3).alias("predictions_count"))
-    return _decided(refused.unionByName(sure.select(*refused.columns)).unionByName(lacking).unionByName(again))
+    count = F.when(~open_, 0).when(F.col("cut"), 3).otherwise(1)
+    return _decided(rows.select(*keep, reason.alias("reason"), "language", "score", count.alias("predictions_count")))
 
 
 def _decided(rows: DataFrame) -> DataFrame:
@@ -147,7 +150,9 @@ def predict_by_function_words(text: pd.Series) -> pd.DataFrame:
     listed = {lang: set(words.split()) for lang, words in FUNCTION_WORDS.items()}
 
     def one(line: str | None) -> tuple[str, float]:
-        counts = Counter(re.findall(r"\w+", (line or "").lower()))
+        if not line:
+            return "und", 0.0
+        counts = Counter(re.findall(r"\w+", line.lower()))
         found = {lang: sum(counts[w] for w in words) for lang, words in listed.items()}
         best = max(found, key=lambda lang: found[lang])
         return (best, found[best] / sum(found.values())) if found[best] else ("und", 0.0)
