@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a table that may be broadcast. Every broadcast below checks its count against this.
 BROADCAST_ROWS = 200_000
-#: Numbers in all arrays of a table that may be broadcast: 8 MB.
-BROADCAST_ITEMS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,13 +39,8 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, items: Column | None = None) -> DataFrame:
-    """df with a broadcast hint if a count shows that it has at most so many rows; otherwise df, for a shuffled join.
-
-    items, for rows of no fixed size: the number of items in a row, of which there may be BROADCAST_ITEMS in all.
-    """
-    if items is not None and (df.agg(F.sum(items.cast("long"))).first()[0] or 0) > BROADCAST_ITEMS:
-        return df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, whose rows must be of a fixed size, with a broadcast hint if a count shows that it has at most so many; otherwise df, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import BROADCAST_ROWS, saved, small
 
 #: Kinds of base spans, and the kind that only the method adds.
 KINDS = ("email", "ip", "card", "phone")
@@ -197,7 +197,7 @@ def find(docs: DataFrame) -> DataFrame:
     read whole, however long. Nothing in, nothing out.
     """
     plain = lambda found: F.transform(found, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    whole = _with_texts(docs, small(spans(docs)), ["base", "all_spans"])
+    whole = _with_texts(docs, spans(docs), ["base", "all_spans"])
     return whole.select("doc_id", "text_key", plain("base").alias("base"), plain("all_spans").alias("all_spans"))
 
 
@@ -216,11 +216,13 @@ def redacted(docs: DataFrame) -> DataFrame:
     by blocks of a few, so that a long text with many is not read from its start for each.
     """
     each = spans(docs).select("doc_id", "text_key", F.explode("all_spans").alias("s")).select("doc_id", "text_key", "s.*")
+    few = each.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     earlier = Window.partitionBy("doc_id", "text_key").orderBy("start", "end", "order").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("from", F.coalesce(F.max("end").over(earlier), F.lit(0)))
     cut = F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("from"), F.struct("start", "end", "from", "kind")))).alias("pii_spans__")
     cuts = each.groupBy("doc_id", "text_key").agg(cut, F.max("end").alias("pii_end__")).withColumnsRenamed({"doc_id": "pii_id__", "text_key": "pii_key__"})
-    cuts = small(saved(cuts, "cuts"))  # rows with spans alone, without texts
+    cuts = saved(cuts, "cuts")
+    cuts = F.broadcast(cuts) if few else cuts  # places without texts, as many as there are spans
     condition = docs["doc_id"].cast("long").eqNullSafe(F.col("pii_id__")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("pii_key__"))
     joined = docs.join(cuts, condition, "left")
     text, found = F.col("text"), F.col("pii_spans__")

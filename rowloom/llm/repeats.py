@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import saved
 from .minhash import mixed
 from .suffixes import common_prefixes, prefix_sums, span_hashes, suffix_array
 
@@ -173,7 +173,7 @@ def _halved(pieces: DataFrame) -> DataFrame:
 def _pieces(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """rows with the bytes of their windows, raw. Rows of texts that share id and text hold the same bytes; one of each will do."""
     wanted = rows.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in ("doc_id", "text_key")))).alias("parts"))
-    wanted = small(saved(wanted, "wanted"), items=F.size("parts") * len(rows.columns)).withColumnRenamed("doc_id", "id").withColumnRenamed("text_key", "own")
+    wanted = wanted.withColumnRenamed("doc_id", "id").withColumnRenamed("text_key", "own")
     found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("own")))
     found = found.select("doc_id", "text_key", F.col("text").cast("binary").alias("bytes"), F.explode("parts").alias("part"))
     assert LENGTH == 400
@@ -227,7 +227,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     if they have 400. Empty tables give no rows. A task sorts the suffixes of a bounded number of bytes.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("text_key", F.xxhash64("text"))
-    marks = small(saved(removals(docs), "removals"), items=F.size("firsts") * 2 + 4).withColumnRenamed("doc_id", "id").withColumnRenamed("text_key", "own")
+    # rows of any length, so no broadcast at any size: texts are shuffled to them
+    marks = removals(docs).withColumnRenamed("doc_id", "id").withColumnRenamed("text_key", "own")
     joined = texts.join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("own")), "left").select("doc_id", "text", "firsts", "lasts")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
