@@ -7,15 +7,18 @@ model knows add their log frequencies; for any other word, each place takes the
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import slices
 from .common import held_out
 
 #: Documents to learn from, at most about so many of each language, chosen by a hash of their id.
@@ -52,31 +55,41 @@ class Model:
             places += 1
         return total / max(places, 1)
 
-    def predict(self, text: str | None, held: dict[str, np.ndarray]) -> tuple[str, float]:
-        """The best language (the first in alphabetical order among equals) and its share of the likelihood."""
-        words = _words(text or "")
-        if not words:
-            return UNDETERMINED, 0.0
-        if not self.langs:
-            return UNDETERMINED, 0.0
-        total, n = np.zeros(len(self.langs)), 0
-        for word, count in Counter(words).items():
+    def predict(self, texts: list[str | None], held: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+        """Of each text the best language (the first in alphabetical order among equals) and its share of the likelihood.
+
+        Each distinct word of the texts is looked up once; held keeps the vectors of words seen lately.
+        """
+        found = [words(text or "") for text in texts]
+        sizes = np.array([len(x) for x in found], "i8")
+        known = (sizes > 0) & bool(self.langs)
+        if not known.any():
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        coded = pa.array(chain.from_iterable(found), pa.string()).dictionary_encode()
+        vectors = []
+        for word in coded.dictionary.to_pylist():
             vector = held.get(word)
             if vector is None:
                 vector = held[word] = self.vector(word)
-            total += count * vector
-            n += count
-        mean = total / n * min(n, SURE_WORDS)
-        share = np.exp(mean - mean.max())
-        best = int(share.argmax())
-        return self.langs[best], float(share[best] / share.sum())
+            vectors.append(vector)
+        each = np.array(vectors)[coded.indices.to_numpy()]
+        starts = (np.cumsum(sizes) - sizes)[known]
+        mean = np.add.reduceat(each, starts) / sizes[known, None] * np.minimum(sizes[known], SURE_WORDS)[:, None]
+        share = np.exp(mean - mean.max(1, keepdims=True))
+        best = share.argmax(1)
+        langs, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+        langs[known] = np.array(self.langs, object)[best]
+        scores[known] = share.max(1) / share.sum(1)
+        return langs.tolist(), scores
 
 
-def _words(text: str) -> list[str]:
-    """Maximal runs of letters, in lower case and in pieces."""
-    import re
+#: Letters are those of the Unicode category L, here as in the expressions that Spark evaluates.
+_WORD = regex.compile(rf"\p{{L}}{{1,{PIECE}}}")
+
 
-    return re.findall(rf"[^\W\d_]{{1,{PIECE}}}", text.lower())
+def words(text: str) -> list[str]:
+    """Maximal runs of letters, in lower case and in pieces."""
+    return _WORD.findall(text.lower())
 
 
 def _logs(counts: pd.DataFrame, key: str, langs: list[str]) -> dict[str, np.ndarray]:
@@ -107,13 +120,13 @@ def fit(docs: DataFrame, documents_per_language: int = FIT_DOCUMENTS) -> Model:
     bucket = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
     limits = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, math.ceil((1 << 30) * min(1.0, documents_per_language / n)))))
     chosen = rows.where(bucket < F.element_at(limits, F.col("lang")))
-    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"(\p{{L}}{{1,{PIECE}}})"), F.lit(1))).alias("word"))
-    words = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).cache()
+    counted = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(rf"(\p{{L}}{{1,{PIECE}}})"), F.lit(1))).alias("word"))
+    counted = counted.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).cache()
     marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     ends = F.sequence(F.lit(2), F.length("marked"))
     sizes = F.array(*(F.lit(i) for i in range(1, LONGEST_GRAM + 1)))
     grams = (
-        words.select("lang", "n", marked.alias("marked"))
+        counted.select("lang", "n", marked.alias("marked"))
         .select("lang", "n", "marked", F.explode(ends).alias("end"))
         .select("lang", "n", "marked", "end", F.explode(sizes).alias("size"))
         .where("size <= end")
@@ -122,8 +135,8 @@ def fit(docs: DataFrame, documents_per_language: int = FIT_DOCUMENTS) -> Model:
         .agg(F.sum("n").alias("n"))
     )
     langs = sorted(counts)
-    model = Model(langs, _logs(words.where(F.col("n") >= LEAST_WORD).toPandas(), "word", langs), _logs(grams.toPandas(), "gram", langs))
-    words.unpersist()
+    model = Model(langs, _logs(counted.where(F.col("n") >= LEAST_WORD).toPandas(), "word", langs), _logs(grams.toPandas(), "gram", langs))
+    counted.unpersist()
     return model
 
 
@@ -132,20 +145,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     lang_pred is a learned language, or und with score 0 if the text is null or has no letter or nothing was learned. The model,
     whose size the training sample bounds, is sent to each executor once. Long texts are read whole.
+    Rows come as they are: repeated ones are predicted alike; no rows in, no rows out.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = sent.value, {}
         for batch in batches:
-            found = []
-            for text in batch["text"]:
+            for start, stop in slices(batch["text"]):
+                part = batch.slice(start, stop - start)
+                langs, scores = own.predict(part["text"].to_pylist(), held)
+                yield pa.RecordBatch.from_pydict({"doc_id": part["doc_id"], "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores)})
                 if len(held) > 200_000:
                     held.clear()
-                found.append(own.predict(text, held))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -112,24 +112,29 @@ def verdicts(docs: DataFrame, limit: int = LIMIT, share: float = SHARE) -> DataF
     """Every row of docs (doc_id, text, source) with its base counts, n_removed_words and kept.
 
     kept is false if base_failed, else if frequent lines leave the document less than LEAST_KEPT of its words. Null and empty
-    texts have no words and fail. Rows that share an id count as documents of their own for the lines' frequencies; an id is
-    depleted by all its rows together. A host's row count is summed before any shuffle, and a line's too, so a host with a third
+    texts have no words and fail. Rows that share an id count as documents of their own, for the lines' frequencies and for what
+    is left of them; rows alike have one verdict. Texts are read whole, and no rows in give no rows out. A host's row count is summed before any shuffle, and a line's too, so a host with a third
     of all rows makes no task longer than others.
     """
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
     frequent = small(saved(frequent_lines(narrow, limit, share), "frequent_lines"))
-    lines = narrow.select("doc_id", _host(F.col("source")).alias("host"), F.explode(_lines(F.col("text"))).alias("line"))
-    hits = lines.select("doc_id", "host", "line.line_hash", "line.n").join(frequent, ["host", "line_hash"])
-    removed = hits.groupBy("doc_id").agg(F.sum("n").alias("n_removed_words"))
-    counted = base(narrow).drop("text").alias("c")
-    joined = counted.join(removed.alias("r"), F.col("c.doc_id").eqNullSafe(F.col("r.doc_id")), "left")
+    own = F.xxhash64("text", "source").alias("own")
+    lines = narrow.select("doc_id", own, _host(F.col("source")).alias("host"), F.posexplode(_lines(F.col("text"))).alias("at", "line"))
+    hits = lines.select("doc_id", "own", "host", "at", "line.line_hash", "line.n").join(frequent, ["host", "line_hash"])
+    removed = hits.groupBy("doc_id", "own", "at").agg(F.max("n").alias("n")).groupBy("doc_id", "own").agg(F.sum("n").alias("n_removed_words"))
+    counted = base(narrow).withColumn("own", own).drop("text").alias("c")
+    joined = counted.join(removed.alias("r"), F.col("c.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("c.own") == F.col("r.own")), "left")
     gone = F.coalesce(F.col("r.n_removed_words"), F.lit(0)).cast("long")
     depleted = (F.col("n_words") - gone) < LEAST_KEPT * F.col("n_words")
-    return joined.select("c.*", gone.alias("n_removed_words"), (~F.col("base_failed") & ~depleted).alias("kept"))
+    return joined.select(*(F.col(f"c.{x}") for x in base(narrow).columns if x != "text"), gone.alias("n_removed_words"), (~F.col("base_failed") & ~depleted).alias("kept"))
 
 
 def cleaned(docs: DataFrame, limit: int = LIMIT, share: float = SHARE) -> DataFrame:
-    """doc_id and text without the lines that are frequent in its host, for documents that are kept."""
+    """doc_id and text without the lines that are frequent in its host, for documents that are kept; one row an id.
+
+    Null and empty texts are never kept. An id of several rows is kept if one of them is, and its lines follow each other by
+    place. Lines without a word stay where they are.
+    """
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
     frequent = small(saved(frequent_lines(narrow, limit, share), "frequent_lines"))
     kept = verdicts(docs, limit, share).where("kept").select("doc_id").distinct()

@@ -30,7 +30,7 @@ _MARKS = b".,;:'\"-()?"
 _SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in _MARKS)
 FEATURES = [
     "log_bytes", "log_words", "word_bytes", "upper", "lower", "digit", "mark", "symbol", "bang", "bar", "other_bytes",
-    "distinct_words", "top_word", "long_word", "line_words", "duplicate_lines", "symbol_words", "upper_words", "sentence_words", "runs",
+    "distinct_words", "top_word", "long_word", "line_words", "duplicate_lines", "symbol_words", "upper_words", "sentence_words",
 ]
 
 
@@ -70,7 +70,6 @@ def features(text: str | None) -> list[float]:
         symbol_words / n,
         upper_words / n,
         n / (ends + 1),
-        1 - len(counts) / n if n < 200 else 0.0,
     ]
 
 
@@ -225,7 +224,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, columns unchanged, whose text scores at least the threshold."""
+    """The rows of docs, columns unchanged, whose text scores at least the threshold.
+
+    Null and empty texts are scored as such; rows alike are kept alike; long texts are scored whole; no rows in, no rows out.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -405,9 +405,45 @@ def test_language_reads_long_runs(spark):
     ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
     rows = [(i, "ab" * 32 + ("cd" if i % 2 else "ef") * 300, "odd" if i % 2 else "even") for i in ids]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    odd, even = model.predict("ab" * 32 + "cd" * 5000, {}), model.predict("ab" * 32 + "ef" * 5000, {})
-    assert (odd[0], even[0]) == ("odd", "even") and min(odd[1], even[1]) > 0.99
-    assert model.predict("ab" * 32 + "dcd" * 5000, {})[0] == "odd"
+    langs, scores = model.predict(["ab" * 32 + "cd" * 5000, None, "ab" * 32 + "ef" * 5000, "² ½ ① 12", "ab" * 32 + "dcd" * 5000], {})
+    assert langs == ["odd", "und", "even", "und", "odd"] and min(scores[[0, 2]]) > 0.99 and scores[1] == scores[3] == 0
+
+
+def test_language_against_plain_loops(spark):
+    """Counts, backing off and likelihoods of plain loops over the same texts."""
+    rng = random.Random(21)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 30)))
+    rows = [(i, make("abcdé" if i % 3 else "cdefß"), None if i % 7 == 0 else "x" if i % 3 else "y") for i in range(120)]
+    texts = {i: t for i, t, _ in rows}
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 5:
+            words[lang].update(t.split())
+    for lang, counts in words.items():
+        for w, n in counts.items():
+            for end in range(2, len(w) + 3):
+                for size in range(1, min(4, end) + 1):
+                    grams[lang][f"^{w}$"[end - size : end]] += n
+    words = {lang: Counter({w: n for w, n in c.items() if n >= 2}) for lang, c in words.items()}
+
+    def logs(counts, item):
+        items = set().union(*counts.values())
+        return {lang: np.log(c[item] + 0.5) - np.log(sum(c.values()) + 0.5 * len(items)) for lang, c in counts.items()} if item in items else None
+
+    def vector(w):
+        if (known := logs(words, w)) is not None:
+            return known
+        places = []
+        for end in range(2, len(w) + 3):
+            places.append(next((g for size in range(min(4, end), 0, -1) if (g := logs(grams, f"^{w}$"[end - size : end])) is not None), {"x": 0, "y": 0}))
+        return {lang: sum(p[lang] for p in places) / len(places) for lang in "xy"}
+
+    found = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, t in texts.items():
+        each = [vector(w) for w in t.split()]
+        mean = {lang: sum(v[lang] for v in each) / len(each) * min(len(each), 12) for lang in "xy"}
+        best = max("xy", key=lambda lang: mean[lang])
+        assert found[i].lang_pred == best and abs(found[i].score - 1 / sum(np.exp(m - mean[best]) for m in mean.values())) < 1e-9
 
 
 def test_quality(docs, none):
