@@ -315,6 +315,10 @@ def link(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """Rows of docs, columns unchanged, of which one id of each component is left. Repeated rows of that id stay; null ids stay."""
-    gone = small(saved(link(docs).where("not kept").select(F.col("doc_id").alias("near_copy_id__")).distinct(), "gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("near_copy_id__"), "left_anti")
+    """Rows of docs, columns unchanged, of which one id of each component is left, the smallest.
+
+    Repeated rows of that id stay; so do null ids, and null and empty texts, which are linked with nothing. Long texts are compared
+    whole; no rows in, no rows out.
+    """
+    gone = small(saved(link(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone"))
+    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").cast("long") == F.col("g.gone_id"), "left_anti")

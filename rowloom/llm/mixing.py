@@ -138,10 +138,10 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple = WEIGHTS, cap: int = MO
 def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Columns as in docs.
 
-    Rows that share an id share its copies; a null id, never shared, follows the mix of null ids as one document would.
+    Rows that share an id share its copies, the most that one of them is given, and so do null ids. Null and empty texts come as
+    often as their weight says; long texts count whole; no rows in, no rows out.
     """
-    copies = mix(docs, seed).groupBy("doc_id").agg(F.max("copies").alias("mix_copies__"))
-    key = F.col("left_docs.doc_id").cast("long")
-    joined = docs.alias("left_docs").join(copies.alias("right_mix"), key.eqNullSafe(F.col("right_mix.doc_id")), "inner")
-    repeated = joined.where("mix_copies__ > 0").withColumn("mix_copy__", F.explode(F.sequence(F.lit(1), F.col("mix_copies__").cast("int"))))
-    return repeated.select(*(F.col(f"left_docs.`{c}`") for c in docs.columns))
+    copies = mix(docs, seed).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    on = F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id"))
+    joined = docs.alias("d").join(copies.alias("m"), on, "inner").select("d.*", F.explode(F.sequence(F.lit(1), F.col("m.copies").cast("int"))).alias("nth copy of the mix"))
+    return joined.drop("nth copy of the mix")

@@ -219,13 +219,14 @@ def redacted(docs: DataFrame) -> DataFrame:
     few = each.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     earlier = Window.partitionBy("doc_id", "text_key").orderBy("start", "end", "order").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("from", F.coalesce(F.max("end").over(earlier), F.lit(0)))
-    cut = F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("from"), F.struct("start", "end", "from", "kind")))).alias("pii_spans__")
-    cuts = each.groupBy("doc_id", "text_key").agg(cut, F.max("end").alias("pii_end__")).withColumnsRenamed({"doc_id": "pii_id__", "text_key": "pii_key__"})
+    cut = F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("from"), F.struct("start", "end", "from", "kind")))).alias("cuts")
+    cuts = each.groupBy("doc_id", "text_key").agg(cut, F.max("end").alias("last"))
     cuts = saved(cuts, "cuts")
     cuts = F.broadcast(cuts) if few else cuts  # places without texts, as many as there are spans
-    condition = docs["doc_id"].cast("long").eqNullSafe(F.col("pii_id__")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("pii_key__"))
-    joined = docs.join(cuts, condition, "left")
-    text, found = F.col("text"), F.col("pii_spans__")
+    text = F.col("d.text")
+    condition = F.col("d.doc_id").cast("long").eqNullSafe(F.col("c.doc_id")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("c.text_key"))
+    joined = docs.alias("d").join(cuts.alias("c"), condition, "left")
+    found = F.col("c.cuts")
 
     def block(i: Column) -> Column:
         """The text from the end of the block before to the end of this one's last span, spans replaced."""
@@ -236,6 +237,6 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.transform(F.array(part), lambda t: F.array_join(F.transform(own, lambda s: piece(t, s)), ""))[0]
 
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _BLOCK).cast("int")), block)
-    rest = F.substring(text, F.col("pii_end__") + 1, F.length(text))
+    rest = F.substring(text, F.col("c.last") + 1, F.length(text))
     clean = F.when(found.isNull(), text).otherwise(F.concat(F.array_join(blocks, ""), rest))
-    return joined.select(*(clean.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    return joined.select(*(clean.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns))

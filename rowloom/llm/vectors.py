@@ -25,10 +25,10 @@ COSINE = 0.9
 SHARD, BLOCK, CENTRES = 2048, 4096, 64
 #: Rows a split's centres are found from; chosen by a hash.
 FIT_ROWS = 16_384
-#: A vector is a guest of centres whose cosine with it lacks at most so much of the nearest one's, and a guest's guest of those
-#: that lack at most a third of that ...
-MARGIN = 0.25
-#: ... and of every centre as near as this, twice the range's angle: what lies within the range of such a centre may be linked.
+#: A vector goes to the nearest so many centres, of those whose cosine with it lacks at most MARGIN of the nearest one's; a guest
+#: to a quarter as many, within a third of the margin. So a vector's tasks are no more where there are more shards. ...
+OVERLAP, MARGIN = 8, 0.25
+#: ... Beside these it goes to every centre as near as this, twice the range's angle: what lies within the range of such a centre may be linked.
 CLOSE = 2 * COSINE * COSINE - 1
 CANDIDATES, DEGREE, ALPHA = 40, 20, 1.2
 BEAM, SLACK, MEDOIDS = 24, 0.15, 8
@@ -39,8 +39,8 @@ AUDITED, RECALL, ATTEMPTS = 1024, 0.99, 3
 _BLOCK = 256
 #: Rows that a query opens at a step while its beam is not full.
 _STEP = 8
-#: A query with more than this share of a task's rows near the range is settled against all of them: that costs less than opening each.
-_WIDE = 1 / 64
+#: A query with more than so many rows near the range is settled against all rows of its task: opening each costs more than that.
+_WIDE = 16
 
 
 def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -56,7 +56,10 @@ def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def neighbours(x: np.ndarray) -> np.ndarray:
-    """Robust-pruned neighbours of each row among the rows of x, -1 where there are fewer."""
+    """Robust-pruned neighbours of each row among the rows of x, -1 where there are fewer.
+
+    Slots that pruning leaves are filled with the nearest of what it drops: in a group that is almost one point it would drop all.
+    """
     x = x.astype("f4")
     n, width = len(x), min(CANDIDATES, len(x) - 1)
     out = np.full((n, DEGREE), -1, "i4")
@@ -70,17 +73,14 @@ def neighbours(x: np.ndarray) -> np.ndarray:
         near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
         away = 2 - 2 * np.take_along_axis(sims, near, 1)
         between = 2 - 2 * (x[near] @ x[near].transpose(0, 2, 1))
-        open_ = np.ones(near.shape, bool)
+        open_, left = np.ones(near.shape, bool), np.ones(near.shape, bool)
         rows = np.arange(len(block))
-        for slot in range(DEGREE):
+        for slot in range(min(DEGREE, width)):
             some = open_.any(1)
-            if not some.any():
-                break
-            pick = open_.argmax(1)
-            out[block[some], slot] = near[rows[some], pick[some]]
+            pick = np.where(some, open_.argmax(1), left.argmax(1))
+            out[block, slot] = near[rows, pick]
             open_ &= ~(ALPHA * ALPHA * between[rows, pick] <= away)
-            open_[rows, pick] = False
-            open_[~some] = False
+            open_[rows, pick] = left[rows, pick] = False
     return out
 
 
@@ -105,7 +105,7 @@ def search(x: np.ndarray, graph: np.ndarray, start: np.ndarray, queries: np.ndar
         sims[np.arange(len(own)), own] = 1.0
         opened, whole = np.zeros(sims.shape, bool), np.zeros(len(own), bool)
         while True:
-            wide = ~whole & ((sims >= COSINE - SLACK).sum(1) > max(64, n * _WIDE))
+            wide = ~whole & ((sims >= COSINE - SLACK).sum(1) > _WIDE)
             whole |= wide
             opened[wide] = True
             waiting = np.where(opened, -np.inf, sims)
@@ -225,16 +225,17 @@ def _keys(v: Column) -> tuple[Column, Column]:
     return F.xxhash64(v).alias("k1"), F.xxhash64(F.lit("second"), v).alias("k2")
 
 
-def places(x: np.ndarray, c: np.ndarray, home: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+def places(x: np.ndarray, c: np.ndarray, home: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
     """Which centres each row goes to, and the order of the centres by nearness for each."""
     sims = x @ c.T
     lacks = sims.max(1)[:, None] - sims
-    goes = (lacks <= np.where(home, margin, margin / 3)[:, None]) | (sims >= CLOSE)
     order = np.argsort(np.argsort(lacks, axis=1, kind="stable"), axis=1)
+    within, most = np.where(home, MARGIN, MARGIN / 3)[:, None], np.where(home, overlap, max(1, overlap // 4))[:, None]
+    goes = ((lacks <= within) & (order < most)) | (sims >= CLOSE)
     return goes, order
 
 
-def _split(rows: DataFrame, large: DataFrame, level: int, margin: float) -> DataFrame:
+def _split(rows: DataFrame, large: DataFrame, level: int, overlap: int) -> DataFrame:
     """Deal the rows of shards that are too large to their nearest centres, the nearest as home.
 
     Where centres can't part a sample's rows, as they are almost one point, a hash deals them, and each is a guest of all the others.
@@ -263,7 +264,7 @@ def _split(rows: DataFrame, large: DataFrame, level: int, margin: float) -> Data
                     order = (np.arange(parts)[None, :] - own[:, None]) % parts
                     goes = np.ones(order.shape, bool)
                 else:
-                    goes, order = places(x, np.asarray(part["centres"].iloc[0], "f8").reshape(-1, x.shape[1]), home, margin)
+                    goes, order = places(x, np.asarray(part["centres"].iloc[0], "f8").reshape(-1, x.shape[1]), home, overlap)
                 for k in range(goes.shape[1]):
                     keep = goes[:, k]
                     out = part.loc[keep, ["rep", "copies", "x"]].copy()
@@ -275,7 +276,7 @@ def _split(rows: DataFrame, large: DataFrame, level: int, margin: float) -> Data
     return rows.join(small(found, 256), "shard").mapInPandas(deal, _ROWS)
 
 
-def shards(vectors: DataFrame, margin: float = MARGIN) -> DataFrame:
+def shards(vectors: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     """Rows of distinct vectors by shard: each at home in one, and a guest of others; rank: how many centres are nearer to it."""
     root = F.concat(F.lit("w"), F.size("x").cast("string"))  # no angle lies between vectors of different lengths
     rows = saved(vectors.select("rep", "copies", "x", root.alias("shard"), F.lit(True).alias("home"), F.lit(0).alias("rank")), "rows0")
@@ -286,7 +287,7 @@ def shards(vectors: DataFrame, margin: float = MARGIN) -> DataFrame:
             return rows
         large = small(large)
         left = rows.join(large, "shard", "left_anti").select("rep", "copies", "x", "shard", "home", "rank")
-        rows = saved(left.unionByName(_split(rows.join(large.select("shard"), "shard", "left_semi"), large, level, margin)), f"rows{level}")
+        rows = saved(left.unionByName(_split(rows.join(large.select("shard"), "shard", "left_semi"), large, level, overlap)), f"rows{level}")
         level += 1
 
 
@@ -317,7 +318,7 @@ def audited(distinct: DataFrame, links: DataFrame) -> float:
     return row["found"] / row["truth"] if row["truth"] else 1.0
 
 
-def _linked(distinct: DataFrame, margin: float) -> tuple[DataFrame, DataFrame]:
+def _linked(distinct: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
     """rep and links of each distinct vector; pairs (a, b) that join the linked ones."""
 
     def build(batch: pd.DataFrame) -> pd.DataFrame:
@@ -327,7 +328,7 @@ def _linked(distinct: DataFrame, margin: float) -> tuple[DataFrame, DataFrame]:
         return batch
 
     columns = f"{_ROWS}, block int, near array<long>"
-    built = saved(tasks(shards(distinct, margin)).groupBy("shard", "block").applyInPandas(build, columns), "built")
+    built = saved(tasks(shards(distinct, overlap)).groupBy("shard", "block").applyInPandas(build, columns), "built")
     lists = built.where((F.col("rank") < UNITED) & (~F.col("home") | (F.col("block") == 0))).groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("more"))
 
     def find(batch: pd.DataFrame) -> pd.DataFrame:
@@ -357,7 +358,7 @@ def link(vectors: DataFrame) -> DataFrame:
     """
     distinct = saved(usable(vectors), "distinct")
     for attempt in range(ATTEMPTS):
-        counts, edges = _linked(distinct, MARGIN + 0.1 * attempt)
+        counts, edges = _linked(distinct, OVERLAP << attempt)
         recall = audited(distinct, counts)
         if recall >= RECALL:
             break

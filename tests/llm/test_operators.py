@@ -311,6 +311,41 @@ def test_mixing(spark, docs, none):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixing_draw(spark):
+    """Certain copies, inclusion odds, ranks and the filler against plain loops; the random numbers are the operator's own."""
+    rng = random.Random(14)
+    rows = [(i, "w " * rng.choice([3, 20, 49, 50, 80, 300]), ["a", "b", "c", "d"][min(rng.randrange(9), 3)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in mixing.mix(df).collect()}
+    u = {r.doc_id: r.u for r in df.select("doc_id", mixing._uniform(F.col("doc_id"), 17).alias("u")).collect()}
+    assert all(0 < v < 1 for v in u.values()) and len(set(u.values())) == len(u)
+    size = {i: len(t.split()) for i, t, _ in rows}
+    for source in "abcd":
+        own = [i for i, _, s in rows if s == source]
+        target = found[own[0]].target
+        weight = {i: 0.5 if size[i] < 50 else 1.0 for i in own}
+        # the level at which min(3, level * weight) copies of each make up the target
+        low, high = 0.0, 100.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(min(3, middle * weight[i]) * size[i] for i in own) < target else (low, middle)
+        expected = {i: min(3, high * weight[i]) for i in own}
+        certain = {i: int(expected[i] + 1e-9) for i in own}
+        pi = {i: expected[i] - certain[i] for i in own}
+        drawn = sorted((i for i in own if pi[i] > 1e-9), key=lambda i: ((u[i] / (1 - u[i])) / (pi[i] / (1 - pi[i])), i))
+        left, taken = sum(pi[i] * size[i] for i in drawn), set()
+        for at, i in enumerate(drawn):
+            if size[i] > left:
+                gap = lambda k: (abs(size[k] - left), drawn.index(k))  # noqa: E731, B023
+                near = min(drawn[at:], key=gap)
+                if gap(near)[0] < left:
+                    taken.add(near)
+                break
+            taken.add(i)
+            left -= size[i]
+        assert {i: found[i].copies for i in own} == {i: certain[i] + (i in taken) for i in own}
+
+
 def test_suffix_arrays():
     rng = random.Random(5)
     for t in range(250):
@@ -390,6 +425,31 @@ def test_vectors(spark):
     assert vectors.link(df.limit(0)).count() == 0
 
 
+def test_vectors_of_hot_groups(spark, monkeypatch):
+    """Groups larger than a shard, vectors of other lengths and repeated ids: counts and components of brute force, recall as audited."""
+    monkeypatch.setattr(vectors, "SHARD", 200)
+    monkeypatch.setattr(vectors, "BLOCK", 200)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(800, 12))
+    x[:300] = x[0] + rng.normal(size=(300, 12)) * 0.2
+    x[300:600] = x[300] + rng.normal(size=(300, 12)) * 1e-9  # almost one point
+    short = np.array([[1.0, 2.0, 3.0], [1.1, 2.0, 3.0], [-1.0, 2.0, 0.0]])
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(x)), x)] + [(5000 + i, v.tolist()) for i, v in enumerate(short)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r.vec_id: r for r in vectors.link(df).collect()}
+    ids = np.array([i for i, _ in rows[:800]])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    label = smallest(sorted(found), [(ids[a], ids[b]) for a, b in zip(*np.nonzero(near))] + [(5000, 5001)] * 2)
+    total = sum(found[i].n_links for i in ids)
+    assert 0.999 * near.sum() <= total <= near.sum() and all(found[i].n_links <= n for i, n in zip(ids, near.sum(1)))
+    assert {i: r.component_id for i, r in found.items()} == label and [found[i].n_links for i in (5000, 5001, 5002)] == [1, 1, 0]
+    assert min(r.audited_recall for r in found.values()) >= 0.99
+    twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [1.0, 0.1]), (4, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert {(r.vec_id, r.component_id) for r in vectors.link(twice).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_language(docs, none):
     fixed = docs.sparkSession.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = language.identify(fixed).join(fixed.select("doc_id", "lang"), "doc_id").collect()
@@ -457,6 +517,56 @@ def test_quality(docs, none):
     assert quality.score(none, quality.fit(none, few.limit(0))).count() == 0 and quality.accepted(docs, quality.fit(docs, few)).columns == docs.columns
 
 
+def test_quality_against_plain_loops():
+    """Cyclic boosting by plain search for the best splits, and scores by plain additions."""
+    rng = np.random.default_rng(23)
+    x = np.round(rng.normal(size=(160, 3)), 1)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality.boost(x, y)
+    n = len(y)
+    total = np.full(n, np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
+    bins = [[int(sum(c <= v for c in cuts)) for v in x[:, i]] for i, cuts in enumerate(model.cuts)]
+    tables = [np.zeros(len(c) + 1) for c in model.cuts]
+
+    def worth(rows, g, h):
+        return sum(g[r] for r in rows) ** 2 / (sum(h[r] for r in rows) + 1)
+
+    for _cycle in range(4):  # plain search is slow; four cycles tell
+        for table, at in zip(tables, bins):
+            p = 1 / (1 + np.exp(-total))
+            g, h = y - p, p * (1 - p)
+            parts = [(0, len(table))]
+            for _ in range(2):
+                best = (1e-9, None)
+                for a, b in parts:
+                    inside = [r for r in range(n) if a <= at[r] < b]
+                    for cut in range(a + 1, b):
+                        left, right = [r for r in inside if at[r] < cut], [r for r in inside if at[r] >= cut]
+                        if min(len(left), len(right)) >= quality.LEAST_LEAF and (gain := worth(left, g, h) + worth(right, g, h) - worth(inside, g, h)) > best[0] + 1e-12:
+                            best = (gain, (a, cut, b))
+                if best[1]:
+                    a, cut, b = best[1]
+                    parts = [p_ for p_ in parts if p_ != (a, b)] + [(a, cut), (cut, b)]
+            for a, b in parts:
+                inside = [r for r in range(n) if a <= at[r] < b]
+                add = quality.RATE * sum(g[r] for r in inside) / (sum(h[r] for r in inside) + 1)
+                table[a:b] += add
+                total[inside] += add
+    early = quality.boost.__globals__["ROUNDS"]
+    quality.ROUNDS, pairs = 4, quality.PAIR_ROUNDS
+    try:
+        quality.PAIR_ROUNDS = 0
+        few = quality.boost(x, y)
+    finally:
+        quality.ROUNDS, quality.PAIR_ROUNDS = early, pairs
+    assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(few.tables, tables))
+    scores = model.score(x)
+    for r in range(n):
+        plain = model.base + sum(t[b[r]] for t, b in zip(model.tables, bins)) + sum(v[sum(c <= x[r, i] for c in a), sum(c <= x[r, j] for c in b)] for i, j, a, b, v in model.pairs)
+        assert abs(scores[r] - 1 / (1 + np.exp(-plain))) < 1e-9
+    assert ((scores >= 0.5) == (y > 0)).mean() > 0.9 and model.pairs[0][:2] == (0, 1)
+
+
 def test_held_out(spark):
     rows = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
