@@ -15,12 +15,12 @@ from rowloom.llm.common import saved, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fit on the labels of rows that are not held out, accepts."""
+    """Documents that the classifier, fit on the labels of rows that are not held out, accepts; empty texts are scored as such."""
     return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, that with the smallest id."""
+    """One document of each component of near-duplicates, that with the smallest id; empty texts and null ids stay."""
     return minhash.deduplicated(docs)
 
 
@@ -31,14 +31,14 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it; texts without words as often as their weight says."""
     return mixing.mixed_documents(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and token_ids of every document of the mix."""
-    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return coded.select("doc_id", "n_tokens", F.col("ids").alias("token_ids"))
+    """doc_id, n_tokens and token_ids of every document of the mix, and a hash of the bytes that the ids decode to."""
+    coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
+    return coded.select("doc_id", "n_tokens", F.col("ids").alias("token_ids"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
