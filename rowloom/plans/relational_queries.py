@@ -306,10 +306,12 @@ def json_field(spark, d):
     "FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC) AS r FROM lineitem) GROUP BY 1"
 )
 def top_two_mix(spark, d):
-    best = F.sort_array(F.collect_list("l_extendedprice"), asc=False)
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(best.alias("s"))
-    score = F.when(F.size("s") == 1, F.get("s", F.lit(0))).otherwise(0.75 * F.get("s", F.lit(0)) + 0.25 * F.get("s", F.lit(1)))
-    return rows.select("l_orderkey", F.size("s").cast("long").alias("n"), F.round(score, 4).alias("score"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_extendedprice")
+    counts = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    # the two best of a group by a group limit; no group is gathered
+    two = R.top_k(lines, ["l_orderkey"], 2, F.col("l_extendedprice").desc()).groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("first"), F.min("l_extendedprice").alias("second"))
+    score = F.when(F.col("n") == 1, F.col("first")).otherwise(0.75 * F.col("first") + 0.25 * F.col("second"))
+    return counts.join(two, "l_orderkey").select("l_orderkey", "n", F.round(score, 4).alias("score"))
 
 
 @query(
@@ -319,11 +321,14 @@ def top_two_mix(spark, d):
 )
 def match_ratio(spark, d):
     lines = table(spark, d, "lineitem")
-    held = table(spark, d, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set("l_partkey").alias("held"))
-    need = table(spark, d, "supplier").join(lines.where("l_quantity > 49"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_nationkey").agg(F.collect_set("l_partkey").alias("need"))
+    held = table(spark, d, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("k"), "l_partkey").distinct()
+    need = table(spark, d, "supplier").join(lines.where("l_quantity > 49"), F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", "l_partkey").distinct()
     customer = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("s_nationkey"))
-    both = F.size(F.array_intersect("held", "need"))
-    return held.join(customer, "k").join(need, "s_nationkey").select("k", F.round(both / F.nullif(F.size("need"), F.lit(0)), 6).alias("ratio"), (F.size("need") - both).cast("long").alias("missing"))
+    # pairs meet by nation and part, and only counts go on: no nation's needs are sent to each of its customers
+    met = held.join(customer, "k").join(need, ["s_nationkey", "l_partkey"]).groupBy("k").agg(F.count(F.lit(1)).alias("both"))
+    sizes = need.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("needed"))
+    rows = customer.join(held.select("k").distinct(), "k", "left_semi").join(sizes, "s_nationkey").join(met, "k", "left").withColumn("both", F.coalesce("both", F.lit(0)))
+    return rows.select("k", F.round(F.col("both") / F.col("needed"), 6).alias("ratio"), (F.col("needed") - F.col("both")).alias("missing"))
 
 
 @query(
