@@ -73,7 +73,9 @@ def title_segments(spark, d):
     return table(spark, d, "part").select("p_partkey", titles.segments(made).alias("segments"))
 
 
-@query()
+@query(
+    "SELECT p_partkey, p_name AS retrieval, 'senior ' || p_name || ', $' || p_size || 'k | paris' AS rule, list_concat(string_split(p_name, ' '), [p_size || 'k', 'paris']) AS tokens FROM part"
+)
 def retrieval_titles(spark, d):
     """Retrieval and rule forms, and tokens, of titles made of names, salaries and places in the tables."""
     made = F.concat(F.lit("Senior "), F.col("p_name"), F.lit(", $"), F.col("p_size").cast("string"), F.lit("k | Paris"))
@@ -116,6 +118,9 @@ def page_reading_order(spark, d):
     return rows.select("doc_id", "page", "block", "section").distinct().join(layout.reading_order(rows), ["doc_id", "page", "block"])
 
 
-@query()
+@query(
+    "SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS page, CASE WHEN sum(length(w)) < 40 OR sum(length(regexp_replace(w, '[\\p{L}\\p{N}\\p{M}_\\p{P}\\p{S}\\s]', '', 'g'))) > 0.02 * sum(length(w)) OR avg(CASE WHEN length(w) = 1 THEN 1.0 ELSE 0.0 END) > 0.5 THEN 'POOR' ELSE 'GOOD' END AS state "
+    "FROM (SELECT conv_id, turn, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM conversations) WHERE w <> '' GROUP BY 1, 2"
+)
 def page_states(spark, d):
     return layout.page_state(_words(spark, d))
