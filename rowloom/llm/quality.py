@@ -30,7 +30,7 @@ _MARKS = b".,;:'\"-()?"
 _SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in _MARKS)
 FEATURES = [
     "log_bytes", "log_words", "word_bytes", "upper", "lower", "digit", "mark", "symbol", "bang", "bar", "other_bytes",
-    "distinct_words", "top_word", "long_word", "line_words", "duplicate_lines", "symbol_words", "upper_words", "sentence_words",
+    "distinct_words", "top_word", "long_word", "line_words", "duplicate_lines", "symbol_words", "upper_words", "sentence_words", "vocabulary",
 ]
 
 
@@ -70,6 +70,7 @@ def features(text: str | None) -> list[float]:
         symbol_words / n,
         upper_words / n,
         n / (ends + 1),
+        math.log1p(len(counts)) / math.log1p(n),
     ]
 
 
