@@ -129,7 +129,7 @@ class Recent:
 _UNCUT = np.zeros(256, bool)
 _UNCUT[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Bytes of text that are encoded at once; a longer text is alone.
-_SLICE = 16 << 20
+_SLICE = 4 << 20
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -151,7 +151,7 @@ class Chunks:
     gives all ids of distinct pieces in a row, and each piece's number of them. Each distinct chunk of a batch is handled once.
     """
 
-    def __init__(self, pattern: str, encode_pieces, most: int = 300_000):
+    def __init__(self, pattern: str, encode_pieces, most: int = 120_000):
         import public_tokenizers
         import regex
 
