@@ -3,7 +3,7 @@
 Every document is a reference: its words 0 to 24, 25 to 49 and so on are blocks that are indexed by their hash. Any 50 words in a
 row hold a whole block, so a passage of 50 words that another document shares is met when all of that document's 25-word windows
 are looked up in the index. Index and windows meet in buckets of hashes; tasks send them packed, 4 bytes a window and the
-differences of the documents' ids, not a row each. A bucket's task holds its part of the index, with the smallest id of each
+differences of the documents' ids, mostly a byte, not a row each. A bucket's task holds its part of the index, with the smallest id of each
 block, and streams the windows past it.
 
 Hits are then extended in the documents that have any: around each hit all 50-word windows that hold it are hashed from all their
@@ -29,11 +29,13 @@ WINDOW = 50
 #: The longest blocks of which any window holds a whole one.
 BLOCK = WINDOW // 2
 #: Bytes of text whose blocks make one bucket of the index, and the least number of buckets for each of Spark's cores.
-BUCKET_BYTES, BUCKETS_A_CORE = 256 << 20, 4
+BUCKET_BYTES, BUCKETS_A_CORE = 64 << 20, 4
 #: Windows that a task packs at once, and bytes of text that it hashes at once.
-_CHUNK, _TEXTS = 1 << 21, 1 << 20
+_CHUNK, _TEXTS = 1 << 20, 1 << 20
 #: Rows that a task gives at once.
 _ROWS = 1 << 16
+#: Rows whose texts a task holds as Python objects at once.
+_SLICE = 256
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -86,13 +88,19 @@ def _block_hashes(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         at = end
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Whole numbers in order, as differences, byte by byte: mostly zeros, which shuffles compress."""
-    return np.diff(values, prepend=0).view("u1").reshape(-1, 8).T.tobytes()
+def _narrow(values: np.ndarray) -> bytes:
+    """Whole numbers in order, as differences of as many bytes as the largest needs, and that number; the first in full."""
+    steps = np.diff(values)
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(steps) or int(steps.max()) < 1 << (8 * w))
+    return bytes([width]) + values[:1].tobytes() + steps.astype(f"u{width}").tobytes()
 
 
-def _unplaned(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(8, -1).T).view("i8").ravel())
+def _widened(raw: pa.Buffer) -> np.ndarray:
+    width = raw[0]
+    out = np.empty((raw.size - 9) // width + 1, "i8")
+    out[0] = np.frombuffer(raw, "i8", 1, 1)[0]
+    out[1:] = np.frombuffer(raw, f"u{width}", -1, 9)
+    return np.cumsum(out, out=out)
 
 
 _PACK = "bucket int, probes boolean, hashes binary, ids binary"
@@ -102,13 +110,15 @@ def _packs(texts: DataFrame, buckets: int) -> DataFrame:
     """Blocks (probes: false) and all windows (true) of texts (doc_id, raw), by bucket: the low 4 bytes of their hashes, and ids."""
 
     def packed(hashes: np.ndarray, ids: np.ndarray, probes: bool) -> pa.RecordBatch:
-        bucket = (hashes >> _U(32)) % _U(buckets)
-        bucket = bucket.astype("u2" if buckets <= 1 << 16 else "u4")
-        order = np.argsort(bucket, kind="stable")
+        # by bucket and, within it, by id, so that differences of ids are small
+        order = np.argsort(ids, kind="stable")
+        bucket = ((hashes >> _U(32)) % _U(buckets)).astype("u2" if buckets <= 1 << 16 else "u4")[order]
+        by = np.argsort(bucket, kind="stable")
+        order = order[by]
         low, ids = (hashes & _U(0xFFFFFFFF)).astype("u4")[order], ids[order]
-        held, first = np.unique(bucket[order], return_index=True)
+        held, first = np.unique(bucket[by], return_index=True)
         parts = list(zip(first.tolist(), [*first[1:].tolist(), len(low)], strict=True))
-        columns = [pa.array(held.astype("i4")), pa.array([probes] * len(held)), pa.array([low[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([_planes(ids[a:b]) for a, b in parts], pa.binary())]
+        columns = [pa.array(held.astype("i4")), pa.array([probes] * len(held)), pa.array([low[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([_narrow(ids[a:b]) for a, b in parts], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["bucket", "probes", "hashes", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,16 +131,15 @@ def _packs(texts: DataFrame, buckets: int) -> DataFrame:
             yield packed(hashes[block], ids[block], False)
 
         for batch in batches:
-            own = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            # in the order of ids, which makes small differences
-            order = np.argsort(own, kind="stable")
-            own = own[order]
-            for hashes, text, block in _block_hashes(batch.column("raw").take(pa.array(order)).to_pylist()):
-                held.append((hashes, own[text], block))
-                size += len(hashes)
-                if size >= _CHUNK:
-                    yield from flush()
-                    held, size = [], 0
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
+                own = part.column("doc_id").to_numpy(zero_copy_only=False)
+                for hashes, text, block in _block_hashes(part.column("raw").to_pylist()):
+                    held.append((hashes, own[text], block))
+                    size += len(hashes)
+                    if size >= _CHUNK:
+                        yield from flush()
+                        held, size = [], 0
         if size:
             yield from flush()
 
@@ -148,12 +157,13 @@ def _hits(packs: DataFrame, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + _ROWS], pa.int64()), pa.array(low[at : at + _ROWS].astype("i8") | (own << 32), pa.int64())], ["doc_id", "block"])
 
         for batch in batches:
-            for own, probes, hashes, ids in zip(*(batch.column(c).to_pylist() for c in ("bucket", "probes", "hashes", "ids")), strict=True):
+            for own, probes, hashes, ids in zip(*(batch.column(c) for c in ("bucket", "probes", "hashes", "ids")), strict=True):
+                own, probes, hashes, ids = own.as_py(), probes.as_py(), hashes.as_buffer(), ids.as_buffer()
                 if own != bucket:
                     if index is not None:
                         yield from batched(bucket, index[1][index[2]], index[0][index[2]])
                     bucket, parts, index = own, [], None
-                low, docs = np.frombuffer(hashes, "u4"), _unplaned(ids)
+                low, docs = np.frombuffer(hashes, "u4"), _widened(ids)
                 if not probes:
                     parts.append((low, docs))
                     if len(parts) > 64:
@@ -176,7 +186,7 @@ def _hits(packs: DataFrame, buckets: int) -> DataFrame:
         if index is not None:
             yield from batched(bucket, index[1][index[2]], index[0][index[2]])
 
-    return packs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "probes").mapInArrow(run, "doc_id long, block long")
+    return packs.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "probes").mapInArrow(run, "doc_id long, block long")
 
 
 def _least(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,8 +211,8 @@ def _extended(texts: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
                 rows = [_spread(raw or b"", blocks, buckets) for raw, blocks in zip(part.column("raw").to_pylist(), part.column("blocks").to_pylist(), strict=True)]
                 raw, n, firsts, lasts, kept = zip(*rows, strict=True)
                 columns = [part.column("doc_id"), pa.array(raw, pa.binary()), pa.array(n, pa.int64()), pa.array(firsts, pa.list_(pa.int32())), pa.array(lasts, pa.list_(pa.int32())), pa.array(kept, pa.binary())]
@@ -264,8 +274,8 @@ def _removed(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
                 n_removed, kept = [], []
                 for raw, gone in zip(part.column("raw").to_pylist(), part.column("gone").to_pylist(), strict=True):
                     parts = raw.split()
