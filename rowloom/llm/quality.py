@@ -191,8 +191,9 @@ def _matrix(texts) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Learn quality from at most about `rows` labelled rows that are not held out, chosen by a hash of the id.
 
-    Null labels and ids teach nothing; an id with several labels counts with its lowest. Only ids and labels of the sample are
-    broadcast, and only its features reach the driver.
+    Null labels and ids teach nothing; an id with several labels counts with its lowest, and several documents that share an id
+    count as one, with the smallest features. Only ids and labels of the sample are broadcast, and only one row of features an id
+    reaches the driver. Null and empty texts teach as what they are; without any rows the model gives one half.
     """
     marked = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("label"))
     marked = marked.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
@@ -206,14 +207,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             yield pd.DataFrame({"doc_id": batch["doc_id"].array, "label": batch["label"].array, "x": list(_matrix(batch["text"]))})
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(marked), "doc_id")
-    got = texts.mapInPandas(run, "doc_id long, label double, x array<double>").toPandas()
-    got = got.sort_values(["doc_id"], kind="stable")
+    # one row an id, whatever number of documents shares it, before anything reaches the driver
+    each = texts.mapInPandas(run, "doc_id long, label double, x array<double>").groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("one"))
+    got = each.select("doc_id", "one.*").toPandas().sort_values("doc_id")
     x = np.array(got["x"].tolist(), "f8").reshape(-1, len(FEATURES))
     return boost(x, (got["label"].to_numpy("f8") > 0).astype("f8"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; null and empty texts are scored by the bins of their zeros."""
+    """doc_id, held_out, score, predicted for every row of docs.
+
+    Null and empty texts are scored by the bins of their zeros, long texts whole, rows that repeat an id each by its own text;
+    no rows in, no rows out.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
