@@ -169,6 +169,7 @@ class Chunks:
 
     def split(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
         """The chunks of all texts in a row, and where each text's begin, and the end."""
+        texts = texts.cast(pa.string())  # offsets of 4 bytes, whatever type Spark sends
         ends = np.frombuffer(texts.buffers()[1], "i4")[texts.offset : texts.offset + len(texts) + 1].astype("i8")
         raw = np.frombuffer(texts.buffers()[2] or b"", "u1")[ends[0] : ends[-1]]
         ends = ends - ends[0]
@@ -257,7 +258,8 @@ def decode_ids(ids: np.ndarray, starts: np.ndarray, path: str) -> pa.Array:
 def encode(docs: DataFrame, path: str, pattern: str, decode: bool = False) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every row of docs; with decode also the bytes they decode to.
 
-    Null and empty texts have no tokens. The vocabulary is read from path on each executor, once a worker. Rows are handled
+    Null and empty texts have no tokens. Long texts are encoded whole: they are cut into chunks that no token crosses, and each
+    distinct chunk is merged once, in a tree of one level if it has at most 64 bytes. The vocabulary is read from path on each executor, once a worker. Rows are handled
     in the order they come, so repeated rows and ties need no rule; no rows in, no rows out.
     """
 
