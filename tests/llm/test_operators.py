@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rowloom.llm import bpe, language, line_rules, minhash, mixing, pii, quality, repeats, suffixes, token_files, vectors
+from rowloom.llm import bpe, clusters, language, line_rules, minhash, mixing, passages, pii, quality, queries, repeats, runs, suffixes, token_files, vectors
 from rowloom.llm.common import held_out
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, kind string, odds double"
@@ -317,7 +317,7 @@ def test_mixing_draw(spark):
     rows = [(i, "w " * rng.choice([3, 20, 49, 50, 80, 300]), ["a", "b", "c", "d"][min(rng.randrange(9), 3)]) for i in range(900)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = {r.doc_id: r for r in mixing.mix(df).collect()}
-    u = {r.doc_id: r.u for r in df.select("doc_id", mixing._uniform(F.col("doc_id"), 17).alias("u")).collect()}
+    u = {r.doc_id: r.u for r in df.select("doc_id", mixing._uniform(F.col("doc_id"), 17, F.xxhash64("text", F.octet_length("text")), F.lit(0).cast("long")).alias("u")).collect()}
     assert all(0 < v < 1 for v in u.values()) and len(set(u.values())) == len(u)
     size = {i: len(t.split()) for i, t, _ in rows}
     for source in "abcd":
@@ -346,6 +346,90 @@ def test_mixing_draw(spark):
         assert {i: found[i].copies for i in own} == {i: certain[i] + (i in taken) for i in own}
 
 
+def test_mixing_of_rows_that_share_ids(spark):
+    rng = random.Random(21)
+    rows = [(None, "w " * 100, "a", "x") for _ in range(1000)] + [(i, "w " * 100, "a", "x") for i in range(1000)] + [(5000 + i, "v " * 100, "b", "x") for i in range(100)]
+    again = [(7, "w " * (i % 150 + 20), "a", "x") for i in range(1000)] + [(100 + i, "w " * 100, "a", "x") for i in range(1000)] + [(9000, "u " * 90, "b", "y" if rng.random() < 0.3 else "z") for _ in range(1200)]
+    for part in (rows, again):
+        df = spark.createDataFrame(part, "doc_id long, text string, source string, copies string")
+        found = mixing.mix(df).collect()
+        assert len(found) == len(part) and sorted(map(str, found)) == sorted(map(str, mixing.mix(df.repartition(5)).collect()))
+        taken = Counter()
+        for r in found:
+            taken[r.source] += r.taken
+        targets = {r.source: r.target for r in found}
+        longest = {r.source: max(x.size for x in found if x.source == r.source) for r in found}
+        assert all(abs(taken[s] - targets[s]) <= longest[s] for s in targets), (taken, targets)
+        mixed = mixing.mixed_documents(df).collect()
+        words, counts = Counter(), Counter(mixed)
+        for r in mixed:
+            words[r.source] += len(r.text.split())
+        assert words == taken and all(n <= 3 * part.count(tuple(r)) for r, n in counts.items()) and set(map(tuple, mixed)) <= set(part)
+
+
+def test_quality_fit_with_repeated_ids(spark):
+    rows = [(1, f"good plain words number {i}.") for i in range(500)] + [(i, "BUY! " * i) for i in range(2, 30)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, quality int")
+    seen = []
+    real, quality.boost = quality.boost, lambda x, y: seen.append((x, y)) or real(x, y)
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        models = [quality.fit(d, labels) for d in (docs, docs.repartition(7))]
+    finally:
+        quality.boost = real
+    learnt = {i for i in range(1, 30) if zlib.crc32(str(i).encode()) % 5}
+    assert 1 in learnt and all(len(x) == len(y) == len(learnt) for x, y in seen)
+    probe = np.array([quality.features("some words."), quality.features(None)])
+    assert models[0].score(probe).tolist() == models[1].score(probe).tolist()
+
+
+def test_quality_features_and_quarters():
+    text = "Hi there! CAT| dog #x 12\nHi there\nHi there\n\n  zz\u00e9 ok?"
+    words = text.split()
+    ink = len("".join(words).encode())
+    letters = "".join(words)
+    lines = [x for x in text.split("\n") if x.strip()]
+    own = dict(zip(quality.FEATURES, quality.features(text), strict=True))
+    expected = {
+        "log_bytes": np.log1p(len(text.encode())), "log_words": np.log1p(len(words)), "word_bytes": ink / len(words),
+        "upper": sum("A" <= c <= "Z" for c in letters) / ink, "lower": sum("a" <= c <= "z" for c in letters) / ink, "digit": sum(c.isdigit() for c in letters) / ink,
+        "mark": letters.count("?") / ink, "symbol": sum(c in "!|#" for c in letters) / ink, "bang": text.count("!") / len(words), "bar": text.count("|") / len(words), "other_bytes": 2 / ink,
+        "distinct_words": len(set(words)) / len(words), "top_word": words.count("Hi") / len(words), "long_word": np.log1p(6), "line_words": len(words) / len(lines),
+        "duplicate_lines": 1 - len(set(lines)) / len(lines), "symbol_words": 2 / len(words), "upper_words": 1 / len(words), "sentence_words": len(words) / 3, "vocabulary": np.log1p(len(set(words))) / np.log1p(len(words)),
+    }
+    assert set(own) == set(expected) and all(abs(own[k] - v) < 1e-12 for k, v in expected.items()), {k: (own[k], v) for k, v in expected.items() if abs(own[k] - v) > 1e-12}
+    rng = np.random.default_rng(9)
+    for shape in ((4, 5), (2, 2), (7, 3)):
+        g, h, n = rng.normal(size=shape), rng.random(shape) + 0.1, rng.integers(2, 9, shape)
+        best, cells = 0.0, None
+        for i in range(1, shape[0]):
+            for j in range(1, shape[1]):
+                parts = [(slice(0, i), slice(0, j)), (slice(0, i), slice(j, None)), (slice(i, None), slice(0, j)), (slice(i, None), slice(j, None))]
+                if min(n[p].sum() for p in parts) < quality.LEAST_LEAF:
+                    continue
+                gain = sum(g[p].sum() ** 2 / (h[p].sum() + 1) for p in parts) - g.sum() ** 2 / (h.sum() + 1)
+                if cells is None or gain > best:
+                    best, cells = gain, np.zeros(shape)
+                    for p in parts:
+                        cells[p] = g[p].sum() / (h[p].sum() + 1)
+        gain, values = quality._quarters(g, h, n)
+        if cells is not None:
+            assert abs(gain - best) < 1e-9 and np.allclose(values, cells)
+
+
+def test_bpe_with_large_arrow_types(spark, docs):
+    plain = sorted((r.doc_id or 0, bytes(r.ids), bytes(r.decoded)) for r in bpe.encode(docs, RANKS, public.PATTERN, decode=True).collect())
+    name = "spark.sql.execution.arrow.useLargeVarTypes"
+    spark.conf.set(name, "true")
+    try:
+        assert plain == sorted((r.doc_id or 0, bytes(r.ids), bytes(r.decoded)) for r in bpe.encode(docs, RANKS, public.PATTERN, decode=True).collect())
+        folder, files = token_files.write(docs, JSON, public.PATTERN)
+        assert sum(r.n_tokens - 1 for r in token_files.read(spark, folder, files).collect()) == sum(len(ids) // 4 for _, ids, _ in plain)
+        assert passages.without_passages(docs).count() == runs.find(docs).count() == len(TEXTS)
+    finally:
+        spark.conf.unset(name)
+
+
 def test_suffix_arrays():
     rng = random.Random(5)
     for t in range(250):
@@ -570,3 +654,172 @@ def test_quality_against_plain_loops():
 def test_held_out(spark):
     rows = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
+
+
+def plain_words(text):
+    return re.findall(rb"[^\x20\x09-\x0D]+", raw(text))
+
+
+def test_passages(spark, docs, none):
+    rng = random.Random(31)
+    word = lambda: rng.choice("red fox sea tree hill wine".split()) + str(rng.randrange(300))
+    shared = [word() for _ in range(400)]
+    rows = [(i, t) for i, t in TEXTS]
+    for i in range(60):
+        at, n = rng.randrange(350), rng.choice([24, 49, 50, 51, 60, 74, 75, 76, 99, 130])
+        body = [word() for _ in range(rng.randrange(40))] + shared[at : at + n] + [word() for _ in range(rng.randrange(40))]
+        if i % 7 == 0:
+            body += shared[at : at + n]
+        rows.append((rng.choice([100 + i, 100 + i // 3, None if i % 20 == 0 else 150]), rng.choice([" ", "\n", " \t"]).join(body)))
+    rows.append((500, " ".join(["same"] * 300)))
+    rows.append((501, "\u00a0".join(["same"] * 300) + " " + " ".join(["same"] * 60)))
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, raw int, blocks string")
+    least = {}
+    for i, t in rows:
+        words = plain_words(t)
+        for k in range(len(words) - 49):
+            if i is not None:
+                key = tuple(words[k : k + 50])
+                least[key] = min(least.get(key, i), i)
+    expected, gone = [], 0
+    for i, t in rows:
+        words, out = plain_words(t), set()
+        for k in range(len(words) - 49):
+            if i is not None and least[tuple(words[k : k + 50])] < i:
+                out.update(range(k, k + 50))
+        gone += len(out)
+        expected.append((str(i), len(words), len(out), b" ".join(w for k, w in enumerate(words) if k not in out)))
+    found = sorted((str(r.doc_id), r.n_words, r.n_removed, bytes(r.kept)) for r in passages.without_passages(df).collect())
+    assert gone > 1000 and found == sorted(expected)
+    assert passages.without_passages(none).count() == 0 and passages.without_passages(docs).count() == len(TEXTS)
+
+
+def test_passages_in_many_packs(spark, monkeypatch):
+    """Packs of few windows, hashed in pieces, and one passage that every document holds."""
+    monkeypatch.setattr(passages, "_CHUNK", 1 << 9)
+    monkeypatch.setattr(passages, "_TEXTS", 1 << 11)
+    common = [f"c{i}" for i in range(80)]
+    rows = [(i, " ".join([f"a{i}_{k}" for k in range(i % 37)] + common + [f"b{i}_{k}" for k in range(i % 11)])) for i in range(400)]
+    schema = "doc_id long, text string"
+    found = {r.doc_id: r for r in passages.without_passages(spark.createDataFrame(rows, schema).repartition(6)).collect()}
+    assert all(found[i].n_removed == (80 if i else 0) and found[i].n_words == 80 + i % 37 + i % 11 for i in range(400))
+
+
+def brute_runs(words):
+    out, n = set(), len(words)
+    for q in range(1, n // 3 + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            start = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            length = i + q - start
+            own = words[start : start + length]
+            if length >= max(24, 3 * q) and not any(all(own[k] == own[k + d] for k in range(length - d)) for d in range(1, q)):
+                out.add((start, length, q))
+    return sorted(out)
+
+
+def test_periodic_runs(spark, docs, none):
+    rng = random.Random(41)
+    total = 0
+    for _ in range(600):
+        k, words = rng.choice([1, 2, 3, 5]), []
+        while len(words) < rng.randrange(120):
+            part = [b"%d" % rng.randint(0, k) for _ in range(rng.randint(1, 9))]
+            words += part * rng.randint(1, 9) + part[: rng.randint(0, len(part))] if rng.random() < 0.6 else part
+        expected = brute_runs(words)
+        total += len(expected)
+        assert [tuple(x) for x in runs.periodic_runs(words).tolist()] == expected
+        if words:
+            assert {tuple(x) for x in runs.runs_of([int(w) + 1 for w in words]).tolist()} == set(expected)
+        best = sorted(expected, key=lambda r: (-(r[1] / r[2]), r[0], r[2]))
+        assert runs.most_repeated(np.array(expected).reshape(-1, 3)) == (best[0] if best else None)
+        dropped = {i for s, n, q in expected for i in range(s + q, s + n)}
+        assert runs.collapsed(words, np.array(expected).reshape(-1, 3)) == [w for i, w in enumerate(words) if i not in dropped]
+    assert total > 500
+    rows = by_id(runs.find(docs).collect())
+    assert [tuple(x) for x in rows[15][0].runs] == [(0, 200, 1)] and rows[15][0].collapsed == "ab" and tuple(rows[15][0].longest) == (0, 200, 1)
+    assert rows[4][0].runs == [] and rows[4][0].longest is None and rows[8][0].collapsed == "One Two" and len(rows[9]) == 2 and len(rows[None]) == 1
+    assert runs.find(none).count() == 0
+    long = " ".join(["many"] * 20000 + [f"w{i}" for i in range(20000)] * 3)
+    assert [tuple(x) for x in runs.find(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().runs] == [(0, 20000, 1), (20000, 60000, 20000)]
+
+
+def test_suffix_trees():
+    rng = random.Random(43)
+    for _ in range(150):
+        s = [rng.randint(1, rng.choice([1, 2, 9])) for _ in range(rng.randrange(1, 40))]
+        tree, whole = runs.SuffixTree(s), [*s, 0]
+        order = sorted(range(len(whole)), key=lambda i: whole[i:])
+        assert np.argsort(tree.rank).tolist() == order
+        turned = sorted(range(len(whole)), key=lambda i: [-x if x else -100 for x in whole[i:]])
+        assert np.argsort(tree.turned_rank()).tolist() == turned
+        a, b = (np.array(x) for x in zip(*[(i, j) for i in range(len(whole)) for j in range(len(whole)) if i != j]))
+        shared = [next(k for k in range(len(whole)) if whole[i + k] != whole[j + k]) for i, j in zip(a.tolist(), b.tolist())]
+        assert tree.common(a, b).tolist() == shared
+
+
+def test_op12_query_plants_by_id(spark, tmp_path):
+    rows = [(i, " ".join(f"w{k}" for k in range(i % 90 + 5))) for i in range(400)] + [(None, "a b"), (401, None), (402, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found, planted = {r.doc_id: r for r in queries.op12_runs(spark, str(tmp_path)).collect()}, 0
+    assert len(found) == len(rows)
+    for i, t in rows:
+        words = plain_words(t)
+        h, n = zlib.crc32(str(i).encode()), len(words)
+        if i is not None and h % 10 == 0 and n:
+            a = h // 10 % n
+            p = 1 + (n - a) // (3 + h // 10 % 8)
+            words = [words[k] if k < a else words[a + (k - a) % p] for k in range(n)]
+        expected = brute_runs(words)
+        planted += bool(expected)
+        r = found[i]
+        lines = "".join(f"{a},{b},{c}\n" for a, b, c in expected)
+        gone = {k for s, m, q in expected for k in range(s + q, s + m)}
+        assert r.n_runs == len(expected) and r.runs_sha256 == hashlib.sha256(lines.encode()).hexdigest()
+        assert r.collapsed_sha256 == hashlib.sha256(b" ".join(w for k, w in enumerate(words) if k not in gone)).hexdigest()
+        if expected:
+            s, m, q = min(expected, key=lambda x: (-(x[1] / x[2]), x[0], x[2]))
+            assert (r.start, r.length, r.period, r.exponent_milli) == (s, m, q, 1000 * m // q)
+        else:
+            assert (r.start, r.length, r.period, r.exponent_milli) == (None,) * 4
+    assert planted > 10
+
+
+def brute_clusters(rows, k, rounds, width, scale, seed):
+    kept = [(i, [int(np.floor(scale * float(x))) for x in e]) for i, e in rows if e is not None and len(e) == width and all(x is not None and np.isfinite(x) for x in e)]
+    draw = lambda r: (r[0] is None, hashlib.sha256(f"{seed}:{r[0]}".encode()).hexdigest(), r[1])
+    centroids = [x for _, x in sorted(kept, key=draw)[:k]]
+    near = lambda x: min((sum((a - b) ** 2 for a, b in zip(x, c)), j) for j, c in enumerate(centroids))
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for _, x in kept:
+            groups[near(x)[1]].append(x)
+        for j, own in groups.items():
+            centroids[j] = [sum(c) // len(own) for c in zip(*own)]
+    last = [(i, *near(x)) for i, x in kept]
+    inertia = Counter()
+    for _, d, j in last:
+        inertia[j] += d
+    return sorted((str(i), j, d, inertia[j], sum(inertia.values()), hashlib.sha256(",".join(map(str, centroids[j])).encode()).hexdigest()) for i, d, j in last)
+
+
+def test_clusters(spark):
+    rng = random.Random(51)
+    rows = [(i, [rng.choice([-1.5, 0.0, 0.25, 2.0]) + rng.choice([0, 0, 0.125]) for _ in range(4)]) for i in range(300)]
+    rows += [(3, rows[3][1]), (3, rows[4][1]), (None, rows[5][1]), (400, None), (401, []), (402, [1.0] * 5), (403, [1.0, None, 0.0, 0.0]), (404, [float("nan")] * 4), (405, [float("inf"), 0.0, 0.0, 0.0])]
+    wide = [(i, [1e6 * i, -3e5, 2e5 * (i % 3), 0.5]) for i in range(40)]
+    columns = ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+    for part, k in ((rows, 8), (rows[:5], 8), (wide, 3), ([(1, [0.0] * 4), (2, [0.0] * 4), (3, [1.0] * 4)], 3)):
+        df = spark.createDataFrame([(*r, "x", 1) for r in part], "vec_id long, embedding array<double>, cluster string, distance int")
+        found = sorted((str(r.vec_id), *(r[c] for c in columns[1:])) for r in clusters.cluster(df, k, 4, 4, 64, 3).collect())
+        assert found == brute_clusters(part, k, 4, 4, 64, 3)
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert clusters.cluster(empty).count() == 0
+    # ties of distance go to the smaller number
+    tournament = clusters.Tournament([[0, 0], [2, 0], [0, 2], [2, 2]])
+    assert tournament.assign(np.array([[1, 1], [1, 0], [2, 1], [0, 1]]))[0].tolist() == [0, 0, 1, 0]
