@@ -28,4 +28,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # each module registers its queries as it is imported
-from . import lookup_queries, matching_queries, offer_queries, relational_queries  # noqa: E402, F401
+from . import lookup_queries, matching_queries, offer_queries, relational_queries, text_queries  # noqa: E402, F401
