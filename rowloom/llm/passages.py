@@ -6,15 +6,15 @@ are looked up in the index. Index and windows meet in buckets of hashes; tasks s
 differences of the documents' ids, mostly a byte, not a row each. A bucket's task holds its part of the index, with the smallest id of each
 block, and streams the windows past it.
 
-Hits are then extended in the documents that have any: around each hit all 50-word windows that hold it are hashed from all their
-words (in two independent ways, 128 bits) and counted by hash, never by pairs, so that a passage in many documents costs a row a
-document and task. Windows that start in a smaller document too, united, are the maximal repeats to be removed.
+Hits are then extended in the documents that have any. All 50-word windows that hold a hit make its context, up to 75 words, which
+is hashed from all of them (in two independent ways, 128 bits) and counted by hash, never by pairs. In documents that are not the
+smallest of their context all of its windows go. Of blocks with several contexts, one document a context, the smallest, tells by
+hashes of its single windows which of them start in a still smaller document. What goes, united, are the maximal repeats.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -199,100 +199,126 @@ def _least(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return low[first], ids[first]
 
 
-def _windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _rolling(words, WINDOW).view("i8"), _rolling(words, WINDOW, 0x5851F42D4C957F2D).view("i8")
+class _Text:
+    """Hashes of stretches of one text's words, in two independent ways."""
 
+    def __init__(self, raw: bytes):
+        self.words = _words(raw)[0]
+        up, self.down = powers(len(self.words) + 1)
+        self.sums = []
+        for salt in (0, 0x5851F42D4C957F2D):
+            each = mixed(self.words + _U(salt)) if salt else self.words
+            self.sums.append(np.concatenate([np.zeros(1, "u8"), np.cumsum(each * up[: len(each)])]))
 
-_LIVE = "doc_id long, raw binary, n_words long, firsts array<int>, lasts array<int>, kept binary"
+    def blocks(self, buckets: int) -> np.ndarray:
+        """The bucket and the low bytes of the hash of each 25-word window."""
+        hashes = _rolling(self.words, BLOCK)
+        return ((((hashes >> _U(32)) % _U(buckets)) << _U(32)) | (hashes & _U(0xFFFFFFFF))).view("i8")
 
+    def hashes(self, first: np.ndarray, last: np.ndarray, inner: np.ndarray | int = 0) -> list[np.ndarray]:
+        """Of stretches of words; inner tells apart what agrees in its words."""
+        salt = np.asarray(inner, "u8") * _U(0x9E3779B97F4A7C15)
+        return [mixed((s[last] - s[first]) * self.down[first] + salt).view("i8") for s in self.sums]
 
-def _extended(texts: DataFrame, buckets: int) -> DataFrame:
-    """Of rows (doc_id, raw, blocks): the ranges of starts of windows that hold a hit, and the text; of rows without any, the words joined."""
+    def contexts(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last word of all windows that hold the block at each place."""
+        return np.maximum(at - (WINDOW - BLOCK), 0), np.minimum(at + WINDOW, len(self.words))
+
+    def windows(self, at: np.ndarray) -> np.ndarray:
+        """Where the windows start that hold one of the blocks at these places."""
+        n = max(len(self.words) - WINDOW + 1, 0)
+        depth = np.zeros(n + 1, "i4")
+        if n:
+            np.add.at(depth, np.maximum(at - (WINDOW - BLOCK), 0), 1)
+            np.add.at(depth, np.minimum(at, n - 1) + 1, -1)
+        return np.flatnonzero(np.cumsum(depth)[:n])
+
+
+def _mapped(rows: DataFrame, schema: str, columns: list[str], one) -> DataFrame:
+    """one(*values of a row) gives a dict of arrays of equal lengths; all of them as rows."""
+    kinds = {c.split()[0]: c.split()[1] for c in schema.split(", ")}
+    arrow = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
-                rows = [_spread(raw or b"", blocks, buckets) for raw, blocks in zip(part.column("raw").to_pylist(), part.column("blocks").to_pylist(), strict=True)]
-                raw, n, firsts, lasts, kept = zip(*rows, strict=True)
-                columns = [part.column("doc_id"), pa.array(raw, pa.binary()), pa.array(n, pa.int64()), pa.array(firsts, pa.list_(pa.int32())), pa.array(lasts, pa.list_(pa.int32())), pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "raw", "n_words", "firsts", "lasts", "kept"])
+                for values in zip(*(part.column(c).to_pylist() for c in columns), strict=True):
+                    found = one(*values)
+                    for begin in range(0, len(next(iter(found.values()))), _ROWS):
+                        arrays = [pa.array(found[c][begin : begin + _ROWS], arrow[kinds[c]]) for c in kinds]
+                        held.append(pa.RecordBatch.from_arrays(arrays, list(kinds)))
+                        size += held[-1].num_rows
+                if size >= _ROWS or held and len(held) >= _SLICE:
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    held, size = [], 0
+        if held and size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    return texts.mapInArrow(run, _LIVE)
+    return rows.select(*columns).mapInArrow(run, schema)
 
 
-def _spread(raw: bytes, blocks: list[int] | None, buckets: int) -> tuple:
-    if blocks:
-        words = _words(raw)[0]
-        hashes = _rolling(words, BLOCK)
-        own = (((hashes >> _U(32)) % _U(buckets)) << _U(32)) | (hashes & _U(0xFFFFFFFF))
-        hit = np.flatnonzero(np.isin(own.view("i8"), np.array(blocks, "i8")))
-        n = len(words) - WINDOW + 1
-        if len(hit) and n > 0:
-            depth = np.zeros(n + 1, "i4")
-            np.add.at(depth, np.maximum(hit - (WINDOW - BLOCK), 0), 1)
-            np.add.at(depth, np.minimum(hit, n - 1) + 1, -1)
-            edges = np.flatnonzero(np.diff(np.cumsum(depth) > 0, prepend=False))
-            return raw, len(words), edges[::2].tolist(), (edges[1::2] - 1).tolist(), None
-    parts = raw.split()
-    return None, len(parts), None, None, b" ".join(parts)
-
-
-def _candidates(live: DataFrame) -> DataFrame:
-    """h1, h2, doc_id of every window in a range."""
+def _hit_places(rows: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, raw, at: of rows (doc_id, raw, blocks) the places of their hits, in texts of at least a window; else null."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, raw, firsts, lasts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "raw", "firsts", "lasts")), strict=True):
-                both = _windows(_words(raw)[0])
-                for a, b in zip(firsts, lasts, strict=True):
-                    for at in range(a, b + 1, _ROWS):
-                        one, other = (h[at : min(at + _ROWS, b + 1)] for h in both)
-                        yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(other), pa.array(np.full(len(one), doc_id))], ["h1", "h2", "doc_id"])
+    def one(doc_id: int | None, raw: bytes | None, blocks: list[int] | None) -> dict:
+        at = None
+        if blocks:
+            text = _Text(raw)
+            if len(text.words) >= WINDOW:
+                at = np.flatnonzero(np.isin(text.blocks(buckets), np.array(blocks, "i8"))).tolist() or None
+        return {"doc_id": [doc_id], "raw": [raw], "at": [at]}
 
-    return live.select("doc_id", "raw", "firsts", "lasts").mapInArrow(_regrouped(run), "h1 long, h2 long, doc_id long")
+    return _mapped(rows, "doc_id long, raw binary, at array<int>", ["doc_id", "raw", "blocks"], one)
 
 
-def _regrouped(run):
-    """run, its many small batches put together."""
+def _contexts(live: DataFrame, buckets: int) -> DataFrame:
+    """block, c1, c2, doc_id of each hit: what a context agrees in, its windows agree in."""
 
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in chain(run(batches), [None]):
-            if held and (batch is None or size >= _ROWS):
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
-            if batch is not None and batch.num_rows:
-                held.append(batch)
-                size += batch.num_rows
+    def one(doc_id: int, raw: bytes, at: list[int]) -> dict:
+        text, at = _Text(raw), np.array(at)
+        first, last = text.contexts(at)
+        c1, c2 = text.hashes(first, last, at - first + 1)
+        return {"block": text.blocks(buckets)[at], "c1": c1, "c2": c2, "doc_id": np.full(len(at), doc_id)}
 
-    return grouped
+    return _mapped(live, "block long, c1 long, c2 long, doc_id long", ["doc_id", "raw", "at"], one)
 
 
-def _removed(rows: DataFrame) -> DataFrame:
-    """Of rows (doc_id, raw, n_words, gone): the words that no gone window covers."""
+def _candidates(rows: DataFrame) -> DataFrame:
+    """h1, h2, doc_id of the windows of rows (doc_id, raw, at, open) that hold a hit whose context is open."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(at, _SLICE)
-                n_removed, kept = [], []
-                for raw, gone in zip(part.column("raw").to_pylist(), part.column("gone").to_pylist(), strict=True):
-                    parts = raw.split()
-                    if gone:
-                        hit = np.flatnonzero(np.isin(_windows(_words(raw)[0])[0], np.array(gone, "i8")))
-                        depth = np.zeros(len(parts) + 1, "i4")
-                        np.add.at(depth, hit, 1)
-                        np.add.at(depth, hit + WINDOW, -1)
-                        left = [w for w, d in zip(parts, np.cumsum(depth).tolist(), strict=False) if not d]
-                    else:
-                        left = parts
-                    n_removed.append(len(parts) - len(left))
-                    kept.append(b" ".join(left))
-                columns = [part.column("doc_id"), part.column("n_words"), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
-
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+    def one(doc_id: int, raw: bytes, at: list[int], open_: list[int]) -> dict:
+        text, at = _Text(raw), np.array(at)
+        first, last = text.contexts(at)
+        mine = np.isin(text.hashes(first, last, at - first + 1)[0], np.array(open_, "i8"))
+        starts = text.windows(at[mine])
+        h1, h2 = text.hashes(starts, starts + WINDOW)
+        return {"h1": h1, "h2": h2, "doc_id": np.full(len(starts), doc_id)}
+
+    return _mapped(rows, "h1 long, h2 long, doc_id long", ["doc_id", "raw", "at", "open"], one)
+
+
+def _removed(rows: DataFrame) -> DataFrame:
+    """Of rows (doc_id, raw, at, whole, gone): the words that no gone window, and no context that goes as a whole, covers."""
+
+    def one(doc_id: int | None, raw: bytes | None, at: list[int] | None, whole: list[int] | None, gone: list[int] | None) -> dict:
+        parts = (raw or b"").split()
+        left = parts
+        if whole or gone:
+            text, at = _Text(raw), np.array(at)
+            first, last = text.contexts(at)
+            mine = np.isin(text.hashes(first, last, at - first + 1)[0], np.array(whole or [], "i8"))
+            starts = text.windows(at)
+            starts = starts[np.isin(text.hashes(starts, starts + WINDOW)[0], np.array(gone or [], "i8"))]
+            depth = np.zeros(len(parts) + 1, "i4")
+            for begin, end in ((first[mine], last[mine]), (starts, starts + WINDOW)):
+                np.add.at(depth, begin, 1)
+                np.add.at(depth, end, -1)
+            left = [w for w, d in zip(parts, np.cumsum(depth).tolist(), strict=False) if not d]
+        return {"doc_id": [doc_id], "n_words": [len(parts)], "n_removed": [len(parts) - len(left)], "kept": [b" ".join(left)]}
+
+    return _mapped(rows, "doc_id long, n_words long, n_removed long, kept binary", ["doc_id", "raw", "at", "whole", "gone"], one)
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
@@ -312,11 +338,19 @@ def without_passages(docs: DataFrame) -> DataFrame:
     blocks = hits.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("block").alias("blocks"))
     # texts have any length, so no side is broadcast
     met = texts.join(blocks.hint("merge"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "raw", "blocks")
-    live = saved(_extended(met, buckets), "extended")
-    held = live.where("firsts is not null")
-    windows = _candidates(held)
-    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    placed = saved(_hit_places(met, buckets), "places")
+    live = placed.where("at is not null")
+    contexts = saved(_contexts(live, buckets), "contexts")
+    # one row a context, whatever number of documents holds it; what is joined below is written first, so that hot keys can be split
+    classes = saved(contexts.groupBy("block", "c1", "c2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "classes")
+    later = contexts.join(classes.where("least < most").select("c1", "c2", "least").hint("merge"), ["c1", "c2"]).where("doc_id > least")
+    whole = later.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("c1").alias("whole"))
+    several = saved(classes.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("block"), "several")
+    opened = classes.join(several.hint("merge"), "block").groupBy(F.col("least").alias("id")).agg(F.collect_set("c1").alias("open"))
+    windows = saved(_candidates(live.join(opened.hint("merge"), F.col("doc_id") == F.col("id"))), "windows")
+    least = saved(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "least")
     gone = windows.join(least.hint("merge"), ["h1", "h2"]).where("doc_id > least").groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("h1").alias("gone"))
-    cut = _removed(held.join(gone.hint("merge"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "raw", "n_words", "gone"))
-    whole = live.where("firsts is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
-    return whole.unionByName(cut)
+    cuts = whole.join(gone, "id", "full")
+    none = F.lit(None).cast("array<long>")
+    untouched = _removed(placed.where("at is null").select("doc_id", "raw", "at", none.alias("whole"), none.alias("gone")))
+    return untouched.unionByName(_removed(live.join(cuts.hint("merge"), F.col("doc_id") == F.col("id"), "left").select("doc_id", "raw", "at", "whole", "gone")))
