@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import geometry, graphs, mentions, policy, technologies
+from ..functions import dates
+from ..operators import geometry, graphs, mentions, packing, policy, sections, technologies
 from ..sources.tables import table
 from .registry import query
 
@@ -109,3 +110,87 @@ def overlapping_spans(spark, d):
     pairs = geometry.overlap_join(left.select("k", "s", "e"), right.select("k", "s", "e"), ["k"], ("s", "e"), ("s", "e"), 16.0)
     days = F.least("l.e", "r.e") - F.greatest("l.s", "r.s")
     return pairs.groupBy(F.col("l.k").alias("l_suppkey")).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(days).alias("days"))
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k, year(o_orderdate) AS y, month(o_orderdate) AS m, year(o_orderdate + INTERVAL 400 DAY) AS y2, month(o_orderdate + INTERVAL 400 DAY) AS m2 FROM orders) "
+    "SELECT o_orderkey, CASE WHEN k = 5 THEN NULL WHEN k = 2 THEN y2 ELSE y END AS start_year, CASE WHEN k IN (0, 1, 2) THEN m END AS start_month, CASE WHEN k IN (0, 2, 3) THEN y2 END AS end_year, CASE WHEN k IN (0, 2) THEN m2 END AS end_month, CASE WHEN k < 5 THEN k = 1 END AS is_current FROM o"
+)
+def date_ranges(spark, d):
+    """Ranges of dates read from lines that write them in six ways."""
+    a, b, k = F.col("o_orderdate"), F.date_add("o_orderdate", 400), F.col("o_orderkey") % 6
+    line = (
+        F.when(k == 0, F.concat(F.lit("Clerk, "), F.date_format(a, "MM/yyyy"), F.lit(" - "), F.date_format(b, "M.yyyy"), F.lit(", "), "o_orderpriority"))
+        .when(k == 1, F.concat(F.lit("since "), F.upper(F.date_format(a, "MMM yyyy")), F.lit(" to Present")))
+        .when(k == 2, F.concat(F.date_format(a, "MMMM"), F.lit(" – "), F.date_format(b, "MMM. yyyy")))
+        .when(k == 3, F.concat(F.date_format(a, "yyyy"), F.lit(" à "), F.date_format(b, "yyyy")))
+        .when(k == 4, F.concat(F.lit("certified "), F.date_format(a, "yyyy"), F.lit(", order "), F.lit("A7")))
+        .otherwise("neither a month nor a year")
+    )
+    rows = table(spark, d, "orders").select("o_orderkey", dates.date_range(line).alias("r"))
+    return rows.select("o_orderkey", F.col("r.start.year").alias("start_year"), F.col("r.start.month").alias("start_month"), F.col("r.end.year").alias("end_year"), F.col("r.end.month").alias("end_month"), "r.is_current")
+
+
+_HEADS = ["Education", "Missions:", "Requirements -", "Atouts", "Preferred:"]
+
+
+@query(
+    "WITH t AS (SELECT conv_id, turn, string_split_regex(trim(regexp_replace(['Education', 'Missions:', 'Requirements -', 'Atouts', 'Preferred:'][CAST(turn % 5 + 1 AS INTEGER)] || ' ' || text, '[\\s\\p{Z}]+', ' ', 'g')), ' ') AS w, "
+    "[3, 1, 2, 4, 4][CAST(turn % 5 + 1 AS INTEGER)] AS p FROM conversations WHERE text IS NOT NULL), "
+    "u AS (SELECT *, sum(len(w)) OVER (PARTITION BY conv_id ORDER BY p, turn) AS upto FROM t) "
+    "SELECT conv_id, string_agg(array_to_string(w[1:CAST(least(len(w), 150 - (upto - len(w))) AS INTEGER)], ' '), ' ' ORDER BY p, turn) AS packed_words FROM u WHERE upto - len(w) < 150 GROUP BY 1"
+)
+def packed_views(spark, d):
+    """The turns of each conversation as headed sections, packed by priority into 150 words."""
+    head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("turn") % 5 + 1).cast("int"))
+    turns = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.concat(head, F.lit(" "), "text").alias("part"))
+    texts = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "\n").alias("text"))
+    views = packing.packed(texts, "conv_id", "text", F.lit(150))
+    return views.select("conv_id", F.array_join(packing.words(F.col("view")), " ").alias("packed_words"))
+
+
+@query(
+    "WITH t AS (SELECT doc_id, CASE WHEN trim(text) = '' OR text IS NULL THEN [] ELSE string_split_regex(trim(regexp_replace(text, '[\\s\\p{Z}\\x0B\\x{85}]+', ' ', 'g')), ' ') END AS w FROM documents), "
+    "n AS (SELECT doc_id, w, CASE WHEN len(w) <= 61 THEN 1 ELSE CAST(ceil((len(w) - 61) / 30.0) AS INTEGER) + 1 END AS n FROM t WHERE len(w) > 0) "
+    "SELECT doc_id, n AS n_windows, md5(array_to_string(w[(n - 1) * 30 + 1:(n - 1) * 30 + 61], ' ')) AS last_window FROM n"
+)
+def token_windows(spark, d):
+    """Windows of 61 words by steps of 30 over every document: their number, and the last."""
+    rows = table(spark, d, "documents").select("doc_id", packing.windows(F.col("text")).alias("w")).where("size(w) > 0")
+    return rows.select("doc_id", F.size("w").alias("n_windows"), F.md5(F.substring(F.element_at("w", -1), len(packing.PREFIX) + 1, 1 << 30)).alias("last_window"))
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of conversations: a short line without a full stop is a heading, and its look depends on its length."""
+    turns = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.posexplode(F.split("text", "[\n.]")).alias("nth", "text"))
+    rows = turns.where(F.trim("text") != "").withColumn("line", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "nth")))
+    words = F.size(packing.words(F.col("text")))
+    return rows.select("conv_id", "line", F.trim("text").alias("text"), (words <= 9).alias("is_heading"), F.concat(F.lit("look"), F.length("text") % 3).alias("style"))
+
+
+def aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Names of sections out of the most frequent short lines, some a letter short, of types in turn."""
+    counts = _lines(spark, d).where("is_heading").groupBy("text").count()
+    place = F.row_number().over(Window.orderBy(F.desc("count"), "text"))
+    kinds = F.array(*map(F.lit, ["PROFESSIONAL_EXPERIENCE", "SKILLS", "EDUCATION", "IGNORED"]))
+    top = counts.orderBy(F.desc("count"), "text").limit(200).withColumn("place", place)
+    alias = F.when(F.col("place") % 3 == 0, F.col("text")).otherwise(F.expr("substring(text, 1, length(text) - 1)"))
+    return top.select(alias.alias("alias"), F.element_at(kinds, (F.col("place") % 4 + 1).cast("int")).alias("section_type"), "place")
+
+
+def headed_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = _lines(spark, d)
+    kinds = sections.classify_headings(rows.where("is_heading"), "text", aliases(spark, d))
+    return rows.join(kinds, rows["text"] == kinds["heading"], "left").select(*(rows[c] for c in rows.columns), F.coalesce("section_type", F.lit("UNKNOWN")).alias("section_type"), F.coalesce("method", F.lit("UNKNOWN")).alias("method"), "score")
+
+
+@query()
+def heading_kinds(spark, d):
+    """Every short line of the conversations as a heading: by its name, by a name much like it, or unknown."""
+    return sections.classify_headings(_lines(spark, d).where("is_heading"), "text", aliases(spark, d))
+
+
+@query()
+def section_starts(spark, d):
+    """Sections of every conversation, their lines read in order."""
+    return sections.sections(headed_lines(spark, d), "conv_id").select("conv_id", "section", "section_type", "method", "first_line", "last_line")
