@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from . import policy
 from .mentions import mentions, row_key
+from .steps import kept
 
 # A token, a compound with slashes, what may not stand beside a slash name, what is stripped for a second key.
 TOKEN = re.compile(r"[\w][\w+#./_-]*")
@@ -197,18 +198,23 @@ def recover(texts: DataFrame, key: str, text: str, lexicon: DataFrame, lemmas: D
     holds bars later ones. Null and empty texts give no rows; rows that share key and text are answered once; an empty lexicon
     answers nothing. A text's candidates meet in one row; they are no more than its tokens.
     """
+    lemmas = kept(policy.lemma_set(lemmas, word))
+    known = kept(names(lexicon, lemmas, "lemma"))
     held = F.lit(None).cast("array<struct<start:int,end:int>>") if taken is None else F.col(taken)
     rows = texts.where(F.col(text).isNotNull()).select(row_key(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"), held.alias("held"))
-    found = _candidates(rows.select("row", "text"), names(lexicon, lemmas, word)).withColumnRenamed("row", "own row").distinct()
+    found = _candidates(rows.select("row", "text"), known).withColumnRenamed("row", "own row").distinct()
     placed = rows.join(found, F.col("row") == F.col("own row")).drop("own row").withColumn("surface", F.expr("substring(text, start + 1, end - start)"))
     around = F.concat(F.expr("if(start > 0, substring(text, start, 1), ' ')"), F.expr("substring(text, end + 1, 1)"))
-    placed = _judged(placed, policy.lemma_set(lemmas, word)).withColumn("edges", (F.col("pass") < 2) | ~around.rlike(r"[\p{L}\p{N}]"))
-    one = F.struct(
-        "pass", "n", "at", "after", "start", "end", "surface", "match_type", "edges", "flags.line", "flags.line_end", "rec.tech_id", "rec.canonical", "rec.policy",
-        policy.verdict(F.col("flags"), F.lit(False)).alias("refused"), policy.verdict(F.col("flags"), F.lit(True)).alias("refused_near"),
-    )
-    by_row = placed.groupBy("row").agg(F.collect_set(one).alias("candidates"), F.first(_lined(F.col("text"), F.col("held"))).alias("held"))
-    hits = by_row.select(F.col("row.key").alias(key), F.explode(F.pandas_udf(_swept, f"array<struct<{HIT}>>")("candidates", "held")).alias("hit"))
+    placed = _judged(placed, lemmas).withColumn("edges", (F.col("pass") < 2) | ~around.rlike(r"[\p{L}\p{N}]"))
+    one = F.struct("pass", "n", "at", "after", "start", "end", "surface", "match_type", "edges", "flags", "rec.tech_id", "rec.canonical", "rec.policy")
+
+    def ruled(c: Column) -> Column:
+        """A candidate's verdicts by its flags, which are computed before and once."""
+        f = c["flags"]
+        return c.dropFields("flags").withField("line", f["line"]).withField("line_end", f["line_end"]).withField("refused", policy.verdict(f, F.lit(False))).withField("refused_near", policy.verdict(f, F.lit(True)))
+
+    by_row = placed.groupBy("row").agg(F.collect_set(one).alias("found"), F.first(_lined(F.col("text"), F.col("held"))).alias("held"))
+    hits = by_row.select(F.col("row.key").alias(key), F.explode(F.pandas_udf(_swept, f"array<struct<{HIT}>>")(F.transform("found", ruled), "held")).alias("hit"))
     return hits.select(key, "hit.*")
 
 
@@ -217,7 +223,8 @@ def classify_spans(spans: DataFrame, key: str, lexicon: DataFrame, lemmas: DataF
 
     spans: key (its own for each span), text, surface, start, end, confirmed (array of start and end: matches that count already).
     """
-    keyed, lemma = by_key(names(lexicon, lemmas, word)), policy.lemma_set(lemmas, word)
+    lemma = kept(policy.lemma_set(lemmas, word))
+    keyed = kept(by_key(names(lexicon, lemma, "lemma")))
     own = spans.select(F.col(key).alias("key"), "text", "surface", "start", "end", F.coalesce("confirmed", F.array().cast("array<struct<start:int,end:int>>")).alias("confirmed"))
 
     def accepted(places: DataFrame) -> DataFrame:
