@@ -133,13 +133,14 @@ def _with_texts(docs: DataFrame, found: DataFrame, arrays: list[str]) -> DataFra
 def _patterns(tail: Column) -> Column:
     """The last word before a mention, the last two and the last three, marks at their ends kept (a label's colon tells most).
 
-    None where a word holds a digit or an at sign: that is no context but a mention itself.
+    None where a word holds a digit or an at sign: that is no context but a mention itself. None, either, without two letters in a
+    row: marks alone, such as a quote, stand before anything.
     """
     words = F.filter(F.split(tail, " "), lambda w: w != "")
     last = F.slice(words, F.greatest(F.size(words) - WORDS + 1, F.lit(1)), F.lit(WORDS))
     n = F.size(last)
     phrases = F.transform(F.sequence(F.lit(1), F.lit(WORDS)), lambda k: F.when(k <= n, F.array_join(F.slice(last, F.greatest(n - k + 1, F.lit(1)), k), " ")))
-    return F.filter(phrases, lambda p: p.isNotNull() & ~p.rlike("[0-9@]"))
+    return F.filter(phrases, lambda p: p.isNotNull() & ~p.rlike("[0-9@]") & p.rlike(r"\p{L}{2}"))
 
 
 def _seed(kind: Column, value: Column, base: Column) -> Column:

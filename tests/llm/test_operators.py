@@ -179,6 +179,21 @@ def test_pii_bootstraps_contexts(spark):
     assert pii.redacted(df).columns == df.columns
 
 
+def test_pii_marks_alone_are_no_context(spark):
+    """Beside many secrets in quotes, quoted words with digits stay, and held-back values of no seed's form are found after a word's context."""
+    rng = random.Random(17)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
+    mixed = ["".join(rng.choice("ghijklmnopqrstuvwxyz0123456789") for _ in range(26)) for _ in range(20)]
+    rows = [(i, f'the config has token = "{h}" in it') for i, h in enumerate(hexes)]
+    rows += [(100 + i, f'another file has token = "{m}" in it') for i, m in enumerate(mixed)]
+    prose = ['the model "Galaxy-Note-2024-edition" was sold', 'see "chapter12/section-four" of the book', 'he wrote "covid19vaccines2021 works']
+    rows += [(200 + i, t) for i, t in enumerate(prose)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    assert [texts[200 + i] for i in range(3)] == prose
+    assert sum(m not in texts[100 + i] for i, m in enumerate(mixed)) >= 18 and all(h not in texts[i] for i, h in enumerate(hexes))
+
+
 def test_pii_tries_every_loose_form(spark):
     """What stands elsewhere in a text decides nothing: each text's loose mentions are those of the plain forms."""
     texts = [f"write to jo{at}example{dot}com now" for at in (" at ", "(at)", " [AT] ", "{ at }", "at") for dot in (".", " dot ", "[dot]", " (DOT) ", " , ")]
