@@ -63,8 +63,8 @@ def match_titles(titles: DataFrame, aliases: DataFrame, normal) -> DataFrame:
     return exact.unionByName(short.select("title", "id", F.lit("before_bracket").alias("method")))
 
 
-#: Words that say the level of a title, in front of it and behind it; the route stays the same.
-FRONT, BACK = ["senior", "sr", "sr.", "junior", "jr", "jr.", "lead", "principal", "staff"], ["1", "2", "3", "4", "5", "6", "7", "8", "9", "i", "ii", "iii", "iiii", "v", "iv"]
+# Words that say the level of a title, in front of it and behind it; the route stays the same.
+FRONT, BACK = ["senior", "sr", "sr.", "junior", "jr", "jr.", "lead", "principal", "staff"], ["1", "2", "3", "4", "5", "6", "7", "8", "9", "i", "ii", "iii", "iiii", "v"]
 
 
 def without_level(key: Column) -> Column:
@@ -212,11 +212,17 @@ class _Links(HTMLParser):
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _hrefs(markup: pd.Series, base: pd.Series) -> pd.Series:
-    def one(text: str, root: str | None) -> list[str]:
+    def joined(root: str | None, href: str) -> str | None:
+        try:
+            return urljoin(root or "", href)
+        except ValueError:  # no address
+            return None
+
+    def one(text: str, root: str | None) -> list[str | None]:
         walk = _Links()
         walk.feed(text)
         walk.close()
-        return [urljoin(root or "", href) for href in walk.found]
+        return [joined(root, href) for href in walk.found]
 
     return pd.Series([None if m is None else one(m, b) for m, b in zip(markup, base, strict=True)])
 
