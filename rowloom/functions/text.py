@@ -22,7 +22,7 @@ def parts(text: Column, by: str = ";") -> Column:
 
 def meaningful_words(text: Column) -> Column:
     """Number of white-space tokens that hold a letter."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t.rlike(r"\p{L}")))
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\s\p{L}]*\p{L}\S*")), F.lit(0))
 
 
 def tokens(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import geometry, graphs, mentions, packing, policy, sections, technologies
+from ..operators import geometry, graphs, mentions, packing, paths, policy, sections, technologies
 from ..sources.tables import table
 from .registry import query
 
@@ -194,3 +194,27 @@ def heading_kinds(spark, d):
 def section_starts(spark, d):
     """Sections of every conversation, their lines read in order."""
     return sections.sections(headed_lines(spark, d), "conv_id").select("conv_id", "section", "section_type", "method", "first_line", "last_line")
+
+
+@query(
+    "WITH h AS (SELECT 'L' || p_partkey AS leaf, p_brand AS family, p_type AS parent FROM part WHERE p_partkey < 60), "
+    "c AS (SELECT l_suppkey * 40 + month(l_shipdate) AS key, l_returnflag AS source, 'L' || (l_partkey % 70) AS leaf, CASE WHEN l_linenumber = 1 THEN '' WHEN l_linenumber = 2 THEN 'Brand#1' END AS family, round(l_discount * 10, 1) AS score, l_quantity = 50 AS forced FROM lineitem), "
+    "m AS (SELECT key, leaf, h.family, h.parent, max(score) AS score, list_sort(list(DISTINCT source)) AS sources, bool_or(forced) AS forced FROM c JOIN h USING (leaf) WHERE (coalesce(c.family, '') = '' OR c.family = h.family) AND (score <> 0 OR forced) GROUP BY 1, 2, 3, 4), "
+    "r AS (SELECT 'L' || 3 * p_partkey AS winner, 'L' || (3 * p_partkey + 1) AS loser FROM part UNION SELECT 'L' || 3 * p_partkey, 'L' || (6 * p_partkey + 3) FROM part), "
+    "p AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m AS w JOIN r ON w.leaf = r.winner WHERE w.key = m.key AND r.loser = m.leaf)), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY forced DESC, score DESC, len(sources) DESC, leaf) AS rank FROM p) "
+    "SELECT key, leaf, family, parent, score, array_to_string(sources, ',') AS sources, forced, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5"
+)
+def occupation_paths(spark, d):
+    """The five best paths of each key: candidates checked against the catalogue, merged, and without those that others cover."""
+    part, item = table(spark, d, "part"), table(spark, d, "lineitem")
+    leaf = lambda n: F.concat(F.lit("L"), n.cast("string"))
+    n = F.col("p_partkey")
+    hierarchy = part.where("p_partkey < 60").select(leaf(n).alias("leaf"), F.col("p_brand").alias("family"), F.col("p_type").alias("parent"))
+    candidates = item.select(
+        (F.col("l_suppkey") * 40 + F.month("l_shipdate")).alias("key"), F.col("l_returnflag").alias("source"), leaf(F.col("l_partkey") % 70).alias("leaf"),
+        F.when(F.col("l_linenumber") == 1, "").when(F.col("l_linenumber") == 2, "Brand#1").alias("family"), F.lit(None).cast("string").alias("parent"),
+        F.round(F.col("l_discount") * 10, 1).alias("score"), (F.col("l_quantity") == 50).alias("forced"),
+    )
+    rules = part.select(leaf(n * 3).alias("winner"), F.explode(F.array(leaf(n * 3 + 1), leaf(n * 6 + 3))).alias("loser"))
+    return paths.selected(candidates, hierarchy, rules).withColumn("sources", F.array_join("sources", ","))

@@ -188,3 +188,15 @@ def test_snapshot_round_trip(spark, tmp_path):
     before = {r.table: tuple(r) for r in records.export_snapshot(tables, str(tmp_path / "snap")).collect()}
     again = records.rebuild_snapshot(spark, str(tmp_path / "snap"), {k: v.schema for k, v in tables.items()})
     assert {k: (k, *records.fingerprint(v).first()) for k, v in again.items()} == before
+
+
+def test_offer_pages_with_loose_data():
+    from rowloom.functions import html
+
+    dirty = '<script type="application/ld+json">{"@type": "JobPosting", "title": "Data &amp; AI  Engineer", "datePosted": "2024-05-01", "hiringOrganization": {"@type": "x", "name": "Acme"}, oops }</script>'
+    found = html.offer("https://x/offer-77.html", dirty + '<h1>Other - Acme</h1><span class="a newjob">until <b> </b><b>2024 <i>06</i></b></span>')
+    assert (found["title"], found["company"], found["date_posted"], found["deadline"], found["job_id"]) == ("Data & AI Engineer", "Acme", "2024-05-01", "2024 06", "77")
+    clean = '<script type="application/ld+json">[{"@type": "jobPosting", "title": "T", "validThrough": "2025"}]</script><span class="newjob"><b>2024</b></span><b>never</b>'
+    found = html.offer(None, clean)
+    assert (found["title"], found["deadline"], found["company"]) == ("T", "2025", None)
+    assert html.offer(None, "<b>x</b>")["deadline"] is None and html.offer(None, None)["title"] is None
