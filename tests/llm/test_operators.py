@@ -675,7 +675,8 @@ def plain_words(text):
     return re.findall(rb"[^\x20\x09-\x0D]+", raw(text))
 
 
-def test_passages(spark, docs, none):
+def test_passages(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(passages, "BUCKETS_A_CORE", 1)
     rng = random.Random(31)
     word = lambda: rng.choice("red fox sea tree hill wine".split()) + str(rng.randrange(300))
     shared = [word() for _ in range(400)]
@@ -711,6 +712,7 @@ def test_passages(spark, docs, none):
 
 def test_passages_in_many_packs(spark, monkeypatch):
     """Packs of few windows, hashed in pieces, and one passage that every document holds."""
+    monkeypatch.setattr(passages, "BUCKETS_A_CORE", 1)
     monkeypatch.setattr(passages, "_CHUNK", 1 << 9)
     monkeypatch.setattr(passages, "_TEXTS", 1 << 11)
     common = [f"c{i}" for i in range(80)]
