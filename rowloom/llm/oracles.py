@@ -40,3 +40,14 @@ OP7 = (
     "x AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b) "
     "SELECT *, NOT base_failed AND NOT (n_words - n_removed_words < 0.3 * n_words) AS kept FROM x"
 )
+
+#: Windows of 50 words by their text; a word goes if one that covers it starts in a smaller document, too.
+OP11 = (
+    "WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents), "
+    "g AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)), "
+    "m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM g), "
+    "r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM m WHERE least < doc_id), "
+    "a AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d), "
+    "k AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM a ANTI JOIN r ON a.doc_id = r.doc_id AND a.p = r.p GROUP BY a.doc_id) "
+    "SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"
+)

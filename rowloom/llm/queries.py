@@ -12,7 +12,7 @@ from . import bpe, clusters, language, line_rules, minhash, mixing, oracles, pas
 from .common import table
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {"op1_vectors": oracles.OP1, "op5_minhash": oracles.OP5, "op7_line_rules": oracles.OP7}
+ORACLES: dict[str, str] = {"op1_vectors": oracles.OP1, "op5_minhash": oracles.OP5, "op7_line_rules": oracles.OP7, "op11_passages": oracles.OP11}
 
 
 def _query(function):
