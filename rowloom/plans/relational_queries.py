@@ -129,7 +129,7 @@ def idf_overlap_rank(spark, d):
 @query(
     "WITH m AS (SELECT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS s, CAST(floor(epoch(ts) / 3600) + floor(value / 10) AS BIGINT) AS e FROM events), "
     "f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM m), "
-    "g AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM f), "
+    "g AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY s, e RANGE UNBOUNDED PRECEDING) AS i FROM f), "
     "u AS (SELECT user_id, i, min(s) AS s, max(e) AS e FROM g GROUP BY user_id, i) "
     "SELECT user_id, count(*) AS n_islands, CAST(sum(e - s + 1) AS BIGINT) AS total FROM u GROUP BY user_id"
 )
