@@ -6,7 +6,7 @@ import pytest
 from rowloom.plans import registry
 
 
-@pytest.mark.parametrize("name", ["interval_union"])
+@pytest.mark.parametrize("name", ["interval_union", "interval_union_adjacent"])
 def test_equal_intervals(spark, tmp_path, name):
     con = duckdb.connect()
     made = "SELECT i AS event_id, i % 300 AS user_id, TIMESTAMP '2020-01-01' + INTERVAL 1 HOUR * CAST(20 * (hash(i % 150000) % 400) AS INTEGER) AS ts, CAST(10 * (i % 3) AS DOUBLE) AS value FROM range(300000) r(i)"
