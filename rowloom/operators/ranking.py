@@ -53,6 +53,10 @@ def semantic_credit(cosine: Column) -> Column:
     return F.when(cosine >= 0.85, F.least(cosine, F.lit(0.90))).when(cosine >= 0.75, F.least(cosine, F.lit(0.70))).otherwise(0.0)
 
 
+# Fixed value: the type of summed credits; a cosine's further digits are rounded.
+CREDIT = "decimal(12,10)"
+
+
 def recommend(jobs: DataFrame, held: DataFrame, k: int = 20) -> DataFrame:
     """The best k jobs of each candidate.
 
@@ -61,7 +65,9 @@ def recommend(jobs: DataFrame, held: DataFrame, k: int = 20) -> DataFrame:
     0.55 professional and 0.45 technology, renormalised where one is missing; required skills scale it by 0.5 + 0.5 * coverage.
     An equi-join on skills pairs only jobs and candidates that share one.
     """
-    needs = jobs.withColumn("w", requirement_weight(F.col("requirement")))
+    # sums are of decimals, so that no order of rows changes a score
+    needs = jobs.withColumn("w", requirement_weight(F.col("requirement")).cast("decimal(2,1)"))
+    held = held.withColumn("credit", F.col("credit").cast(CREDIT))
     professional = F.col("kind") == "PROFESSIONAL"
     totals = needs.groupBy("job_id").agg(
         F.sum(F.when(professional, F.col("w"))).alias("wp"), F.sum(F.when(~professional, F.col("w"))).alias("wt"), F.count_if(F.col("requirement") == "REQUIRED").alias("required")
@@ -71,9 +77,9 @@ def recommend(jobs: DataFrame, held: DataFrame, k: int = 20) -> DataFrame:
         F.sum(F.when(~professional, F.col("w") * F.col("credit"))).alias("st"),
         F.count_if((F.col("requirement") == "REQUIRED") & ((F.col("credit") >= 0.85) | ~professional)).alias("covered"),
     )
-    share = lambda s, w: F.coalesce(F.col(s), F.lit(0.0)) / F.col(w)
-    both = F.when(F.col("wp").isNotNull(), 0.55 * share("sp", "wp")).otherwise(0.0) + F.when(F.col("wt").isNotNull(), 0.45 * share("st", "wt")).otherwise(0.0)
+    part = lambda share, s, w: F.when(F.col(w).isNotNull(), share * F.coalesce(F.col(s).cast("double"), F.lit(0.0)) / F.col(w).cast("double")).otherwise(0.0)
+    both = part(0.55, "sp", "wp") + part(0.45, "st", "wt")
     weight = F.when(F.col("wp").isNotNull(), 0.55).otherwise(0.0) + F.when(F.col("wt").isNotNull(), 0.45).otherwise(0.0)
     coverage = F.when(F.col("required") > 0, 0.5 + 0.5 * F.col("covered") / F.col("required")).otherwise(1.0)
-    scored = hits.join(totals, "job_id").select("candidate_id", "job_id", F.round(both / weight * coverage, 6).alias("score"))
+    scored = hits.join(totals, "job_id").select("candidate_id", "job_id", (F.round(both / weight * coverage * 1e6) / 1e6).alias("score"))
     return top_k(scored, ["candidate_id"], k, F.col("score").desc(), F.col("job_id"))

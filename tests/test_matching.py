@@ -1,9 +1,11 @@
 """Similarity, titles, ranking and layout on small fixtures."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from rowloom.functions import similarity, titles
 from rowloom.operators import layout, ranking
+from rowloom.plans import registry
 
 
 def test_similarity():
@@ -52,3 +54,15 @@ def test_layout(spark):
     heads = lines.withColumn("text", F.when(F.col("line") == 1, "Skills:").otherwise(F.col("text")))
     assert [r.section for r in layout.sections(heads).orderBy("line").collect()] == ["HEADER", "SKILLS", "SKILLS"]
     assert layout.page_state(df).first().state == "POOR"
+
+
+def test_recommendations_round_as_sql(spark, tmp_path):
+    # candidates whose scores lie halfway between two numbers of six digits
+    data, con = "/root/testdata/sf0.1", duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '{data}/orders.parquet' WHERE o_custkey IN (4886, 4929, 5314, 10469, 12759, 14085, 14982)) TO '{tmp_path}/orders.parquet'")
+    (tmp_path / "lineitem.parquet").symlink_to(f"{data}/lineitem.parquet")
+    for name in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    rows = registry.QUERIES["job_recommendations"](spark, str(tmp_path)).select("candidate_id", "job_id", "score", "rank").collect()
+    assert len(rows) == 35
+    assert sorted(map(tuple, rows)) == sorted(con.sql(registry.ORACLES["job_recommendations"]).fetchall())
