@@ -15,7 +15,7 @@ def _names(spark: SparkSession, d: str) -> DataFrame:
     """Names out of the benchmark's items: their first three words, and their first word of seven letters."""
     words = F.split(F.regexp_replace("text", "[.,]", ""), "[ \\n]+")
     rows = table(spark, d, "benchmark").select("item_id", words.alias("w"))
-    names = F.array(F.array_join(F.slice("w", 1, 3), " "), F.filter("w", lambda x: x.rlike("^[A-Za-z]{7,}$"))[0])
+    names = F.array(F.array_join(F.slice("w", 1, 3), " "), F.get(F.filter("w", lambda x: x.rlike("^[A-Za-z]{7,}$")), F.lit(0)))
     return rows.select("item_id", F.explode(F.array_compact(names)).alias("name")).distinct()
 
 

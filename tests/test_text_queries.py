@@ -2,9 +2,11 @@
 
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from rowloom.functions.similarity import ratio
+from rowloom.plans import registry
 from rowloom.plans import text_queries as Q
 
 from . import test_sections_dates as S
@@ -55,3 +57,14 @@ def test_heading_kinds_and_sections(spark):
     for conv, rows in docs.items():
         opens = S.plain_boundaries([(r.text, r.is_heading, r.section_type, r.method, r.style) for r in rows])
         assert starts[conv] == {r.line for i, (r, o) in enumerate(zip(rows, opens)) if o or i == 0}
+
+
+def test_literal_mentions_of_items_without_long_words(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT 1 AS item_id, 'a cat sat, on' AS text UNION ALL SELECT 2, 'one elephant. ran') TO '{tmp_path}/benchmark.parquet'")
+    con.execute(f"COPY (SELECT 7 AS doc_id, 'A cat sat by an ELEPHANT' AS text) TO '{tmp_path}/documents.parquet'")
+    found = {(r.item_id, r.surface, r.start, r.end) for r in Q.literal_mentions(spark, str(tmp_path)).collect()}
+    assert found == {(1, "A cat sat", 0, 9), (2, "ELEPHANT", 16, 24)}
+    for name in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    assert {tuple(r[1:2]) + tuple(r[3:]) for r in con.sql(registry.ORACLES["literal_mentions"]).fetchall()} == found
