@@ -15,7 +15,7 @@ Tokens, Joined = Callable[[Column], Column], Callable[[Column], Column]
 
 # Headings within a description, and the words that tell what a section is about, in order of priority.
 HEADING = (
-    r"(?im)(?:^|\n)\s*(profil recherch[ée]|missions?|responsabilit[ée]s|activit[ée]s principales(?: du poste)?|comp[ée]tences (?:et )?connaissances requises|"
+    r"(?imu)(?:^|\n)\s*(profil recherch[ée]|missions?|responsabilit[ée]s|activit[ée]s principales(?: du poste)?|comp[ée]tences (?:et )?connaissances requises|"
     r"qualifications?|[ée]ducation|exp[ée]rience|requirements?|required skills|nice to have|atouts?|preferred)\s*[:\-]?"
 )
 BUCKETS = [

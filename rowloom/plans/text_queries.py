@@ -134,11 +134,23 @@ def date_ranges(spark, d):
 _HEADS = ["Education", "Missions:", "Requirements -", "Atouts", "Preferred:"]
 
 
+# a heading may also stand in a turn, at the beginning of a line and as the beginning of a longer word
+_HEADINGS = (
+    "profil recherch[ée]|missions?|responsabilit[ée]s|activit[ée]s principales(?: du poste)?|comp[ée]tences (?:et )?connaissances requises|"
+    "qualifications?|[ée]ducation|exp[ée]rience|requirements?|required skills|nice to have|atouts?|preferred"
+)
+
+
 @query(
-    "WITH t AS (SELECT conv_id, turn, string_split_regex(trim(regexp_replace(['Education', 'Missions:', 'Requirements -', 'Atouts', 'Preferred:'][CAST(turn % 5 + 1 AS INTEGER)] || ' ' || text, '[\\s\\p{Z}]+', ' ', 'g')), ' ') AS w, "
-    "[3, 1, 2, 4, 4][CAST(turn % 5 + 1 AS INTEGER)] AS p FROM conversations WHERE text IS NOT NULL), "
-    "u AS (SELECT *, sum(len(w)) OVER (PARTITION BY conv_id ORDER BY p, turn) AS upto FROM t) "
-    "SELECT conv_id, string_agg(array_to_string(w[1:CAST(least(len(w), 150 - (upto - len(w))) AS INTEGER)], ' '), ' ' ORDER BY p, turn) AS packed_words FROM u WHERE upto - len(w) < 150 GROUP BY 1"
+    "WITH t AS (SELECT conv_id, string_agg(['Education', 'Missions:', 'Requirements -', 'Atouts', 'Preferred:'][CAST(turn % 5 + 1 AS INTEGER)] || ' ' || text, chr(10) ORDER BY turn, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY 1), "
+    f"c AS (SELECT conv_id, string_split(regexp_replace(text, '(?im)(^|\\n)(\\s*)({_HEADINGS})', chr(1) || '\\3', 'g'), chr(1)) AS bodies FROM t), "
+    "b AS (SELECT conv_id, unnest(bodies) AS body, unnest(range(len(bodies))) AS part FROM c), "
+    "s AS (SELECT conv_id, part, list_filter(string_split_regex(body, '[\\s\\p{Z}]+'), lambda x: x <> '') AS w, "
+    f"lower(CASE WHEN part > 0 THEN regexp_extract(body, '(?i)^({_HEADINGS})', 1) ELSE '' END) AS h FROM b), "
+    "p AS (SELECT *, CASE WHEN regexp_matches(h, 'mission|responsabilit|activit|role') THEN 1 WHEN regexp_matches(h, 'profil recherch|compétence|competence|connaissance requise|requirement|required skill') THEN 2 "
+    "WHEN regexp_matches(h, 'qualification|education|expérience|experience|diplôme|diplome') THEN 3 WHEN regexp_matches(h, 'nice to have|atout|preferred') THEN 4 ELSE 5 END AS p FROM s WHERE len(w) > 0), "
+    "u AS (SELECT *, sum(len(w)) OVER (PARTITION BY conv_id ORDER BY p, part) AS upto FROM p) "
+    "SELECT conv_id, string_agg(array_to_string(w[1:CAST(least(len(w), 150 - (upto - len(w))) AS INTEGER)], ' '), ' ' ORDER BY p, part) AS packed_words FROM u WHERE upto - len(w) < 150 GROUP BY 1"
 )
 def packed_views(spark, d):
     """The turns of each conversation as headed sections, packed by priority into 150 words."""

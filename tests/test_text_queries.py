@@ -59,6 +59,18 @@ def test_heading_kinds_and_sections(spark):
         assert starts[conv] == {r.line for i, (r, o) in enumerate(zip(rows, opens)) if o or i == 0}
 
 
+def test_packed_views_with_headings_in_turns(spark, tmp_path):
+    turns = [(1, 0, "one two\nAtouth three four\n\n Experience: five"), (1, 1, "six\nseven missions"), (1, 3, "word " * 160 + "\nqualification\nrole: x"), (2, 2, "a b\nÉducation c"), (3, 4, ""), (4, 0, None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, 'user', ?)", turns)
+    con.execute(f"COPY conversations TO '{tmp_path}/conversations.parquet'")
+    got = {r.conv_id: r.packed_words for r in Q.packed_views(spark, str(tmp_path)).collect()}
+    assert got[1].startswith("Missions: six seven missions Education one two Experience: five qualification role: x Atouth three four Atouts word")
+    assert len(got[1].split(" ")) == 150 and got[3] == "Preferred:"
+    assert got == dict(con.sql(registry.ORACLES["packed_views"]).fetchall())
+
+
 def test_literal_mentions_of_items_without_long_words(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"COPY (SELECT 1 AS item_id, 'a cat sat, on' AS text UNION ALL SELECT 2, 'one elephant. ran') TO '{tmp_path}/benchmark.parquet'")
