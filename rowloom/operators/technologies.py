@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import policy
 from .mentions import mentions, row_key
@@ -23,6 +27,8 @@ TOKEN = re.compile(r"[\w][\w+#./_-]*")
 COMPOUND = re.compile(r"[\w+#.][\w+#./_-]*(?:/[\w+#./_-]+)+")
 SLASH_WORDS, SLASH_EDGES, STRIPPED = r"[A-Za-z0-9+#]+", ("A-Za-z0-9+#", "A-Za-z0-9+#"), r"[ .,;:|()\[\]]"
 SPAN = "array<struct<surface:string,start:int,end:int>>"
+# Characters and candidates that are Python objects at once.
+PIECE_CHARS, PIECE_CANDIDATES = 1 << 18, 4_000
 HIT = "tech_id:string,canonical:string,surface:string,start:int,end:int,policy:string,match_type:string"
 
 
@@ -36,10 +42,24 @@ def normal(text: Column) -> Column:
     return F.replace(F.replace(s, F.lit(" / "), F.lit("/")), F.lit(" - "), F.lit("-"))
 
 
+def pieces(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes sum up to `most`, or of one larger row: what is held as Python objects at once."""
+    first, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and held + size > most:
+            yield first, i
+            first, held = i, 0
+        held += size
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
 def _spans(form: re.Pattern):
     @F.pandas_udf(SPAN)
-    def spans(text: pd.Series) -> pd.Series:
-        return pd.Series([[{"surface": m.group(), "start": m.start(), "end": m.end()} for m in form.finditer(t or "")] for t in text])
+    def spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            for a, b in pieces([len(t or "") for t in text], PIECE_CHARS):
+                yield pd.Series([[{"surface": m.group(), "start": m.start(), "end": m.end()} for m in form.finditer(t or "")] for t in text.iloc[a:b]])
 
     return spans
 
@@ -170,16 +190,22 @@ def sweep(candidates: list, taken: Taken) -> list:
     return out
 
 
-def _swept(candidates: pd.Series, taken: pd.Series) -> pd.Series:
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of key, found and held to key and hit."""
     fields = ["tech_id", "canonical", "surface", "start", "end", "policy", "match_type"]
-    out = []
-    for own, spans in zip(candidates, taken, strict=True):
-        held = Taken([(s["start"], s["end"], s["line"], s["line_end"]) for s in (() if spans is None else spans)])
-        firsts: dict = {}
-        for c in sweep(list(own), held):
-            firsts.setdefault(c["tech_id"], {f: c[f] for f in fields})
-        out.append(list(firsts.values()))
-    return pd.Series(out)
+    kind = pa.struct([(f, pa.int32() if f in ("start", "end") else pa.string()) for f in fields])
+    for batch in batches:
+        for a, b in pieces(pc.list_value_length(batch.column(1)).to_pylist(), PIECE_CANDIDATES):
+            piece = batch.slice(a, b - a)
+            rows, hits = [], []
+            for i, (own, spans) in enumerate(zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True)):
+                held = Taken([(s["start"], s["end"], s["line"], s["line_end"]) for s in spans or ()])
+                firsts: dict = {}
+                for c in sweep(own, held):
+                    firsts.setdefault(c["tech_id"], {f: c[f] for f in fields})
+                rows += [i] * len(firsts)
+                hits += firsts.values()
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(rows, pa.int64())), pa.array(hits, kind)], ["key", "hit"])
 
 
 def _lined(text: Column, spans: Column) -> Column:
@@ -214,8 +240,9 @@ def recover(texts: DataFrame, key: str, text: str, lexicon: DataFrame, lemmas: D
         return c.dropFields("flags").withField("line", f["line"]).withField("line_end", f["line_end"]).withField("refused", policy.verdict(f, F.lit(False))).withField("refused_near", policy.verdict(f, F.lit(True)))
 
     by_row = placed.groupBy("row").agg(F.collect_set(one).alias("found"), F.first(_lined(F.col("text"), F.col("held"))).alias("held"))
-    hits = by_row.select(F.col("row.key").alias(key), F.explode(F.pandas_udf(_swept, f"array<struct<{HIT}>>")(F.transform("found", ruled), "held")).alias("hit"))
-    return hits.select(key, "hit.*")
+    ready = by_row.select(F.col("row.key").alias("key"), F.transform("found", ruled).alias("found"), "held")
+    hits = ready.mapInArrow(_swept, StructType([ready.schema["key"], StructField("hit", StructType.fromDDL(HIT))]))
+    return hits.select(F.col("key").alias(key), "hit.*")
 
 
 def classify_spans(spans: DataFrame, key: str, lexicon: DataFrame, lemmas: DataFrame, word: str) -> DataFrame:

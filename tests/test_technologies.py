@@ -224,3 +224,10 @@ def test_mentions(spark):
             if n and re.search(r"\w", n):
                 expected += [(str(i), k, m.group(), m.start(), m.end()) for m in re.finditer(rf"(?<![\w+#.]){re.escape(n)}(?![\w+#])", t or "", re.I)]
     assert found == sorted(expected) and len(expected) > 300
+
+
+def test_pieces_bound_what_is_held():
+    from rowloom.operators.technologies import pieces
+
+    assert list(pieces([3, 3, 3, 20, 1, 0], 6)) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert list(pieces([], 6)) == [] and list(pieces([9], 6)) == [(0, 1)]
