@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio_column
+from .steps import kept
 
 
 def _pairs(text: Column) -> Column:
@@ -28,9 +29,10 @@ def alike(left: DataFrame, left_text: str, right: DataFrame, right_text: str, pe
     its rows are split by their lengths, too.
     """
     share = (100.0 - percent) / 100.0
-    one = left.select(F.col(left_text).alias("text")).where("text is not null").distinct()
-    other = right.select(F.col(right_text).alias("text")).where("text is not null").distinct()
+    one = kept(left.select(F.col(left_text).alias("text")).where("text is not null").distinct())
+    other = kept(right.select(F.col(right_text).alias("text")).where("text is not null").distinct())
     weigh = one.unionByName(other).select(F.explode(F.array_distinct(_pairs(F.col("text")))).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("times"))
+    weigh = kept(weigh)
     # the longest partner has (1 + share) / (1 - share) times the length
     most = F.floor(F.length("text") * (share * (1 + (1 + share) / (1 - share))) + 1e-9)
 

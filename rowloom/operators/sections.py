@@ -40,14 +40,18 @@ def classify_headings(headings: DataFrame, text: str, aliases: DataFrame) -> Dat
 
     aliases: alias, section_type, place (their order; of equal aliases the last counts, of equally like ones the first). Headings of
     over six words are taken by an equal alias alone. Null headings are left out; what matches nothing is UNKNOWN without a score.
+    Both sides and the likest names are written, so that no plan holds the inputs' plans many times over.
     """
     keyed = headings.select(F.col(text).alias("heading")).where("heading is not null").distinct().withColumn("key", heading_key(F.col("heading")))
+    keyed = kept(keyed)
     known = aliases.select(heading_key(F.col("alias")).alias("alias"), "section_type", "place").groupBy("alias").agg(F.max_by("section_type", "place").alias("section_type"), F.min("place").alias("place"))
+    known = kept(known)
     words = F.size(F.filter(F.split("key", r"(?U)\s+"), lambda w: w != ""))
     exact = keyed.join(known, F.col("key") == F.col("alias")).select("heading", "section_type", F.lit("ALIAS_EXACT").alias("method"), F.lit(100.0).alias("score"))
     rest = keyed.join(known, F.col("key") == F.col("alias"), "left_anti")
     near = alike(rest.where(words <= MOST_WORDS), "key", known, "alias", LIKENESS).join(known, F.col("b") == F.col("alias"))
     best = near.groupBy(F.col("a").alias("best key")).agg(F.max_by(F.struct("section_type", "ratio"), F.struct("ratio", (-F.col("place")).alias("first"))).alias("best"))
+    best = kept(best)
     other = rest.join(best, F.col("key") == F.col("best key"), "left").select(
         "heading",
         F.coalesce("best.section_type", F.lit("UNKNOWN")).alias("section_type"),

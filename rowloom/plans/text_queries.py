@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import geometry, graphs, mentions, packing, paths, policy, sections, technologies
+from ..operators.steps import kept
 from ..sources.tables import table
 from .registry import query
 
@@ -180,9 +181,14 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "line", F.trim("text").alias("text"), (words <= 9).alias("is_heading"), F.concat(F.lit("look"), F.length("text") % 3).alias("style"))
 
 
-def aliases(spark: SparkSession, d: str) -> DataFrame:
+def _headings(lines: DataFrame) -> DataFrame:
+    """Distinct headings and their number, written once: what follows reads them many times."""
+    return kept(lines.where("is_heading").groupBy("text").count())
+
+
+def aliases(spark: SparkSession, d: str, counts: DataFrame | None = None) -> DataFrame:
     """Names of sections out of the most frequent short lines, some a letter short, of types in turn."""
-    counts = _lines(spark, d).where("is_heading").groupBy("text").count()
+    counts = _headings(_lines(spark, d)) if counts is None else counts
     place = F.row_number().over(Window.orderBy(F.desc("count"), "text"))
     kinds = F.array(*map(F.lit, ["PROFESSIONAL_EXPERIENCE", "SKILLS", "EDUCATION", "IGNORED"]))
     top = counts.orderBy(F.desc("count"), "text").limit(200).withColumn("place", place)
@@ -192,14 +198,16 @@ def aliases(spark: SparkSession, d: str) -> DataFrame:
 
 def headed_lines(spark: SparkSession, d: str) -> DataFrame:
     rows = _lines(spark, d)
-    kinds = sections.classify_headings(rows.where("is_heading"), "text", aliases(spark, d))
+    counts = _headings(rows)
+    kinds = sections.classify_headings(counts, "text", aliases(spark, d, counts))
     return rows.join(kinds, rows["text"] == kinds["heading"], "left").select(*(rows[c] for c in rows.columns), F.coalesce("section_type", F.lit("UNKNOWN")).alias("section_type"), F.coalesce("method", F.lit("UNKNOWN")).alias("method"), "score")
 
 
 @query()
 def heading_kinds(spark, d):
     """Every short line of the conversations as a heading: by its name, by a name much like it, or unknown."""
-    return sections.classify_headings(_lines(spark, d).where("is_heading"), "text", aliases(spark, d))
+    counts = _headings(_lines(spark, d))
+    return sections.classify_headings(counts, "text", aliases(spark, d, counts))
 
 
 @query()

@@ -80,3 +80,10 @@ def test_literal_mentions_of_items_without_long_words(spark, tmp_path):
     for name in ("benchmark", "documents"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
     assert {tuple(r[1:2]) + tuple(r[3:]) for r in con.sql(registry.ORACLES["literal_mentions"]).fetchall()} == found
+
+
+def test_plans_of_headings_stay_small(spark):
+    # the plan of a query reads what was written and holds its inputs' windows no more
+    for made in (Q.heading_kinds,):
+        plan = made(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert "posexplode" not in plan and plan.count("Relation") <= 8, plan.count("Relation")
