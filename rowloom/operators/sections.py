@@ -145,7 +145,7 @@ def sections(lines: DataFrame, doc: str) -> DataFrame:
     lines: doc, line, text, is_heading, section_type, method, score, style. Lines before the first boundary are the HEADER. A section
     without a name, or a header of over six lines, is named by its content where that is clear. Blank lines are left out.
     """
-    rows = lines.where(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", "") != "")
+    rows = kept(lines.where(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", "") != ""))
     opened = boundaries(rows, doc)
     order = Window.partitionBy(doc).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     first = F.col("opens") | (F.row_number().over(Window.partitionBy(doc).orderBy("line")) == 1)

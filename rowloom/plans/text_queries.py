@@ -197,7 +197,7 @@ def aliases(spark: SparkSession, d: str, counts: DataFrame | None = None) -> Dat
 
 
 def headed_lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lines(spark, d)
+    rows = kept(_lines(spark, d))
     counts = _headings(rows)
     kinds = sections.classify_headings(counts, "text", aliases(spark, d, counts))
     return rows.join(kinds, rows["text"] == kinds["heading"], "left").select(*(rows[c] for c in rows.columns), F.coalesce("section_type", F.lit("UNKNOWN")).alias("section_type"), F.coalesce("method", F.lit("UNKNOWN")).alias("method"), "score")

@@ -84,6 +84,6 @@ def test_literal_mentions_of_items_without_long_words(spark, tmp_path):
 
 def test_plans_of_headings_stay_small(spark):
     # the plan of a query reads what was written and holds its inputs' windows no more
-    for made in (Q.heading_kinds,):
+    for made in (Q.heading_kinds, Q.section_starts):
         plan = made(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
         assert "posexplode" not in plan and plan.count("Relation") <= 8, plan.count("Relation")
