@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .steps import kept
+from .steps import Buckets, kept
+
+#: Edges whose pairs share a bucket of a closure.
+EDGES = 50_000
 
 
 def _steps(edges: DataFrame, child: str, parent: str) -> DataFrame:
@@ -32,15 +35,22 @@ def reachable(edges: DataFrame, child: str, parent: str, seeds: DataFrame, node:
 def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """child, parent, steps: every node with each of its ancestors and the least number of steps to it; a node of a cycle is its own ancestor.
 
-    Semi-naive by pairs: a round extends only the pairs that the last one found. Edges that repeat count once, those with a null
-    end not at all; an empty table gives no rows. The result has a row for each pair, which is what is asked for.
+    Semi-naive by pairs: a round extends only the pairs that the last one found. A round's pairs are written once, in buckets, and
+    pairs found anew are dealt to the same buckets, so that what earlier rounds found is neither shuffled nor written again. Edges
+    that repeat count once, those with a null end not at all; an empty table gives no rows. The result has a row for each pair,
+    which is what is asked for.
     """
     step = _steps(edges, child, parent)
-    known = step.withColumn("steps", F.lit(1))
-    last = known
-    while True:
-        onward = last.alias("a").join(step.alias("b"), F.col("a.high") == F.col("b.low")).select(F.col("a.low"), F.col("b.high"), (F.col("a.steps") + 1).alias("steps")).distinct()
-        last = kept(onward.join(known, ["low", "high"], "left_anti"))
-        if not last.limit(1).count():
-            return known.select(F.col("low").alias(child), F.col("high").alias(parent), "steps")
-        known = kept(known.unionByName(last))
+    spark = step.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, -(-step.count() // EDGES))
+    known, above = Buckets(spark, n, ["low", "high"], "steps"), Buckets(spark, n, ["low"])
+    above.append(step.repartition(n, "low"))
+    known.append(step.repartition(n, "low", "high").withColumn("steps", F.lit(1)))
+    steps = 1
+    while known.rows().where(F.col("steps") == steps).limit(1).count():
+        last = known.rows().where(F.col("steps") == steps).select("low", F.col("high").alias("via")).repartition(n, "via")
+        onward = last.join(above.rows().withColumnRenamed("low", "via"), "via").select("low", "high").repartition(n, "low", "high").distinct()
+        steps += 1
+        known.append(onward.join(known.rows(), ["low", "high"], "left_anti").withColumn("steps", F.lit(steps)))
+    above.closed()
+    return known.closed().select(F.col("low").alias(child), F.col("high").alias(parent), "steps")

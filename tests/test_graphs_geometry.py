@@ -1,6 +1,7 @@
 """Closures and overlap joins against plain loops."""
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -33,6 +34,17 @@ def test_closure(spark):
         assert graphs.reachable(df, "a", "b", seeds.limit(0), "n").count() == 0
 
 
+def test_closure_writes_each_pair_once(spark):
+    n, root = 8, Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    before = set(root.iterdir())
+    found = graphs.closure(spark.range(n).selectExpr("id as a", "id + 1 as b"), "a", "b")
+    assert sorted(map(tuple, found.collect())) == [(a, b, b - a) for a in range(n) for b in range(a + 1, n + 1)]
+    # the edges twice, as they are and in buckets, and the pairs
+    written = sum(spark.read.parquet(str(p)).count() for p in set(root.iterdir()) - before)
+    assert written == 2 * n + n * (n + 1) // 2
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("rowloom_")]
+
+
 def test_overlap_join(spark):
     rng = random.Random(4)
     spans = lambda n: [(i, rng.randrange(3), a := rng.uniform(-50, 200), rng.choice([a, a + rng.uniform(0, 2), a + rng.uniform(0, 3000), float(int(a)) + 8, None])) for i in range(n)]
