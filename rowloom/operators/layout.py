@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from statistics import median
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .relational import first_by
@@ -18,29 +21,53 @@ def distinct_words(words: DataFrame, grid: float = 1.0) -> DataFrame:
     return first_by(rows, ["doc_id", "page", "text", "x0__", "y0__", "x1__", "y1__"], F.col("y0"), F.col("x0")).drop("x0__", "y0__", "x1__", "y1__")
 
 
-def _lines(page: pd.DataFrame) -> pd.DataFrame:
-    """A word joins the line above it if its centre is within half a height of the line's running mean."""
-    page = page.assign(mid=(page.y0 + page.y1) / 2).sort_values(["mid", "x0", "text"], kind="stable")
-    number, mean, high, n, lines = -1, 0.0, 0.0, 0, []
-    for mid, height in zip(page.mid, (page.y1 - page.y0).replace(0, 1.0)):
-        if number >= 0 and abs(mid - mean) <= max(height, high) / 2:
-            n += 1
-            mean += (mid - mean) / n
-            high = max(high, height)
-        else:
-            number, mean, high, n = number + 1, mid, height, 1
-        lines.append(number)
-    page = page.assign(line=lines).sort_values(["line", "x0"], kind="stable")
-    g = page.groupby("line", sort=True)
-    out = pd.DataFrame({"text": g.text.agg(" ".join), "x0": g.x0.min(), "y0": g.y0.min(), "x1": g.x1.max(), "y1": g.y1.max(), "font": g.font.median()}).reset_index()
-    out.insert(0, "page", int(page.page.iloc[0]))
-    out.insert(0, "doc_id", int(page.doc_id.iloc[0]))
-    return out
+def _line(key: tuple, number: int, words: list[tuple]) -> tuple:
+    """The line of words (text, x0, y0, x1, y1, font), which are put in order from the left."""
+    words.sort(key=lambda w: (_missing(w[1]), w[1]))
+    text, *places = zip(*words, strict=True)
+    x0, y0, x1, y1, font = ([v for v in values if not _missing(v)] for values in places)
+    return (*key, number, " ".join(text), min(x0, default=None), min(y0, default=None), max(x1, default=None), max(y1, default=None), median(font) if font else None)
+
+
+def _missing(value: float | None) -> bool:
+    return value is None or value != value
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A word joins the line above it if its centre is within half a height of the line's running mean. Words come by page and centre; one line is held."""
+    fields = pa.schema([("doc_id", pa.int64()), ("page", pa.int32()), ("line", pa.int32()), ("text", pa.string())] + [(c, pa.float64()) for c in ("x0", "y0", "x1", "y1", "font")])
+    nan = float("nan")
+    at, number, mean, high, n, own = None, -1, 0.0, 0.0, 0, []
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(values, f.type) for values, f in zip(zip(*rows, strict=True) if rows else [[]] * len(fields), fields, strict=True)], schema=fields)
+
+    for batch in batches:
+        out = []
+        for doc_id, page, text, x0, y0, x1, y1, font in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            known = y0 is not None and y1 is not None
+            mid, height = ((y0 + y1) / 2, (y1 - y0) or 1.0) if known else (nan, nan)
+            same = at == (doc_id, page)
+            if same and abs(mid - mean) <= max(height, high) / 2:
+                n += 1
+                mean += (mid - mean) / n
+                high = max(high, height)
+            else:
+                if own:
+                    out.append(_line(at, number, own))
+                number, mean, high, n, own = number + 1 if same else 0, mid, height, 1, []
+                at = (doc_id, page)
+            own.append((text, x0, y0, x1, y1, font))
+        yield batch_of(out)
+    if own:
+        yield batch_of([_line(at, number, own)])
 
 
 def lines(words: DataFrame) -> DataFrame:
-    """Lines of each page. A page is the group: its size is that of a sheet of paper, whatever the table's."""
-    return words.groupBy("doc_id", "page").applyInPandas(_lines, LINE)
+    """Lines of each page, found in one pass over sorted words."""
+    rows = words.select(F.col("doc_id").cast("long"), F.col("page").cast("int"), "text", *(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1", "font")))
+    order = [F.col("doc_id"), F.col("page"), ((F.col("y0") + F.col("y1")) / 2).asc_nulls_last(), F.col("x0").asc_nulls_last(), F.col("text")]
+    return rows.repartition("doc_id", "page").sortWithinPartitions(*order).mapInArrow(_lines, LINE)
 
 
 def blocks(rows: DataFrame, gap: float = 0.9) -> DataFrame:
@@ -57,13 +84,17 @@ def _groups(df: DataFrame, keys: list[str], low: str, high: str, gap: float, nam
     return df.withColumn("o__", F.when(F.col(low) - reach > gap, 1).otherwise(0)).withColumn(name, F.sum("o__").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("o__")
 
 
-def reading_order(rows: DataFrame, band_gap: float = 12.0, column_gap: float = 24.0) -> DataFrame:
-    """Blocks by band from the top, within it by column from the left, within that from the top: place, band and column."""
-    boxes = rows.groupBy("doc_id", "page", "block").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+def reading_order(rows: DataFrame, *also: Column, band_gap: float = 12.0, column_gap: float = 24.0) -> DataFrame:
+    """Blocks by band from the top, within it by column from the left, within that from the top: place, band and column.
+
+    also: named aggregates of a block's lines, as further columns.
+    """
+    boxes = rows.groupBy("doc_id", "page", "block").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), *also)
+    more = boxes.columns[7:]
     banded = _groups(boxes, ["doc_id", "page"], "y0", "y1", band_gap, "band")
     columned = _groups(banded, ["doc_id", "page", "band"], "x0", "x1", column_gap, "column")
     place = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("band", "column", "y0", "block"))
-    return columned.select("doc_id", "page", "block", "band", "column", place.alias("place"))
+    return columned.select("doc_id", "page", "block", "band", "column", place.alias("place"), *more)
 
 
 # Headings of a profile's sections.

@@ -94,9 +94,11 @@ def fuzzy_names(spark, d):
 def _words(spark, d):
     """Turns as pages of positioned words: ten points a line, six a character."""
     lines = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("row", "line"))
-    words = lines.select("conv_id", "turn", "row", "line", F.posexplode(F.split("line", " ")).alias("at", "word"))
-    before = F.length(F.array_join(F.slice(F.split("line", " "), F.lit(1), F.col("at")), " ")) + F.when(F.col("at") > 0, 1).otherwise(0)
-    x0 = (6.0 * before).cast("double")
+    # a word begins behind a blank: places of a line's blanks are found once, not once a word
+    blanks = F.transform(F.regexp_extract_all("line", F.lit("(?s)."), F.lit(0)), lambda c, i: F.when(c == " ", i + 1))
+    starts = F.concat(F.array(F.lit(0)), F.filter(blanks, lambda i: i.isNotNull()))
+    words = lines.select("conv_id", "turn", "row", F.inline(F.arrays_zip(F.split("line", " ").alias("word"), starts.alias("before"))))
+    x0 = (6.0 * F.col("before")).cast("double")
     y0 = (10.0 * F.col("row")).cast("double")
     placed = words.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page"), F.col("word").alias("text"), x0.alias("x0"), y0.alias("y0"), (x0 + 6.0 * F.length("word")).alias("x1"), (y0 + 8.0).alias("y1"), F.lit(8.0).alias("font"))
     return placed.where("text <> ''")
@@ -115,7 +117,8 @@ def page_lines(spark, d):
 def page_reading_order(spark, d):
     """Blocks of every page in reading order, and the section of each line's block."""
     rows = layout.blocks(layout.sections(layout.lines(_words(spark, d))))
-    return rows.select("doc_id", "page", "block", "section").distinct().join(layout.reading_order(rows), ["doc_id", "page", "block"])
+    placed = layout.reading_order(rows, F.collect_set("section").alias("sections"))
+    return placed.select("doc_id", "page", "block", F.explode("sections").alias("section"), "band", "column", "place")
 
 
 @query(

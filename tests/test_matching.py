@@ -1,11 +1,14 @@
 """Similarity, titles, ranking and layout on small fixtures."""
 
+import random
+from statistics import median
+
 import duckdb
 from pyspark.sql import functions as F
 
 from rowloom.functions import similarity, titles
 from rowloom.operators import layout, ranking
-from rowloom.plans import registry
+from rowloom.plans import matching_queries, registry
 
 
 def test_similarity():
@@ -56,6 +59,43 @@ def test_layout(spark):
     assert layout.page_state(df).first().state == "POOR"
 
 
+def test_lines_in_one_pass(spark):
+    rng = random.Random(8)
+    words = [(d, p, f"w{i}", float(x := rng.randrange(9) * 10), y := rng.randrange(60) / 2, x + 9.0, y + rng.choice([0.0, 4.0, 9.0]), rng.choice([8.0, 9.5, None])) for d in (1, 2, None) for p in range(3) for i in range(25)]
+    expected = []
+    for page in sorted({w[:2] for w in words}, key=str):
+        found, mean, high = [], 0.0, 0.0
+        for w in sorted((w for w in words if w[:2] == page), key=lambda w: ((w[4] + w[6]) / 2, w[3], w[2])):
+            mid, height = (w[4] + w[6]) / 2, (w[6] - w[4]) or 1.0
+            if found and abs(mid - mean) <= max(height, high) / 2:
+                found[-1].append(w)
+                mean, high = mean + (mid - mean) / len(found[-1]), max(high, height)
+            else:
+                found.append([w])
+                mean, high = mid, height
+        for n, line in enumerate(found):
+            fonts = [w[7] for w in line if w[7]]
+            expected.append((*page, n, " ".join(w[2] for w in sorted(line, key=lambda w: w[3])), *(f(w[k] for w in line) for f, k in ((min, 3), (min, 4), (max, 5), (max, 6))), median(fonts) if fonts else None))
+    df = spark.createDataFrame(words, "doc_id long, page int, text string, x0 double, y0 double, x1 double, y1 double, font double")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, "7")  # pages and lines reach over batches
+    try:
+        lines = layout.lines(df)
+        assert sorted(map(tuple, lines.collect()), key=str) == sorted(expected, key=str)
+        # no call of Python for each page
+        assert "FlatMapGroups" not in lines._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset(size)
+    assert layout.lines(df.limit(0)).count() == 0
+
+
+def test_words_stand_behind_blanks(spark, tmp_path):
+    rows = [(1, 0, "user", "a  bc \n\U0001f600 d"), (1, 1, "user", ""), (2, 0, "user", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = matching_queries._words(spark, str(tmp_path))
+    assert sorted((r.text, r.x0, r.y0, r.x1) for r in found.collect()) == [("a", 0.0, 0.0, 6.0), ("bc", 18.0, 0.0, 30.0), ("d", 12.0, 10.0, 18.0), ("\U0001f600", 0.0, 10.0, 6.0)]
+
+
 def test_recommendations_round_as_sql(spark, tmp_path):
     # candidates whose scores lie halfway between two numbers of six digits
     data, con = "/root/testdata/sf0.1", duckdb.connect()
