@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.phrases import bound
+
 Tokens, Joined = Callable[[Column], Column], Callable[[Column], Column]
 
 # Headings within a description, and the words that tell what a section is about, in order of priority.
@@ -104,10 +106,14 @@ def budget_beside(title: Column, most: int = MOST, tokens: Tokens = words) -> Co
 
 def windows(text: Column, tokens: Tokens = words, joined: Joined = spaced) -> Column:
     """Windows of tokens that overlap by half, each with a prefix, up to the first that reaches the end; none of an empty text."""
-    own = tokens(text)
-    n = F.size(own)
     width = F.greatest(F.lit(LEAST_WINDOW), F.lit(WINDOW_TOKENS - WINDOW_MARKS) - F.size(tokens(F.lit(PREFIX))))
     step = F.greatest(F.lit(1), F.floor(width / 2).cast("int"))
-    number = F.when(n <= width, 1).otherwise(F.ceil((n - width) / step).cast("int") + 1)
-    starts = F.transform(F.sequence(F.lit(0), number - 1), lambda i: i * step)
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda s: F.concat(F.lit(PREFIX), joined(F.slice(own, s + 1, width)))))
+
+    def cut(own: Column) -> Column:
+        n = F.size(own)
+        number = F.when(n <= width, 1).otherwise(F.ceil((n - width) / step).cast("int") + 1)
+        starts = F.transform(F.sequence(F.lit(0), number - 1), lambda i: i * step)
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda s: F.concat(F.lit(PREFIX), joined(F.slice(own, s + 1, width)))))
+
+    # the text is cut into tokens once, not once a window
+    return bound(tokens(text), cut)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..functions.phrases import bound
 from ..operators import geometry, graphs, mentions, packing, paths, policy, sections, technologies
 from ..operators.steps import kept
 from ..sources.tables import table
@@ -169,8 +170,11 @@ def packed_views(spark, d):
 )
 def token_windows(spark, d):
     """Windows of 61 words by steps of 30 over every document: their number, and the last."""
-    rows = table(spark, d, "documents").select("doc_id", packing.windows(F.col("text")).alias("w")).where("size(w) > 0")
-    return rows.select("doc_id", F.size("w").alias("n_windows"), F.md5(F.substring(F.element_at("w", -1), len(packing.PREFIX) + 1, 1 << 30)).alias("last_window"))
+    # a text without a word has no window
+    docs = table(spark, d, "documents").where(F.col("text").rlike(r"(?U)\S"))
+    last = lambda w: F.md5(F.substring(F.element_at(w, -1), len(packing.PREFIX) + 1, 1 << 30))
+    found = bound(packing.windows(F.col("text")), lambda w: F.struct(F.size(w).alias("n_windows"), last(w).alias("last_window")))
+    return docs.select("doc_id", F.inline(F.array(found)))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
