@@ -11,6 +11,8 @@ from ..operators import relational as R
 from ..sources.tables import table
 from .registry import query
 
+#: Rows of order lines that one task takes.
+SHARE = 500_000
 
 @query(
     "SELECT r_regionkey AS family_id, r_name AS family, n_nationkey AS parent_id, n_name AS parent, s_suppkey AS leaf_id, s_name AS leaf "
@@ -406,7 +408,10 @@ def six_way_paths(spark, d):
 )
 def subsumption_prune(spark, d):
     orders, lines = table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
-    pairs = orders.join(lines, "o_orderkey").join(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").distinct()
+    # as many tasks as the rows need: a task's rows are as many whatever the table's size
+    n = max(spark.sparkContext.defaultParallelism, -(-lines.count() // SHARE))
+    sized = lines.join(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
+    pairs = sized.repartition(n, "o_orderkey").join(orders.repartition(n, "o_orderkey"), "o_orderkey", "left_semi")
     # a broader row goes if its group holds one that is larger by more than 20: the group's largest decides
-    most = pairs.groupBy("o_orderkey").agg(F.max("p_size").alias("most"))
-    return pairs.join(most, "o_orderkey").where(F.col("most") <= F.col("p_size") + 20).select("o_orderkey", "p_partkey", "p_size")
+    most = pairs.withColumn("most", F.max("p_size").over(Window.partitionBy("o_orderkey")))
+    return most.where(F.col("most") <= F.col("p_size") + 20).select("o_orderkey", "p_partkey", "p_size").distinct()

@@ -6,6 +6,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from rowloom.operators import geometry, graphs
+from rowloom.plans import registry, relational_queries
 
 
 def test_closure(spark):
@@ -116,3 +117,10 @@ def test_reading_order(spark):
                     expected.append((p, n, b[1], i, j))
                     n += 1
     assert found == expected
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(relational_queries, "SHARE", 1000)
+    data = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    assert registry.QUERIES["subsumption_prune"](spark, data).rdd.getNumPartitions() == -(-rows // 1000)
