@@ -7,11 +7,12 @@ from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.pieces import by_pieces
 from ..functions.text import meaningful_words
 
 # Modes a description can come in.
@@ -78,10 +79,7 @@ def prose_windows(text: str | None, config: Config = Config()) -> list[str] | No
 
 
 def chunks(text: Column, config: Config = Config()) -> Column:
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: prose_windows(t, config), na_action="ignore")
-
+    cut = by_pieces(lambda t: None if t is None else prose_windows(t, config), T.ArrayType(T.StringType()), pa.list_(pa.string()))
     return cut(text)
 
 
@@ -144,17 +142,18 @@ FUNCTION_WORDS = {
 }
 
 
-@F.pandas_udf(T.StructType([T.StructField("language", T.StringType()), T.StructField("score", T.DoubleType())]))
-def predict_by_function_words(text: pd.Series) -> pd.DataFrame:
-    """Default predictor, a substitute for a trained one: the language of most function words, and its share of all those found."""
-    listed = {lang: set(words.split()) for lang, words in FUNCTION_WORDS.items()}
+_LISTED = {lang: set(words.split()) for lang, words in FUNCTION_WORDS.items()}
+
+
+def _by_function_words(line: str | None) -> dict:
+    """The language of most function words, and its share of all those found."""
+    counts = Counter(re.findall(r"\w+", line.lower())) if line else {}
+    found = {lang: sum(counts[w] for w in words) for lang, words in _LISTED.items()} if counts else {}
+    best = max(found, key=lambda lang: found[lang], default=None)
+    return {"language": best, "score": found[best] / sum(found.values())} if best and found[best] else {"language": "und", "score": 0.0}
 
-    def one(line: str | None) -> tuple[str, float]:
-        if not line:
-            return "und", 0.0
-        counts = Counter(re.findall(r"\w+", line.lower()))
-        found = {lang: sum(counts[w] for w in words) for lang, words in listed.items()}
-        best = max(found, key=lambda lang: found[lang])
-        return (best, found[best] / sum(found.values())) if found[best] else ("und", 0.0)
 
-    return pd.DataFrame([one(t) for t in text], columns=["language", "score"])
+#: Default predictor, a substitute for a trained one: struct(language, score) of a text.
+predict_by_function_words = by_pieces(
+    _by_function_words, T.StructType([T.StructField("language", T.StringType()), T.StructField("score", T.DoubleType())]), pa.struct([("language", pa.string()), ("score", pa.float64())])
+)
