@@ -152,6 +152,51 @@ def test_minhash_pairs_beside_hubs(spark):
     assert {r.doc_id: r.component_id for r in minhash.link(df).collect()} == label
 
 
+def test_minhash_sends_texts_to_blocks_not_pairs(spark, monkeypatch):
+    """Versions of one text, no two linked: as many pairs as their number's square, but a text is sent once to a pair of blocks, of which there are few."""
+    rng, texts = random.Random(13), []
+    for k in range(120):
+        words = [f"w{i}" for i in range(400)]
+        for at in rng.sample(range(0, 400, 5), 10 + k % 3):
+            words[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts[100:] = [t.replace(" w399", " w399 x") for t in texts[:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    label = smallest(range(len(texts)), brute_links(texts)[1])
+    sent, saved = [], minhash.saved
+
+    def counted(rows, name):
+        found = saved(rows, name)
+        if name == "wanted":
+            sent.append(found.count())
+        return found
+
+    monkeypatch.setattr(minhash, "saved", counted)
+    assert {r.doc_id: r.component_id for r in minhash.link(df).collect()} == label
+    assert 0 < sent[-1] <= 3 * len(texts)
+    # many small blocks and tiles give the same rows
+    monkeypatch.setattr(minhash, "BLOCK", 4000)
+    monkeypatch.setattr(minhash, "TILE", 8)
+    assert {r.doc_id: r.component_id for r in minhash.link(df).collect()} == label
+
+
+def test_minhash_sets_of_blocks(spark):
+    """Pairs against plain sets, ids that several rows share too; buckets of one row are left out."""
+    rng = np.random.default_rng(3)
+    ids = [int(i) for i in rng.integers(0, 30, 45)]
+    sets = [np.unique(rng.choice(40, 30)).astype("u8") for _ in ids]
+    held = minhash._Sets(ids, sets)
+    members = np.arange(-1, 32)
+    links = lambda a, b: 100 * len(set(a.tolist()) & set(b.tolist())) >= 75 * len(set(a.tolist()) | set(b.tolist()))
+    for hub in range(30):
+        wanted = [any(links(x, y) for i, x in zip(ids, sets) if i == hub for j, y in zip(ids, sets) if j == m) for m in members]
+        assert held.links(hub, members).tolist() == wanted
+    buckets = [int(b) for b in rng.integers(0, 20_000, 30_000)]
+    found = minhash._shared(spark.createDataFrame(list(zip(buckets, range(len(buckets)))), "bucket long, doc_id long")).collect()
+    times = Counter(buckets)
+    assert sorted(r.doc_id for r in found) == [i for i, b in enumerate(buckets) if times[b] > 1]
+
+
 def brute_pii(text):
     luhn = lambda d: sum(int(c) * (1 + i % 2) - 9 * (int(c) * (1 + i % 2) > 9) for i, c in enumerate(reversed(d))) % 10 == 0
     digits = lambda m: re.sub(r"[^0-9]", "", m.group())
