@@ -594,6 +594,35 @@ def test_vectors_of_hot_groups(spark, monkeypatch):
     assert {(r.vec_id, r.component_id) for r in vectors.link(twice).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
+def test_vectors_move_few_bytes(spark, monkeypatch):
+    """Over many shards, of pairs well within the range and just over it: brute force's rows, and no more shuffled than a few times the vectors."""
+    monkeypatch.setattr(vectors, "SHARD", 64)
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(6000, 64))
+    x[:200] = x[200:400] + rng.normal(size=(200, 64)) * 0.1
+    x[400:430] = x[430] + rng.normal(size=(30, 64)) * 0.33
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype("f4"))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").cache()
+    df.count()
+    sc = spark.sparkContext
+    more = (None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+
+    def shuffled():
+        found = sc._jsc.sc().statusStore().stageList(*more)
+        return {(found.apply(i).stageId(), found.apply(i).attemptId()): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = shuffled()
+    found = {r.vec_id: r for r in vectors.link(df).collect()}
+    moved = sum(n for k, n in shuffled().items() if k not in before)
+    u = x.astype("f4").astype("f8")
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert {i: r.n_links for i, r in found.items()} == dict(enumerate(near.sum(1)))
+    assert {i: r.component_id for i, r in found.items()} == smallest(range(len(x)), list(zip(*np.nonzero(near))))
+    assert moved < 8 * x.astype("f4").nbytes
+
+
 def test_language(docs, none):
     fixed = docs.sparkSession.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = language.identify(fixed).join(fixed.select("doc_id", "lang"), "doc_id").collect()
