@@ -45,8 +45,14 @@ PROSE = [
     r"(?iU)\bkind\s+of\b",
     r"(?iU)\bman\s+(page|pages)\b",
 ]
+# One of these, within one token, is in all that an expression of prose, and of a line that lists technologies, finds.
+# FOLD: letters that expressions take for others and lower case doesn't.
+PROSE_PARTS = "fluent basic good solid strong make analyse analyze embrace keep play move scale clear processing unstructured just kind man".split()
+LIST_PARTS = "technolog stack framework langage platform libraries database cloud outil environnement tool experience knowledge familiar proficient hands".split()
+FOLD = str.maketrans("ſKıİ", "skii")
 # Characters around a match that are read for prose, for a language behind it and for separators of a list.
 PROSE_BEFORE, PROSE_AFTER, LANGUAGE_REACH, LIST_REACH, NEIGHBOUR_REACH = 15, 40, 24, 40, 30
+REACH = max(PROSE_BEFORE, PROSE_AFTER, LANGUAGE_REACH, LIST_REACH)
 SEPARATORS = r"[,;|•/]"
 
 
@@ -90,18 +96,23 @@ def distinctive(surface: Column, alias: Column, canonical: Column) -> Column:
     )
 
 
-def flags(text: Column, surface: Column, alias: Column, canonical: Column, policy: Column, start: Column, end: Column, common: Column) -> Column:
-    """What verdict() needs of a match but for its neighbours, as a struct. common: the alias or the surface is a common word."""
-    begin, stop = line_of(text, start, end)
+def flags(text: Column, surface: Column, alias: Column, canonical: Column, policy: Column, start: Column, end: Column, common: Column, lines: tuple | None = None, maybe: Column | None = None) -> Column:
+    """What verdict() needs of a match but for its neighbours, as a struct. common: the alias or the surface is a common word.
+
+    Reading lines and prose costs more than all else. Where lines (where they begin and end, and whether one of them lists technologies)
+    are given, text may be what REACH characters around the match hold, with start and end counted in it; where maybe is false, the
+    match is known not to be in prose.
+    """
+    begin, stop = line_of(text, start, end) if lines is None else lines[:2]
     return F.struct(
         policy.alias("policy"),
-        in_prose(text, start, end).alias("prose"),
+        (in_prose(text, start, end) if maybe is None else F.when(maybe, in_prose(text, start, end)).otherwise(False)).alias("prose"),
         _slice(text, end, end + LANGUAGE_REACH).rlike(LANGUAGE_AFTER).alias("language"),
         (common & ~strong(canonical, alias, surface)).alias("common"),
         F.contains(F.trim(surface), F.lit(" ")).alias("several"),
         (surface == F.lower(surface)).alias("lower"),
         ((surface == F.upper(surface)) & (surface != F.lower(surface)) & (F.length(surface) >= 3)).alias("capitals"),
-        _slice(text, begin, stop).rlike(LIST_LINE).alias("listed"),
+        (_slice(text, begin, stop).rlike(LIST_LINE) if lines is None else lines[2]).alias("listed"),
         _slice(text, start - LIST_REACH, end + LIST_REACH).rlike(SEPARATORS).alias("separated"),
         distinctive(surface, alias, canonical).alias("distinctive"),
         (F.length(F.trim(alias)) <= 5).alias("short"),
@@ -111,7 +122,7 @@ def flags(text: Column, surface: Column, alias: Column, canonical: Column, polic
 
 
 def verdict(f: Column, neighbour: Column) -> Column:
-    """Why a match is refused, '' if it counts. neighbour: a match that counts stands near on the same line."""
+    """Why a match is refused, '' if it counts. neighbour: a match that counts stands near on the same line. To be listed is worth as much as to have a neighbour."""
     context = f["listed"] | neighbour
     common = (
         F.when(f["lower"], "common_lowercase").when(f["capitals"] & (context | f["separated"]), "").when(~context, "common_no_tech_context").otherwise("")

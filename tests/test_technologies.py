@@ -160,6 +160,31 @@ def test_recover(spark):
     assert T.recover(df, "id", "body", lexicon.limit(0), lemmas, "lemma").count() == 0 and T.recover(df.limit(0), "id", "body", lexicon, lemmas, "lemma").count() == 0
 
 
+def test_recover_shuffles_hits_alone(spark, monkeypatch):
+    """Texts without slashes: no more is shuffled than a part of their size; where names are too many for a task, joins give the same rows."""
+    rng = random.Random(5)
+    own = [w for w in WORDS if "/" not in w] + ["ſpring up", "Make\u0130", "clear\tvision"]
+    texts = ["".join((rng.choice(own) if rng.randrange(4) == 0 else f"{rng.randrange(1 << 30):x}") + rng.choice([" ", " ", ", ", "\n"]) for _ in range(1500)) for _ in range(40)]
+    lexicon, lemmas = frames(spark)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string").cache()
+    df.count()
+    sc = spark.sparkContext
+    more = (None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+
+    def shuffled():
+        found = sc._jsc.sc().statusStore().stageList(*more)
+        return {(found.apply(i).stageId(), found.apply(i).attemptId()): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = shuffled()
+    found = sorted(map(tuple, T.recover(df, "id", "body", lexicon, lemmas, "lemma").collect()))
+    moved = sum(n for k, n in shuffled().items() if k not in before)
+    names = plain_names()
+    assert found == sorted((i, *h) for i, t in enumerate(texts) for h in plain_recover(t, names))
+    assert moved < sum(map(len, texts)) / 2
+    monkeypatch.setattr(T, "HELD", 0)
+    assert sorted(map(tuple, T.recover(df, "id", "body", lexicon, lemmas, "lemma").collect())) == found
+
+
 def test_classify_spans(spark):
     rng = random.Random(5)
     names, rows = plain_names(), []
