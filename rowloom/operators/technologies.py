@@ -177,12 +177,15 @@ class _Told(dict):
             sizes = self.sizes.setdefault(own[0], [])
             if len(own) not in sizes:
                 sizes.append(len(own))
-        self.prose, self.lists = (re.compile("|".join(parts)).search for parts in (policy.PROSE_PARTS, policy.LIST_PARTS))
+        self.either, self.prose, self.lists = (re.compile("|".join(parts)).search for parts in (policy.PROSE_PARTS + policy.LIST_PARTS, policy.PROSE_PARTS, policy.LIST_PARTS))
 
     def __missing__(self, token: str) -> tuple | int:
-        folded = token.translate(policy.FOLD).lower()
-        told = self.sizes.get(token.lower()), self.prose(folded) is not None, self.lists(folded) is not None
-        told = told if any(told) else 0
+        lower = token.lower()
+        folded, sizes = lower if token.isascii() else token.translate(policy.FOLD).lower(), self.sizes.get(lower)
+        if self.either(folded):
+            told = sizes, self.prose(folded) is not None, self.lists(folded) is not None
+        else:
+            told = (sizes, False, False) if sizes else 0
         if len(self) < TOLD and len(token) < 50:
             self[token] = told
         return told
